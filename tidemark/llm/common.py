@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a Python worker's memory.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch: bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of text that are worked on at once; a longer text is worked on alone, in windows of this size.
 SLICE_BYTES = 1 << 20
 #: Words above this many bytes are hashed one by one.
@@ -22,6 +22,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
