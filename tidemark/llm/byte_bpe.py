@@ -35,18 +35,36 @@ def read_ranks(path: str) -> bytes:
     return raw
 
 
+class _Pieces(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit integers; a piece that isn't there is looked for in the older half, or run."""
+
+    def __init__(self, run, most: int):
+        super().__init__()
+        self.run, self.most, self.older = run, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.run(piece.encode()), "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:  # the older half goes; what is used again comes back
+                self.older = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 400_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.most_states, self.most_pieces = most_states, most_pieces
+        self.most_states = most_states
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._compatible: dict[tuple[int, int], bool] = {}
         self._merge_cache: dict[bytes, int | None] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self.pieces = _Pieces(self._run, most_pieces)
         # The trie: a node's children by byte, and the id of the token that ends there. Tokens that merges don't reach stay out.
         self.child: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
@@ -126,16 +144,6 @@ class Transducer:
         arc = self.arcs[state][byte] = (self._state(members), out)
         return arc
 
-    def piece(self, text: str) -> list[int]:
-        out = self._older.get(text)
-        if out is None:
-            out = self._run(text.encode())
-        if len(text) <= 64:
-            if len(self.pieces) >= self.most_pieces:  # the older half goes; what is used again moves up
-                self._older, self.pieces = self.pieces, {}
-            self.pieces[text] = out
-        return out
-
     def _run(self, raw: bytes) -> list[int]:
         whole = self.ranks.get(raw)
         if whole is not None:
@@ -156,15 +164,12 @@ class Transducer:
         out.extend(next(late for _, node, late in self.members[state] if node == 0) if raw else ())
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        extend, piece = out.extend, self.piece
-        for p in self.split.findall(text):
-            extend(self.pieces.get(p) or piece(p))
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as unsigned 32-bit integers."""
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split.findall(text))), "<u4")
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        return b"".join(map(self.token.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
 class Utf8Stream:
@@ -234,9 +239,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     def run(batches):
         made = transducer(raw.value, pattern)
         for batch in batches:
-            got = [np.array(made.encode(x or ""), np.int32) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(got) if got else np.zeros(0)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
 
     return rest.mapInArrow(run, schema)
@@ -282,7 +287,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
                     back.update(machine.feed(made.decode_bytes(got[k : k + 4096])).encode())
                 back.update(machine.feed(b"", last=True).encode())
                 n.append(len(got))
-                a.append(hashlib.sha256(np.array(got, "<u4").tobytes()).hexdigest())
+                a.append(hashlib.sha256(got.tobytes()).hexdigest())
                 b.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -32,7 +32,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, to: str,
         made, held, size = byte_bpe.transducer(raw.value, pattern), [], 0
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                held.append(np.array([*made.encode(x or ""), end_id], "<u2").tobytes())
+                held.append(np.append(made.encode(x or ""), end_id).astype("<u2").tobytes())
                 size += len(held[-1])
                 if size >= BLOCK_BYTES:
                     data = b"".join(held)
