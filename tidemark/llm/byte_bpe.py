@@ -57,7 +57,7 @@ class _Pieces(dict):
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 240_000, most_pieces: int = 250_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.most_states = most_states
         self.token = {i: t for t, i in ranks.items()}
@@ -110,7 +110,7 @@ class Transducer:
             return True
         known = self._compatible.get((a, b))
         if known is None:
-            if len(self._compatible) > 4 * self.most_states:
+            if len(self._compatible) > self.most_states:
                 self._compatible.clear()
             known = self._compatible[a, b] = self.by_merges(self.token[a] + self.token[b]) == [a, b]
         return known
