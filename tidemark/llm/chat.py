@@ -46,12 +46,15 @@ def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
     # A path's array goes from its top message to the leaf; next is the one above the top. A jump does the same from any message.
     found = common.written(m.join(parents, ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("leaf"), F.array("msg_id").alias("path"), F.col("parent_id").alias("next")))
     jumps = m.select("conv_id", F.col("msg_id").alias("next"), F.array("msg_id").alias("up"), F.col("parent_id").alias("after"))
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         if found.where("next is not null").isEmpty():
             return found.select("conv_id", "leaf", "path")
-        found = common.written(found.join(jumps, ["conv_id", "next"], "left").select("conv_id", "leaf", F.concat(F.coalesce("up", F.array().cast(dict(found.dtypes)["path"])), "path").alias("path"), F.col("after").alias("next")))
-        above = jumps.select("conv_id", F.col("next").alias("after"), F.col("up").alias("up2"), F.col("after").alias("after2"))
-        jumps = common.written(jumps.join(above, ["conv_id", "after"], "left").select("conv_id", "next", F.concat(F.coalesce("up2", F.array().cast(dict(jumps.dtypes)["up"])), "up").alias("up"), F.col("after2").alias("after")))
+        if k:  # jumps twice as long; those that would go beyond a root stay as they are, and are taken by no path twice
+            above = jumps.select("conv_id", F.col("next").alias("after"), F.col("up").alias("up2"), F.col("after").alias("after2"))
+            longer = jumps.where("after is not null").join(above, ["conv_id", "after"]).select("conv_id", "next", F.concat("up2", "up").alias("up"), F.col("after2").alias("after"))
+            jumps = common.written(longer.unionByName(jumps.where("after is null")))
+        open_paths = found.where("next is not null").join(jumps, ["conv_id", "next"]).select("conv_id", "leaf", F.concat("up", "path").alias("path"), F.col("after").alias("next"))
+        found = common.written(open_paths.unionByName(found.where("next is null")))
     raise ValueError("replies go in a circle")
 
 
