@@ -217,7 +217,7 @@ def decode_stream(transducer: Transducer, ids: Iterable[int], chunk: int = 4096)
     yield machine.feed(transducer.decode_bytes(held), last=True)
 
 
-_MADE: dict[tuple[str, str], Transducer] = {}
+_MADE: dict[tuple[str, str], Transducer] = common.KEPT.setdefault("byte_bpe", {})
 
 
 def transducer(raw: bytes, pattern: str) -> Transducer:

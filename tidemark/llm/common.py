@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -20,6 +21,20 @@ LONG_WORD = 1 << 16
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Large tables that a worker process keeps between tasks, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def release(owner: str = "") -> None:
+    """In a worker: gives back what other operators kept there, so that tables of several stages don't add up."""
+    others = [kept for name, kept in KEPT.items() if name != owner and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -316,6 +316,7 @@ def main_text(pages: DataFrame, most_broadcast: int = 8 << 20) -> DataFrame:
     both = rest.withColumn("host", _host()).join(F.broadcast(made) if size <= most_broadcast else made, "host", "left")
 
     def run(batches):
+        common.release()
         known: dict[str, set[str]] = {}
         for batch in batches:
             out = []

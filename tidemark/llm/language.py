@@ -140,6 +140,7 @@ def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataF
     model = docs.sparkSession.sparkContext.broadcast((languages.names, languages.table))  # one table of 1 MB for each language
 
     def run(batches):
+        common.release()
         made = Languages(*model.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))

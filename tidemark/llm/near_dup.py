@@ -86,6 +86,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a digest of the text), n_shingles, node (a digest of the set; null without words), bands and sketch."""
 
     def run(batches):
+        common.release()
         for batch in batches:
             data, offsets = common.utf8(batch.column(2))
             size, node, bands, sketches = [], [], [], []
@@ -147,6 +148,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "copy_a").join(right, "copy_b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        common.release()
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             key = [batch.column(k).to_pylist() for k in range(2)]

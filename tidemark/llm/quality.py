@@ -254,6 +254,7 @@ def judge(docs: DataFrame, field: LineField, min_share: float = 0.5, text: str =
     model = field.dumps()
 
     def run(batches):
+        common.release()
         made = LineField.loads(model)
         for batch in batches:
             data, offsets = common.utf8(batch.column(batch.schema.get_field_index(text)))

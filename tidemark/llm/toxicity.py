@@ -153,6 +153,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     parts = (model.hashes, model.weights, model.bias)
 
     def run(batches):
+        common.release()
         made = Classifier(*parts)
         for batch in batches:
             data, offsets = common.utf8(batch.column(batch.schema.get_field_index(text)))
