@@ -23,13 +23,20 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def _load() -> None:
+    from tidemark.plans import queries as _  # noqa: F401  registers
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Equity of a moving-average crossover on each series of bars."""
+    return queries()["sma_backtest_equity"](spark, sf_dir)
