@@ -113,8 +113,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _copy(), "text").mapInArrow(run, f"doc_id {kind}, copy binary, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
-def _copy() -> Column:
-    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy")
+def _copy(text: Column | None = None) -> Column:
+    return F.unhex(F.md5((F.col("text") if text is None else text).cast("binary"))).alias("copy")
 
 
 def _most_bits(differing: Column, fixed: Column, spread: Column) -> Column:
@@ -206,6 +206,10 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     id and a text get the same result. A row without an id has no say in component_id, and is kept if no row it is
     linked with has an id. Columns beside doc_id and text don't matter.
     """
+    return _link(docs, percent).drop("copy")
+
+
+def _link(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = common.written(_signed(docs))
     some = signed.where("node is not null")
@@ -248,9 +252,9 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = common.written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     known = common.written(rooted.select("node", "root").join(least, "root").select("node", "component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(known, "node", "left")
+    out = signed.select("doc_id", "copy", "n_shingles", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "copy", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -258,8 +262,9 @@ def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Of rows that repeat an id and a text, one stays.
     """
-    stay = common.written(link(docs, percent).where("kept").select(F.col("doc_id").alias("stays")).distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = common.written(_link(docs, percent).where("kept").select(F.col("doc_id").alias("stays"), F.col("copy").alias("as")).distinct())
+    same = docs["doc_id"].eqNullSafe(stay["stays"]) & _copy(docs["text"]).eqNullSafe(stay["as"])
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
