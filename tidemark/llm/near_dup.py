@@ -143,9 +143,6 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b, copy_a, copy_b) whose whole sets have 100 * intersection >= percent * union."""
-    # Only what pairs need, as a table: joins by a document that many pairs have can then be split.
-    needed = common.written(pairs.select(F.explode(F.array("copy_a", "copy_b")).alias("copy")).distinct())
-    texts = common.written(texts.join(needed, "copy", "left_semi"))
     left = texts.select(F.col("copy").alias("copy_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("copy").alias("copy_b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "copy_a").join(right, "copy_b").select("a", "b", "text_a", "text_b")
