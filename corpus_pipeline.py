@@ -12,6 +12,10 @@ from tidemark.llm import byte_bpe, common, language, mixing, near_dup, quality
 LEAST_SHARE = 0.3
 
 
+#: What the encoder keeps in a worker, beside what earlier stages left of the executor's memory.
+SMALL_TABLES = {"most_states": 240_000, "most_pieces": 250_000, "most_pairs": 240_000}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: not those without letters, nor those of which no language has a large share."""
     common.tune(spark)
@@ -41,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids of each document."""
     common.tune(spark)
-    got = byte_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = byte_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **SMALL_TABLES)
     return got.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

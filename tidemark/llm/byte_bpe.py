@@ -57,9 +57,9 @@ class _Pieces(dict):
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 240_000, most_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 400_000, most_pairs: int = 1_000_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.most_states = most_states
+        self.most_states, self.most_pairs = most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._compatible: dict[tuple[int, int], bool] = {}
@@ -110,7 +110,7 @@ class Transducer:
             return True
         known = self._compatible.get((a, b))
         if known is None:
-            if len(self._compatible) > self.most_states:
+            if len(self._compatible) > self.most_pairs:
                 self._compatible.clear()
             known = self._compatible[a, b] = self.by_merges(self.token[a] + self.token[b]) == [a, b]
         return known
@@ -217,27 +217,27 @@ def decode_stream(transducer: Transducer, ids: Iterable[int], chunk: int = 4096)
     yield machine.feed(transducer.decode_bytes(held), last=True)
 
 
-_MADE: dict[tuple[str, str], Transducer] = common.KEPT.setdefault("byte_bpe", {})
+_MADE: dict[tuple, Transducer] = common.KEPT.setdefault("byte_bpe", {})
 
 
-def transducer(raw: bytes, pattern: str) -> Transducer:
+def transducer(raw: bytes, pattern: str, **bounds: int) -> Transducer:
     """One for each worker process and vocabulary."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
+    key = (hashlib.sha256(raw).hexdigest(), pattern, *sorted(bounds.items()))
     if key not in _MADE:
         _MADE.clear()
         gc.set_threshold(500_000, 50, 1000)  # the tables hold many containers and no cycles
-        _MADE[key] = Transducer.from_file(raw, pattern)
+        _MADE[key] = Transducer.from_file(raw, pattern, **bounds)
     return _MADE[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", **bounds: int) -> DataFrame:
     """docs with a column of token ids (array of int) and no other change; a null text is empty. Columns named ids are replaced."""
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     rest = docs.drop(ids)
     schema = rest.withColumn(ids, _ints()).schema
 
     def run(batches):
-        made = transducer(raw.value, pattern)
+        made = transducer(raw.value, pattern, **bounds)
         for batch in batches:
             got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
