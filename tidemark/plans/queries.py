@@ -39,7 +39,7 @@ def returns_log(spark, sf_dir):
     return rounded(returns.log_returns(series.px(spark, sf_dir)).select("key", "idx", "r"))
 
 
-@register("returns_cumulative", f"WITH {PANEL} SELECT asset AS key, idx, {r6('exp(sum(ln(1 + r)) OVER (PARTITION BY asset ORDER BY idx)) - 1', 'cumulative')} FROM panel")
+@register("returns_cumulative", f"WITH {PANEL} SELECT asset AS key, idx, {r6('product(1 + r) OVER (PARTITION BY asset ORDER BY idx) - 1', 'cumulative')} FROM panel")
 def returns_cumulative(spark, sf_dir):
     return rounded(returns.cumulative_returns(keyed_panel(spark, sf_dir)).select("key", "idx", "cumulative"))
 
