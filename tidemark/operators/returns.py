@@ -83,8 +83,8 @@ def rolling_volatility(df: DataFrame, window: int, r: str = "r") -> DataFrame:
 
 
 def rolling_sharpe(df: DataFrame, window: int = 63, periods: float = 252, r: str = "r") -> DataFrame:
-    d = rolling(rolling(df, r, window, F.avg, "_m"), r, 1, F.max, "_x").withColumn("_s", F.stddev_samp(r).over(trailing(window)))
-    return d.withColumn("sharpe", ratio("_m", "_s") * math.sqrt(periods)).drop("_m", "_s", "_x")
+    d = rolling(df.withColumn("_s", F.stddev_samp(r).over(trailing(window))), r, window, F.avg, "_m")
+    return d.withColumn("sharpe", ratio("_m", "_s") * math.sqrt(periods)).drop("_m", "_s")
 
 
 def bollinger(df: DataFrame, period: int = 20, width: float = 2.0, price: str = "price") -> DataFrame:
