@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.returns import by, ffd_weights
+from tidemark.operators import stats
+from tidemark.operators.returns import acf, by, ffd_weights
 
 SINGULAR = 1e-12
 
@@ -76,6 +77,40 @@ def adf(df: DataFrame, lags: int = 1, value: str = "price") -> DataFrame:
     return fit.select("key", "n", F.get("t_stats", F.lit(1)).alias("statistic"), (F.get("t_stats", F.lit(1)) < -2.86).alias("stationary"), "status")
 
 
+def adf_by_aic(df: DataFrame, most_lag: int = 10, value: str = "price") -> DataFrame:
+    """key, lags, aic, statistic, stationary: adf with the number of lags of the least AIC, the smallest of equal ones."""
+    n = df.groupBy("key").agg(F.count("*").alias("_rows"))
+    d = df.withColumn("_level", F.lag(value).over(by())).withColumn("_d", F.col(value) - F.col("_level"))
+    d = d.select("key", "_d", "_level", *[F.lag("_d", k).over(by()).alias(f"_d{k}") for k in range(1, most_lag + 1)])
+    fits = None
+    for k in range(most_lag + 1):
+        fit = ols(d, "_d", ["_level", *[f"_d{j}" for j in range(1, k + 1)]]).where("status is null and sse > 0")
+        fit = fit.select("key", F.lit(k).alias("lags"), (F.ln(F.col("sse") / F.col("n"))).alias("_s"), F.get("t_stats", F.lit(1)).alias("statistic"))
+        fits = fit if fits is None else fits.unionByName(fit)
+    scored = fits.join(n, "key").withColumn("aic", F.col("_rows") * F.col("_s") + 2.0 * (F.col("lags") + 2))
+    best = scored.groupBy("key").agg(F.min_by(F.struct("lags", "aic", "statistic"), F.struct("aic", "lags")).alias("b"))
+    return best.select("key", "b.lags", "b.aic", "b.statistic", (F.col("b.statistic") < -2.86).alias("stationary"))
+
+
+def pacf(df: DataFrame, most_lag: int, value: str = "price") -> DataFrame:
+    """key, lag, phi for lags 1 to most_lag, by Levinson's recursion over the autocorrelations; none beyond the series."""
+    lags = acf(df, most_lag, value).where("rho is not null").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lag", "rho"))).alias("a"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, a in zip(pdf["key"], pdf["a"], strict=True):
+                rho, phi = np.array([x["rho"] for x in a]), np.zeros(0)
+                for k in range(1, len(rho)):
+                    rest = 1 - phi @ rho[1:k]
+                    last = (rho[k] - phi @ rho[k - 1 : 0 : -1]) / rest if abs(rest) > SINGULAR else 0.0
+                    phi = np.r_[phi - last * phi[::-1], last]
+                    out.append((key, k, float(last)))
+            yield pd.DataFrame(out, columns=["key", "lag", "phi"])
+
+    return lags.mapInPandas(run, "key string, lag int, phi double")
+
+
 def _np_adf(x: np.ndarray, lags: int = 1) -> float:
     d = np.diff(x)
     if len(x) < lags + 3:
@@ -156,6 +191,15 @@ def ewma_vol(df: DataFrame, decay: float = 0.94, r: str = "r") -> DataFrame:
     return df.groupBy("key").applyInPandas(run, df.withColumn("variance", F.lit(0.0)).schema)
 
 
+def leverage(df: DataFrame, decay: float = 0.94, r: str = "r") -> DataFrame:
+    """key, egarch, gjr: the correlation of returns with the relative change of the EWMA variance after them, and stats.gjr_gamma."""
+    d = ewma_vol(df.select("key", "idx", r), decay, r).withColumn("_n", F.row_number().over(by())).withColumn("_b", F.lag(r).over(by()))
+    change = (F.lead("variance").over(by()) - F.col("variance")) / F.greatest("variance", F.lit(1e-12))
+    d = d.withColumn("_c", F.when(F.col("_n") > 1, change))
+    corr = F.corr(F.when(F.col("_c").isNotNull(), F.col(r)), F.col("_c"))
+    return d.groupBy("key").agg(F.coalesce(F.nanvl(corr, F.lit(0.0)), F.lit(0.0)).alias("egarch"), stats.gjr_gamma(r, "_b").alias("gjr"))
+
+
 def arch_variances(df: DataFrame, omega: float, alphas: list[float], r: str = "r") -> DataFrame:
     """Adds variance: omega and weighted squares of the last returns, without any recursion."""
     v = F.lit(omega)

@@ -132,6 +132,40 @@ def asian_call(spark: SparkSession, s0: float, k: float, r: float, sigma: float,
     return mean.agg(F.avg(gain).alias("price"), (F.stddev_samp(gain) / F.sqrt(F.count("a"))).alias("std_error"), F.count("a").alias("n"))
 
 
+def mc_call_control(spark: SparkSession, s0: float, k: float, r: float, sigma: float, t: float, n_paths: int, seed: int) -> DataFrame:
+    """One row: price, std_error, n of a call with the final price as the control, whose mean is known. Deviations are the population's."""
+    if min(s0, k, t) <= 0 or sigma < 0 or n_paths < 1:
+        raise ValueError("bad parameters")
+    p = F.greatest(F.col("value") - k, F.lit(0.0))
+    g = terminal(spark, s0, r, sigma, t, n_paths, seed).agg(F.avg(p).alias("p"), F.avg("value").alias("s"), F.covar_pop(p, "value").alias("c"), F.var_pop("value").alias("v"), F.var_pop(p).alias("w"), F.count("*").alias("n"))
+    beta, keep = F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(0.0), math.exp(-r * t)
+    rest = F.greatest(F.col("w") - 2 * beta * F.col("c") + beta * beta * F.col("v"), F.lit(0.0))
+    return g.select((keep * (F.col("p") - beta * (F.col("s") - s0 * math.exp(r * t)))).alias("price"), (keep * F.sqrt(rest / F.col("n"))).alias("std_error"), "n")
+
+
+def heston_calls(spark: SparkSession, s0: float, r: float, v0: float, kappa: float, theta: float, xi: float, rho: float, t: float, strikes: list[float], n_steps: int, n_paths: int, seed: int) -> DataFrame:
+    """strike, price, std_error, n of calls under a mean-reverting variance, which steps by Euler's rule and is cut at 0.
+
+    The price's normal is correlated (rho) with the variance's, and steps with the variance after its step.
+    """
+    if min(s0, t) <= 0 or v0 < 0 or not -1 <= rho <= 1 or n_steps < 1 or n_paths < 1:
+        raise ValueError("bad parameters")
+
+    def make(ids, z):
+        dt, x, v = t / n_steps, np.zeros(len(ids)), np.full(len(ids), float(v0))
+        for k in range(n_steps):
+            a = z[:, 2 * k]
+            b = rho * a + math.sqrt(1 - rho * rho) * z[:, 2 * k + 1]
+            v = np.maximum(v + kappa * (theta - v) * dt + xi * np.sqrt(v * dt) * a, 0.0)
+            x += (r - v / 2) * dt + np.sqrt(v * dt) * b
+        return pd.DataFrame({"path_id": ids, "value": s0 * np.exp(x)})
+
+    ends = _by_path(spark, n_paths, 2 * n_steps, seed, make, "path_id long, value double")
+    d = ends.select(F.explode(F.array(*[F.lit(float(k)) for k in strikes])).alias("strike"), "value")
+    gain = F.greatest(F.col("value") - F.col("strike"), F.lit(0.0)) * math.exp(-r * t)
+    return d.groupBy("strike").agg(F.avg(gain).alias("price"), (F.coalesce(F.stddev_samp(gain), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("std_error"), F.count("*").alias("n"))
+
+
 def poisson_arrivals(rate: float, t: float, seed: int) -> np.ndarray:
     """Times below t of a Poisson process, from one stream."""
     if rate <= 0 or t <= 0:

@@ -124,3 +124,24 @@ def beta(asset, market) -> Column:
 
 def alpha(asset, market, risk_free: float = 0.0) -> Column:
     return F.avg(asset) - (risk_free + beta(asset, market) * (F.avg(market) - risk_free))
+
+
+def gaussian_likelihood(x) -> Column:
+    """The log-likelihood of standardised residuals under a standard normal."""
+    x = _c(x)
+    return F.sum(-0.5 * math.log(2 * math.pi) - x * x / 2)
+
+
+def student_likelihood(x, freedom: float) -> Column:
+    """The log-likelihood of standardised residuals under Student's t, whose constant is known before any row is read."""
+    if freedom <= 0:
+        raise ValueError("freedom must be positive")
+    x, half = _c(x), (freedom + 1) / 2
+    const = math.lgamma(half) - math.lgamma(freedom / 2) - math.log(freedom * math.pi) / 2
+    return F.sum(const - half * F.log1p(x * x / freedom))
+
+
+def gjr_gamma(r, before) -> Column:
+    """The mean square after a fall less that after no fall; before is the return of the row before, and rows without one don't count."""
+    r, before = _c(r), _c(before)
+    return F.coalesce(F.avg(F.when(before < 0, r * r)), F.lit(0.0)) - F.coalesce(F.avg(F.when(before >= 0, r * r)), F.lit(0.0))
