@@ -13,7 +13,7 @@ LEAST_SHARE = 0.3
 
 
 #: What the encoder keeps in a worker, beside what earlier stages left of the executor's memory.
-SMALL_TABLES = {"most_states": 240_000, "most_pieces": 250_000, "most_pairs": 240_000}
+SMALL_TABLES = {"most_states": 90_000, "most_pieces": 120_000, "most_pairs": 120_000}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

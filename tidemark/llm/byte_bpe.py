@@ -237,6 +237,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     schema = rest.withColumn(ids, _ints()).schema
 
     def run(batches):
+        common.release("byte_bpe")
         made = transducer(raw.value, pattern, **bounds)
         for batch in batches:
             got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
@@ -261,6 +262,7 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", t
     rest = tokens.drop(text)
 
     def run(batches):
+        common.release("byte_bpe")
         made = transducer(raw.value, pattern)
         for batch in batches:
             got = [None if x is None else "".join(decode_stream(made, x)) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
@@ -278,6 +280,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + f", {ENCODED}"
 
     def run(batches):
+        common.release("byte_bpe")
         made = transducer(raw.value, pattern)
         for batch in batches:
             n, a, b = [], [], []

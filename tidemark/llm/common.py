@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
@@ -21,6 +22,8 @@ LONG_WORD = 1 << 16
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+_C = ctypes.CDLL(None)
+
 #: Large tables that a worker process keeps between tasks, by operator.
 KEPT: dict[str, dict] = {}
 
@@ -33,6 +36,8 @@ def release(owner: str = "") -> None:
     if others:
         gc.collect()
     pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):  # glibc keeps what arrays leave behind
+        _C.malloc_trim(0)
 
 
 def tune(spark: SparkSession) -> None:
