@@ -170,6 +170,24 @@ def test_main_text_of_all_pages(spark):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+def test_main_text_of_pages_with_layouts_of_their_own(spark):
+    story, post, note = "story words " * 40, "post words " * 9, "note words"
+    pages = [
+        ("http://d.example/1", f"<body><div class=story><p>{story}</p></div></body>", story),
+        ("http://d.example/2", f"<body><div class=post><p>{post}</p></div></body>", post),
+        ("http://e.example/1", f"<body><article><p>{story}</p></article></body>", story),
+        ("http://e.example/2", f"<body><div class=post><p>{post}</p></div></body>", post),
+        ("http://f.example/1", f"<body><div class=long><p>{story * 500}</p></div></body>", story * 500),
+        ("http://f.example/2", f"<body><div class=short><p>{note}</p></div></body>", note),
+        (None, f"<body><main><p>{story}</p></main></body>", story),
+        (None, f"<body><div class=post><p>{post}</p></div></body>", post),
+        ("/no/host", f"<body><div class=short><p>{note}</p></div></body>", note),
+    ]
+    rows = [(i, url, page) for i, (url, page, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text.strip() for i, (_, _, text) in enumerate(pages)}
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a, b = [["t", "x"], ["t", "y"]], [["t", "x"], ["t", "z"], ["t", "z"], ["t", "y"]]
     assert html_text.align(html_text.fold(a), html_text.fold(b)) == [["t", "x"], ["?", [["+", [["t", "z"]]]]], ["t", "y"]]

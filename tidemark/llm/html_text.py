@@ -195,14 +195,14 @@ def paths(nodes: list) -> list[str]:
     return [p for n in nodes for p in ([n[1]] if n[0] == "t" else paths(n[1]))]
 
 
-def decide(wrapper: list, size: dict[str, int]) -> list[str]:
-    """The paths of a wrapper's slots whose texts are the article. size: characters of all texts at a path.
+def decide(size: dict[str, int]) -> set[str]:
+    """The paths of a page whose texts are the article. size: characters of the page's texts at each path.
 
-    Furniture goes. Of the rest, slots within an article or main element stay; without one, those within the smallest
+    Furniture goes. Of the rest, texts within an article or main element stay; without one, those within the smallest
     element with three quarters of the rest's characters.
     """
     free = {}
-    for p in dict.fromkeys(paths(wrapper)):
+    for p in size:
         labels, inside, bad = p.split("/"), False, False
         for x in labels:
             bad |= _furniture(x, inside)
@@ -210,30 +210,37 @@ def decide(wrapper: list, size: dict[str, int]) -> list[str]:
         if not bad:
             free[p] = inside
     if any(free.values()):
-        return [p for p, inside in free.items() if inside]
-    total, best = sum(size.get(p, 0) for p in free), ""
+        return {p for p, inside in free.items() if inside}
+    total, best = sum(size[p] for p in free), ""
     heads: dict[str, int] = {}
     for p in free:
         labels = p.split("/")
         for k in range(1, len(labels) + 1):
             if labels[k - 1].split(" ")[0] not in INLINE and not re.match(r"(p|h[1-6]|li|td|blockquote|pre)\b", labels[k - 1]):
                 head = "/".join(labels[:k])
-                heads[head] = heads.get(head, 0) + size.get(p, 0)
+                heads[head] = heads.get(head, 0) + size[p]
     for head, n in heads.items():
         if 4 * n >= 3 * total and len(head) > len(best):
             best = head
-    return [p for p in free if not best or p == best or p.startswith(best + "/")]
+    return {p for p in free if not best or p == best or p.startswith(best + "/")}
 
 
-def extract(page: str, keep: set[str]) -> str:
-    """The blocks of a page at the kept paths, joined by two line feeds."""
-    blocks, begun = [], []
+def extract(page: str) -> str:
+    """The blocks of a page at the paths that its own texts decide, joined by two line feeds."""
+    parts, size = [], {}
     for path, text in walk(page):
+        p = "/".join(path)
+        parts.append((p, text))
+        if text is not None and not text.isspace():
+            size[p] = size.get(p, 0) + len(text)
+    keep = decide(size)
+    blocks, begun = [], []
+    for p, text in parts:
         if text is None:
             if begun:
                 blocks.append("".join(begun))
                 begun = []
-        elif "/".join(path) in keep:
+        elif p in keep:
             begun.append(html.unescape(text))
         elif text == " " and begun:
             begun.append(text)
@@ -246,30 +253,17 @@ def _host() -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON: the wrapper and the article's paths) of each host, from all pages (url, html).
+    """host and nodes (JSON: the wrapper) of each host, from all pages (url, html).
 
     Pages whose folded streams are equal count as one when streams are aligned; streams of a host are first aligned in 64 shares.
     """
 
     def folded(batches):
         for batch in batches:
-            known: dict[tuple[str, str], dict[str, int]] = {}
-            for where, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sizes: dict[str, int] = {}
-                for path, text in walk(page or ""):
-                    if text is not None and not text.isspace():
-                        p = "/".join(path)
-                        sizes[p] = sizes.get(p, 0) + len(text)
-                key = (where, json.dumps(fold(stream(page or ""))))
-                held = known.setdefault(key, {})
-                for p, n in sizes.items():
-                    held[p] = held.get(p, 0) + n
-            rows = [(h, s, p, n) for (h, s), sizes in known.items() for p, n in (sizes or {"": 0}).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 3 else pa.string()) for k in range(4)], ["host", "nodes", "path", "n"])
-
-    parts = pages.select(_host().alias("host"), "html").mapInArrow(folded, "host string, nodes string, path string, n long")
-    parts = common.written(parts.groupBy("host", "nodes", "path").agg(F.sum("n").alias("n")))
-    sizes = parts.groupBy("host", "path").agg(F.sum("n").alias("n"))
+            rows = list(dict.fromkeys((where, json.dumps(fold(stream(page or "")))) for where, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["host", "nodes"])
+
+    parts = common.written(pages.select(_host().alias("host"), "html").mapInArrow(folded, "host string, nodes string"))
     streams = parts.select("host", "nodes").distinct().withColumn("share", F.pmod(F.xxhash64("nodes"), F.lit(64)).cast("int"))
 
     def aligned(pdf):
@@ -291,45 +285,25 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     some = streams.groupBy("host", "share").applyInPandas(aligned, "host string, nodes string")
     one = some.groupBy("host").applyInPandas(aligned, "host string, nodes string")
-    held = sizes.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "n"))).alias("sizes"))
-
-    def decided(batches):
-        for batch in batches:
-            out = []
-            for s, size in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                nodes = json.loads(s)
-                out.append(json.dumps([nodes, decide(nodes, dict(size or ()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "wrapper"])
-
-    return common.written(one.join(held, "host").mapInArrow(decided, "host string, wrapper string"))
+    return common.written(one)
 
 
-def main_text(pages: DataFrame, most_broadcast: int = 8 << 20) -> DataFrame:
+def main_text(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, and others) with text, the article of each page, and n_chars; columns of these names are replaced.
 
-    A null or empty html, or a page of furniture only, has an empty text. Pages without a host in their url are one host's.
-    Repeated rows stay. An empty table gives an empty one.
+    A null or empty html, or a page of furniture only, has an empty text. Repeated rows stay. An empty table gives an empty one.
     """
     rest = pages.drop("text", "n_chars", "wrapper", "host")
-    made, names = wrappers(rest), rest.columns
-    size = made.agg(F.sum(F.length("wrapper") + 100)).first()[0] or 0
-    both = rest.withColumn("host", _host()).join(F.broadcast(made) if size <= most_broadcast else made, "host", "left")
+    names = rest.columns
 
     def run(batches):
         common.release()
-        known: dict[str, set[str]] = {}
         for batch in batches:
-            out = []
-            for page, w in zip(batch.column(batch.schema.get_field_index("html")).to_pylist(), batch.column(batch.schema.get_field_index("wrapper")).to_pylist(), strict=True):
-                if w not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[w] = set(json.loads(w)[1]) if w else set()
-                out.append(extract(page or "", known[w]))
+            out = [extract(page or "") for page in batch.column(batch.schema.get_field_index("html")).to_pylist()]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*names, "text", "n_chars"])
 
-    return both.mapInArrow(run, rest.withColumn("text", F.lit("").cast("string")).withColumn("n_chars", F.lit(0).cast("long")).schema)
+    return rest.mapInArrow(run, rest.withColumn("text", F.lit("").cast("string")).withColumn("n_chars", F.lit(0).cast("long")).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
