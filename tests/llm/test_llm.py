@@ -188,6 +188,19 @@ def test_main_text_of_pages_with_layouts_of_their_own(spark):
     assert got == {i: text.strip() for i, (_, _, text) in enumerate(pages)}
 
 
+def test_main_text_without_the_template_of_a_host(spark):
+    legal = "<div class=x0><p>All rights stay with the house.</p><p>Words of law that every page has.</p></div>"
+    house, shop = "Words of the house on each of its pages. " * 6, "<div class=x1>Order the letter by post.</div>"
+    rows, want = [], {}
+    for i, n in enumerate((90, 90, 200, 60, 3)):
+        own = f"own {i} " + f"word{i} " * n
+        rows += [(i, "http://g.example/", f"<body><div class=x2>{house}</div><div class=y><p>{own}</p></div>{legal}</body>"), (10 + i, "http://h.example/", f"<body><article><h1>Same</h1><p>{own}</p>{shop}</article></body>")]
+        rows += [(20 + i, "http://i.example/", f"<body><article><p>Copied words.</p><div><p>{house}</p></div><p>edit {i}</p></article></body>")]
+        want |= {i: own.strip(), 10 + i: f"Same\n\n{own.strip()}", 20 + i: f"Copied words.\n\n{house.strip()}\n\nedit {i}"}
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a, b = [["t", "x"], ["t", "y"]], [["t", "x"], ["t", "z"], ["t", "z"], ["t", "y"]]
     assert html_text.align(html_text.fold(a), html_text.fold(b)) == [["t", "x"], ["?", [["+", [["t", "z"]]]]], ["t", "y"]]

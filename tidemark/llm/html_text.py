@@ -2,12 +2,13 @@
 
 A page is a stream of tags and texts. Neighbouring equal groups are folded into a repeated group, and streams of the same host
 are aligned one after another: what both have stays, what differs in text becomes a text slot, and what one lacks becomes
-an optional group. A slot's place in the wrapper (the tags around it) then decides for all pages of the host
-whether its text belongs to the article.
+an optional group. A text that no page of the host lacks or words differently is the template's; what is left of each
+page, and the names around it, then decide which element holds its article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -29,6 +30,8 @@ FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising
 FURNITURE_ROLES = frozenset("banner navigation contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Groups of up to so many tokens are folded; a wrapper with more nodes is not refined further.
 MOST_GROUP, MOST_NODES = 40, 2000
+#: So many pages of a host tell its template.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -121,40 +124,70 @@ def walk(page: str):
                     break
 
 
-# --- wrappers: lists of nodes. A node is ["t", path] (text slot), ["+", nodes] (repeated) or ["?", nodes] (optional) ----------
+# --- wrappers: lists of nodes. A node is ["t", path] (text slot), ["+", nodes] (repeated) or ["?", nodes] (optional); the first
+# two end with the value or the values of their texts as long as these are fixed, the same on all pages ----------------------
+
+
+def _value(text: str) -> str:
+    """12 digits of a text's hash and its length."""
+    text = " ".join(text.split())
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest() + str(len(text))
 
 
 def stream(page: str) -> list:
-    """A page's text slots in order; a slot is the path around a text that isn't blank."""
+    """A page's texts in order: the path around a text that isn't blank, and its value."""
     out = []
     for path, text in walk(page):
         if text is not None and not text.isspace():
-            out.append(["t", "/".join(path)])
+            out.append(["t", "/".join(path), _value(text)])
     return out
 
 
+def shape(nodes: list) -> list:
+    """The nodes with all texts as slots."""
+    return [n[:2] if n[0] == "t" else [n[0], shape(n[1])] for n in nodes]
+
+
+def merge(a: list, b: list) -> list:
+    """Nodes of one shape: texts that differ become slots."""
+    return [x if x == y else ["?", merge(x[1], y[1])] if x[0] == "?" else x[:2] for x, y in zip(a, b, strict=True)]
+
+
+def _values(nodes: list) -> list[str] | None:
+    """The values of all texts, if all are fixed."""
+    if any(n[0] == "?" or len(n) == 2 for n in nodes):
+        return None
+    return [v for n in nodes for v in ([n[2]] if n[0] == "t" else n[2])]
+
+
 def fold(nodes: list) -> list:
-    """Folds neighbouring equal groups, short ones first, into repeated groups."""
-    size = 1
+    """Folds neighbouring groups of equal shape, short ones first, into repeated groups."""
+    size, shapes = 1, shape(nodes)
     while size <= min(MOST_GROUP, len(nodes) // 2):
-        out, k, folded = [], 0, False
+        out, kept, k, folded = [], [], 0, False
         while k < len(nodes):
-            group, times = nodes[k : k + size], 1
-            while len(group) == size and nodes[k + times * size : k + (times + 1) * size] == group:
+            group, times = shapes[k : k + size], 1
+            while len(group) == size and shapes[k + times * size : k + (times + 1) * size] == group:
                 times += 1
             if times > 1 and not (size == 1 and group[0][0] == "+"):
-                out.append(["+", group])
+                values = _values(nodes[k : k + times * size])
+                out.append(["+", group] if values is None else ["+", group, values])
+                kept.append(["+", group])
                 k += times * size
                 folded = True
             else:
                 out.append(nodes[k])
+                kept.append(shapes[k])
                 k += 1
-        nodes, size = out, 1 if folded and size > 1 else size + 1
+        nodes, shapes, size = out, kept, 1 if folded and size > 1 else size + 1
     return nodes
 
 
 def _core(node: list) -> str:
-    return json.dumps(node[1] if node[0] in "+?" and not (len(node[1]) == 1 and node[1][0][0] == "t") else node[1][0] if node[0] in "+?" else node)
+    """What nodes must share to be aligned: paths, with a repeated or optional single text as the text."""
+    while node[0] in "+?" and len(node[1]) == 1:
+        node = node[1][0]
+    return json.dumps(shape([node])[0][1])
 
 
 def align(a: list, b: list) -> list:
@@ -187,53 +220,82 @@ def _joined(x: list, y: list) -> list:
         return x
     optional = "?" in (x[0], y[0])
     x, y = (n[1][0] if n[0] == "?" and len(n[1]) == 1 else n for n in (x, y))
-    node = x if x[0] == "+" or y[0] != "+" else y
+    if shape([x]) == shape([y]):
+        node = merge([x], [y])[0]
+    else:
+        node = shape([x if x[0] == "+" or y[0] != "+" else y])[0]
     return ["?", [node]] if optional else node
 
 
+def fixed(wrapper: list) -> list[str]:
+    """The values of the texts that all pages have alike: those of slots, optional groups and differing repeats aren't."""
+    return sorted({v for n in wrapper for v in _values([n]) or ()})
+
+
 def paths(nodes: list) -> list[str]:
     return [p for n in nodes for p in ([n[1]] if n[0] == "t" else paths(n[1]))]
 
 
-def decide(size: dict[str, int]) -> set[str]:
-    """The paths of a page whose texts are the article. size: characters of the page's texts at each path.
+def _holds(label: str) -> bool:
+    """Whether an element may hold an article, and not just a paragraph of it."""
+    return label.split(" ")[0] not in INLINE and not re.match(r"(p|h[1-6]|li|td|blockquote|pre)\b", label)
+
+
+def decide(size: dict[str, int], same: dict[str, int]) -> set[str]:
+    """The paths of a page whose texts are the article. size, same: characters at each path, of all texts and of the template's.
 
     Furniture goes. Of the rest, texts within an article or main element stay; without one, those within the smallest
-    element with three quarters of the rest's characters.
+    element with three quarters of the rest's characters, the template's not counted. In either, elements of template texts only
+    go; a paragraph or heading that stands among others stays.
     """
     free = {}
     for p in size:
-        labels, inside, bad = p.split("/"), False, False
-        for x in labels:
-            bad |= _furniture(x, inside)
-            inside |= x.split(" ")[0] in ("article", "main") or " role=main" in x
+        labels, inside, bad = p.split("/"), 0, False
+        for k, x in enumerate(labels):
+            bad |= _furniture(x, inside > 0)
+            if not inside and (x.split(" ")[0] in ("article", "main") or " role=main" in x):
+                inside = k + 1
         if not bad:
             free[p] = inside
-    if any(free.values()):
-        return {p for p, inside in free.items() if inside}
-    total, best = sum(size[p] for p in free), ""
+    own = {p: size[p] - same.get(p, 0) for p in free}
+    if not any(own.values()):
+        own = {p: size[p] for p in free}
     heads: dict[str, int] = {}
     for p in free:
         labels = p.split("/")
         for k in range(1, len(labels) + 1):
-            if labels[k - 1].split(" ")[0] not in INLINE and not re.match(r"(p|h[1-6]|li|td|blockquote|pre)\b", labels[k - 1]):
+            if _holds(labels[k - 1]):
                 head = "/".join(labels[:k])
-                heads[head] = heads.get(head, 0) + size[p]
-    for head, n in heads.items():
-        if 4 * n >= 3 * total and len(head) > len(best):
-            best = head
-    return {p for p in free if not best or p == best or p.startswith(best + "/")}
+                heads[head] = heads.get(head, 0) + own[p]
+    if any(free.values()):
+        kept = {p: inside for p, inside in free.items() if inside}
+        if not any(own[p] for p in kept):
+            return set(kept)
+    else:
+        total, best = sum(own.values()), ""
+        for head, n in heads.items():
+            if 4 * n >= 3 * total and len(head) > len(best):
+                best = head
+        kept = {p: best.count("/") + 1 if best else 0 for p in free if not best or p == best or p.startswith(best + "/")}
+    out = set()
+    for p, depth in kept.items():
+        labels = p.split("/")
+        if all(heads.get("/".join(labels[: k + 1]), 1) for k in range(depth, len(labels))):
+            out.add(p)
+    return out
 
 
-def extract(page: str) -> str:
-    """The blocks of a page at the paths that its own texts decide, joined by two line feeds."""
-    parts, size = [], {}
+def extract(page: str, template: frozenset[str] = frozenset()) -> str:
+    """The blocks of a page at the paths that its texts decide, joined by two line feeds. template: values of the host's fixed texts."""
+    parts, size, same = [], {}, {}
     for path, text in walk(page):
         p = "/".join(path)
         parts.append((p, text))
         if text is not None and not text.isspace():
             size[p] = size.get(p, 0) + len(text)
-    keep = decide(size)
+            if template and _value(text) in template:
+                same[p] = same.get(p, 0) + len(text)
+    keep = decide(size, same)
     blocks, begun = [], []
     for p, text in parts:
         if text is None:
@@ -253,57 +315,87 @@ def _host() -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and nodes (JSON: the wrapper) of each host, from all pages (url, html).
+    """host, nodes (JSON: the wrapper) and template (values of its fixed texts) of each host, from all pages (url, html) with text.
 
-    Pages whose folded streams are equal count as one when streams are aligned; streams of a host are first aligned in 64 shares.
+    Pages whose folded streams have equal shapes count as one when streams are aligned; streams of a host are first aligned in
+    64 shares. Fewer than LEAST_PAGES pages, or pages that are for the most part alike, copies of one another, tell no template.
     """
 
     def folded(batches):
         for batch in batches:
-            rows = list(dict.fromkeys((where, json.dumps(fold(stream(page or "")))) for where, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["host", "nodes"])
-
-    parts = common.written(pages.select(_host().alias("host"), "html").mapInArrow(folded, "host string, nodes string"))
-    streams = parts.select("host", "nodes").distinct().withColumn("share", F.pmod(F.xxhash64("nodes"), F.lit(64)).cast("int"))
+            known: dict[tuple[str, str], list] = {}
+            for where, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts = stream(page or "")
+                if not texts:
+                    continue
+                nodes = fold(texts)
+                held = known.setdefault((where, json.dumps(shape(nodes))), [nodes, 0, 0])
+                held[0] = merge(held[0], nodes)
+                held[1] += 1
+                held[2] += sum(int(t[2][12:]) for t in texts)
+            rows = [(h, _value(s), json.dumps(nodes), n, c) for (h, s), (nodes, n, c) in known.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k > 2 else pa.string()) for k in range(5)], ["host", "shape", "nodes", "n", "chars"])
+
+    parts = pages.select(_host().alias("host"), "html").mapInArrow(folded, "host string, shape string, nodes string, n long, chars long")
+    streams = common.written(parts).withColumn("share", F.pmod(F.xxhash64("shape"), F.lit(64)).cast("int"))
 
     def aligned(pdf):
         import pandas as pd
 
-        whole: list = []
-        for k, s in enumerate(sorted(pdf["nodes"], key=lambda s: (-len(s), s))):
+        known: dict[str, list] = {}
+        for s in pdf["nodes"]:
             nodes = json.loads(s)
+            key = json.dumps(shape(nodes))
+            known[key] = merge(known[key], nodes) if key in known else nodes
+        whole: list = []
+        for k, s in enumerate(sorted(known, key=lambda s: (-len(s), s))):
+            nodes = known[s]
             if k == 0:
                 whole = nodes
             elif len(whole) < MOST_NODES:
                 whole = align(whole, nodes[:MOST_NODES])
-                missing = [p for p in dict.fromkeys(paths(nodes)) if p not in set(paths(whole))]
-                whole += [["?", [["t", p]]] for p in missing]
+                held = set(paths(whole))
+                whole += [["?", [["t", p]]] for p in dict.fromkeys(paths(nodes)) if p not in held]
             else:
-                known = set(paths(whole))
-                whole += [["?", [["t", p]]] for p in dict.fromkeys(paths(nodes)) if p not in known]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "nodes": [json.dumps(whole)]})
+                held, values = set(paths(whole)), set(fixed(nodes))
+                whole = [n if n[0] == "?" or values.issuperset(_values([n]) or ()) else n[:2] for n in whole]
+                whole += [["?", [["t", p]]] for p in dict.fromkeys(paths(nodes)) if p not in held]
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "nodes": [json.dumps(whole)], "n": [pdf["n"].sum()], "chars": [pdf["chars"].sum()]})
+
+    some = streams.groupBy("host", "share").applyInPandas(aligned, "host string, nodes string, n long, chars long")
+    one = some.groupBy("host").applyInPandas(aligned, "host string, nodes string, n long, chars long")
+
+    def told(batches):
+        for batch in batches:
+            out = []
+            for s, n, chars in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                values = fixed(json.loads(s))
+                out.append(values if n >= LEAST_PAGES and 2 * n * sum(int(v[12:]) for v in values) <= chars else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["host", "nodes", "template"])
 
-    some = streams.groupBy("host", "share").applyInPandas(aligned, "host string, nodes string")
-    one = some.groupBy("host").applyInPandas(aligned, "host string, nodes string")
-    return common.written(one)
+    return common.written(one.mapInArrow(told, "host string, nodes string, template array<string>"))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, most_broadcast: int = 8 << 20) -> DataFrame:
     """pages (page_id, url, html, and others) with text, the article of each page, and n_chars; columns of these names are replaced.
 
-    A null or empty html, or a page of furniture only, has an empty text. Repeated rows stay. An empty table gives an empty one.
+    A null or empty html, or a page of furniture only, has an empty text. Pages without a host in their url are one host's.
+    Repeated rows stay. An empty table gives an empty one.
     """
-    rest = pages.drop("text", "n_chars", "wrapper", "host")
+    rest = pages.drop("text", "n_chars", "template", "host")
     names = rest.columns
+    made = wrappers(rest).where(F.size("template") > 0).select("host", "template")
+    size = made.agg(F.sum(20 * F.size("template") + 100)).first()[0] or 0
+    both = rest.withColumn("host", _host()).join(F.broadcast(made) if size <= most_broadcast else made, "host", "left").drop("host")
 
     def run(batches):
         common.release()
         for batch in batches:
-            out = [extract(page or "") for page in batch.column(batch.schema.get_field_index("html")).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*names, "text", "n_chars"])
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in (*names, "template")}
+            out = [extract(page or "", frozenset(t or ())) for page, t in zip(column["html"].to_pylist(), column["template"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in names), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*names, "text", "n_chars"])
 
-    return rest.mapInArrow(run, rest.withColumn("text", F.lit("").cast("string")).withColumn("n_chars", F.lit(0).cast("long")).schema)
+    return both.mapInArrow(run, rest.withColumn("text", F.lit("").cast("string")).withColumn("n_chars", F.lit(0).cast("long")).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
