@@ -201,6 +201,18 @@ def test_main_text_without_the_template_of_a_host(spark):
     assert got == want
 
 
+def test_names_of_layouts_are_no_furniture():
+    words = "Words of the article. " * 5
+    beside = "<nav>menu</nav><div class='site-footer'>foot</div><div id=sidebar-left>side</div><div class=relatedPosts-list>see</div>"
+    for around in ("div class='layout has-sidebar'", "div class='content no-sidebar'", "div id='page' class='with-nav'", "section class='post social-policy'", "div class=widget", "div class=hasSidebar", "form id=all"):
+        for inner in ("article", "div"):
+            assert html_text.extract(f"<body><{around}><{inner}><p>{words}</p></{inner}></{around.split()[0]}>{beside}</body>") == words.strip()
+    assert html_text.extract(f"<body><footer><article><p>{words}</p></article></footer><p>more</p></body>") == words.strip()
+    assert html_text.extract(f"<body><article><p>Own words</p><div class='post-comments'><p>{words}</p></div></article></body>") == "Own words"
+    assert html_text.extract(f"<body><div class=story><p>{words}</p></div><aside><article>teaser</article></aside></body>") == words.strip()
+    assert html_text.extract("<article><p>So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "So a=2 holds"
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a, b = [["t", "x"], ["t", "y"]], [["t", "x"], ["t", "z"], ["t", "z"], ["t", "y"]]
     assert html_text.align(html_text.fold(a), html_text.fold(b)) == [["t", "x"], ["?", [["+", [["t", "z"]]]]], ["t", "y"]]

@@ -8,6 +8,7 @@ page, and the names around it, then decide which element holds its article.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import json
@@ -21,12 +22,17 @@ from tidemark.llm import common
 
 #: Names of elements (fixed values of the markup language).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements and names that hold no part of an article (fixed values).
-FURNITURE = frozenset("head nav footer aside form button select option script style noscript template iframe title dialog menu object canvas svg math textarea".split())
+FURNITURE = frozenset("head nav footer aside form button select option script style noscript template iframe title dialog menu object canvas svg textarea annotation annotation-xml".split())
 FURNITURE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Of these, elements that hold no text of a page at all.
+UNSEEN = frozenset("head button select option script style noscript template iframe title object canvas svg textarea annotation annotation-xml".split())
+#: First parts of names that say what a layout has around its article, and last parts that keep the sense of a first one.
+LAYOUT = frozenset("has have is no not with without hide hidden show".split())
+PLACES = frozenset("area bar block bottom box container content inner items left link links list main nav outer panel primary right secondary section text top wrap wrapper".split())
 FURNITURE_ROLES = frozenset("banner navigation contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: Groups of up to so many tokens are folded; a wrapper with more nodes is not refined further.
 MOST_GROUP, MOST_NODES = 40, 2000
@@ -71,20 +77,31 @@ def _label(name: str, marks: tuple) -> str:
     return name + extra
 
 
-def _furniture(label: str, inside: bool) -> bool:
-    """Whether an element holds no part of an article; a header within an article may."""
+def _named(token: str) -> bool:
+    """Whether a class or id names furniture: by all of it or its last part, or by its first part and a place."""
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if x]
+    if not parts or parts[0] in LAYOUT:
+        return False
+    return parts[-1] in FURNITURE_NAMES or (parts[0] in FURNITURE_NAMES and all(x in PLACES for x in parts[1:]))
+
+
+@functools.lru_cache(10_000)
+def _furniture(label: str, inside: bool) -> int:
+    """Whether an element holds no part of an article: by what it is (3), what it is for (2) or a mere name (1); a header within an article may."""
     name, *marks = label.split(" ")
+    if name in UNSEEN:
+        return 3
     if name in FURNITURE or (name == "header" and not inside):
-        return True
-    words = set()
+        return 1 if name == "form" else 2
+    named = False
     key = ""
     for m in marks:
         if "=" in m:
             key, _, m = m.partition("=")
         if key == "role" and m.lower() in FURNITURE_ROLES:
-            return True
-        words.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m).lower()))
-    return name not in ("html", "body", "article", "main") and bool(words & FURNITURE_NAMES)
+            return 2
+        named |= key != "role" and _named(m)
+    return int(named and name not in ("html", "body", "article", "main"))
 
 
 def walk(page: str):
@@ -248,15 +265,36 @@ def decide(size: dict[str, int], same: dict[str, int]) -> set[str]:
     element with three quarters of the rest's characters, the template's not counted. In either, elements of template texts only
     go; a paragraph or heading that stands among others stays.
     """
-    free = {}
+    marks: dict[str, list[tuple[int, int]]] = {}
+    first, last = {}, {}
     for p in size:
-        labels, inside, bad = p.split("/"), 0, False
-        for k, x in enumerate(labels):
-            bad |= _furniture(x, inside > 0)
-            if not inside and (x.split(" ")[0] in ("article", "main") or " role=main" in x):
-                inside = k + 1
-        if not bad:
-            free[p] = inside
+        labels, found = p.split("/"), []
+        first[p] = last[p] = 0
+        for k, x in enumerate(labels, 1):
+            kind = _furniture(x, first[p] > 0)
+            if kind:
+                found.append((k, kind))
+            if x.split(" ")[0] in ("article", "main") or " role=main" in x:
+                first[p], last[p] = first[p] or k, k
+        if all(kind < 3 for _, kind in found):
+            marks[p] = found
+    if not any(first[p] and not found for p, found in marks.items()):
+        # a name doesn't make furniture of an element that holds most of the page
+        under: dict[str, int] = {}
+        for p, found in marks.items():
+            for k, kind in found:
+                if kind == 1:
+                    head = "/".join(p.split("/")[:k])
+                    under[head] = under.get(head, 0) + size[p]
+        total = sum(size[p] for p in marks)
+        most = {head for head, n in under.items() if 4 * n >= 3 * total}
+        marks = {p: [(k, kind) for k, kind in found if "/".join(p.split("/")[:k]) not in most] for p, found in marks.items()}
+    free = {p: first[p] for p, found in marks.items() if not found}
+    if not any(free.values()):
+        # an article clears what is around it, unless there is more text beside it
+        cleared = {p: last[p] for p, found in marks.items() if found and found[-1][0] < last[p]}
+        if sum(size[p] for p in cleared) > sum(size[p] for p in free):
+            free |= cleared
     own = {p: size[p] - same.get(p, 0) for p in free}
     if not any(own.values()):
         own = {p: size[p] for p in free}
