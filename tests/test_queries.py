@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from tidemark import catalog
+from tidemark.plans import series
 
 DATA = Path("/root/testdata/sf0.001")
 SQL = catalog.oracle_sql()
@@ -38,3 +39,10 @@ def test_query(spark, duck, name):
         names = ", ".join(f'"{c}"' for c in columns)
         want = sorted(([plain(x) for x in r] for r in duck.sql(f"SELECT {names} FROM ({SQL[name]})").fetchall()), key=str)
         assert got == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_trends_begin_at_every_row(spark):
+    want = series.px(spark, str(DATA)).where("price > 0").select("key", "idx").collect()
+    got = catalog.queries()["trend_scanning"](spark, str(DATA)).select("key", "entry").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -361,7 +361,7 @@ def dynamic_barrier(spark, sf_dir):
 
 @register("trend_scanning")
 def trend_scanning(spark, sf_dir):
-    return rounded(labels.trend_scanning(series.px(spark, sf_dir), 3, 12, 0.0, F.col("idx") % 5 == 0), 4)
+    return rounded(labels.trend_scanning(series.px(spark, sf_dir), 3, 12), 4)
 
 
 @register("concurrent_events", f"WITH {_TB} SELECT p.key, p.idx, count(tb.entry) AS n FROM px p LEFT JOIN tb ON tb.key = p.key AND p.idx BETWEEN tb.entry AND tb.exit GROUP BY 1, 2")
