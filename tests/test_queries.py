@@ -4,9 +4,11 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark import catalog
+from tidemark.operators import models
 from tidemark.plans import series
 
 DATA = Path("/root/testdata/sf0.001")
@@ -46,3 +48,11 @@ def test_trends_begin_at_every_row(spark):
     want = series.px(spark, str(DATA)).where("price > 0").select("key", "idx").collect()
     got = catalog.queries()["trend_scanning"](spark, str(DATA)).select("key", "entry").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_least_orders_are_of_filters_to_the_default_cutoff(spark, monkeypatch):
+    walk = np.cumsum(np.random.default_rng(5).normal(size=1500)) + 500
+    bars = spark.createDataFrame([("k", i, float(p)) for i, p in enumerate(walk)], "key string, idx long, close double")
+    monkeypatch.setattr(series, "bars", lambda *_: bars)
+    d = [models.find_min_d(bars.withColumnRenamed("close", "price"), cutoff).first().d for cutoff in (1e-3, 0.05)]
+    assert d[0] != d[1] and abs(catalog.queries()["min_frac_diff"](spark, "").first().d - d[0]) < 1e-5

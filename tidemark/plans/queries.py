@@ -553,7 +553,7 @@ def adf_test(spark, sf_dir):
 
 @register("min_frac_diff")
 def min_frac_diff(spark, sf_dir):
-    return rounded(models.find_min_d(series.bars(spark, sf_dir).select("key", "idx", F.col("close").alias("price")), 0.05))
+    return rounded(models.find_min_d(series.bars(spark, sf_dir).select("key", "idx", F.col("close").alias("price"))))
 
 
 @register("cusum_breaks")
