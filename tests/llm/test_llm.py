@@ -250,6 +250,35 @@ def test_viterbi_equals_all_paths():
         assert got[a:b] == best
 
 
+def test_line_marginals_equal_all_paths():
+    rng = np.random.default_rng(12)
+    parts = [(rng.integers(0, quality.N_FEATURES, (n, len(quality.BINS))).astype(np.uint8), rng.integers(0, 2, n)) for n in (3, 5, 1)]
+    batch, moves = quality._Sequences(parts), rng.normal(size=(2, 2))
+    score = rng.normal(size=(9, 2))
+    p, pairs = batch.expect(score, moves)
+    want, want_pairs = np.zeros_like(p), np.zeros((2, 2))
+    for i, length in enumerate((5, 3, 1)):
+        at = [batch.at[t] + i for t in range(length)]
+        ways = [[(m >> k) & 1 for k in range(length)] for m in range(1 << length)]
+        mass = np.array([np.exp(sum(score[a, y] for a, y in zip(at, w)) + sum(moves[y, z] for y, z in zip(w, w[1:]))) for w in ways])
+        for w, q in zip(ways, mass / mass.sum()):
+            for a, y in zip(at, w):
+                want[a, y] += q
+            for a, b, y, z in zip(at, at[1:], w, w[1:]):
+                want_pairs[y, z] += q * (batch.weight[a] + batch.weight[b]) / 2
+    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
+
+
+def test_quality_tells_pasted_boilerplate_from_content(spark):
+    field = quality.fit(common.read(spark, DATA, "documents"), common.read(spark, DATA, "labels"))
+    page = common.read(spark, DATA, "documents").join(common.read(spark, DATA, "labels").where("quality = 1"), "doc_id").where("length(text) between 1500 and 3000").orderBy("doc_id").first().text
+    pasted = "\n".join(["BUY!! NOW!! CHEAP!! OFFER!! " * 12, "home | news | contact | login | about | terms | help " * 8] * 3)
+    rows = quality.judge(docs(spark, [page, page + "\n" + pasted, pasted]), field).orderBy("doc_id").collect()
+    assert rows[0].content_share > 0.95 and 0.2 < rows[1].content_share < 0.95 and rows[2].content_share < 0.2
+    twice = quality.judge(docs(spark, [page, page]), field).drop("doc_id", "lang", "source").distinct()
+    assert twice.count() == 1 and quality.judge(docs(spark, [page]).limit(0), field).count() == 0
+
+
 def test_quality_on_held_out_labels(spark):
     lab = {r.doc_id: r.quality for r in common.read(spark, DATA, "labels").where(~common.training_row(F.col("doc_id"))).collect()}
     rows = [r for r in quality.query(spark, DATA).collect() if r.doc_id in lab and not r.base_failed]
@@ -267,7 +296,7 @@ def test_bpe_equals_the_library(spark, tokens):
     for i, t in enumerate(texts):
         ids = tokens.encode_ordinary(t or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()), i
-        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert (got[i].decoded_sha256, got[i].decoded_chars) == (hashlib.sha256((t or "").encode()).hexdigest(), len(t or ""))
     back = byte_bpe.decode(byte_bpe.encode(docs(spark, texts, ids="clash"), VOCABULARY, PATTERN).withColumnRenamed("text", "was"), VOCABULARY, PATTERN)
     assert back.where("text <> coalesce(was, '')").count() == 0
 
@@ -430,5 +459,7 @@ def test_pipeline_stages(spark, tokens):
     assert got == want
     last = corpus_pipeline.tokens(spark, d, DATA).orderBy("doc_id").limit(20).collect()
     assert all(list(r.ids) == tokens.encode_ordinary(before[r.doc_id]) for r in last)
+    assert all(r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest() for r in last)
+    assert corpus_pipeline.tokens(spark, d.limit(0), DATA).count() == 0
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs(spark, ODD), DATA).columns == DOCS.replace(" long", "").replace(" string", "").split(", ")

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import common
 
-ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
+#: Ids that a decoder takes at once.
+CHUNK = 4096
 
 
 def read_ranks(path: str) -> bytes:
@@ -57,7 +59,7 @@ class _Pieces(dict):
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 400_000, most_pairs: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 120_000, most_pieces: int = 200_000, most_pairs: int = 200_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.most_states, self.most_pairs = most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
@@ -206,7 +208,7 @@ class Utf8Stream:
         return len(data)
 
 
-def decode_stream(transducer: Transducer, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
+def decode_stream(transducer: Transducer, ids: Iterable[int], chunk: int = CHUNK) -> Iterator[str]:
     """The text of a stream of ids, some ids at a time."""
     machine, held = Utf8Stream(), []
     for i in ids:
@@ -230,11 +232,25 @@ def transducer(raw: bytes, pattern: str, **bounds: int) -> Transducer:
     return _MADE[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", **bounds: int) -> DataFrame:
-    """docs with a column of token ids (array of int) and no other change; a null text is empty. Columns named ids are replaced."""
+def back(transducer: Transducer, ids: np.ndarray) -> tuple[str, int]:
+    """The digest of the bytes that ids decode to, and the characters that a stream of them gives."""
+    digest, machine, chars = hashlib.sha256(), Utf8Stream(), 0
+    for k in range(0, len(ids), CHUNK):
+        data = transducer.decode_bytes(ids[k : k + CHUNK])
+        digest.update(data)
+        chars += len(machine.feed(data))
+    return digest.hexdigest(), chars + len(machine.feed(b"", last=True))
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, **bounds: int) -> DataFrame:
+    """docs with a column of token ids (array of int) and no other change; a null text is empty. Columns named ids are replaced.
+
+    decoded: a further column, with the digest of the bytes that the ids decode to.
+    """
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    rest = docs.drop(ids)
-    schema = rest.withColumn(ids, _ints()).schema
+    more = [ids, *([decoded] if decoded else [])]
+    rest = docs.drop(*more)
+    schema = rest.withColumns({c: _ints() if c == ids else _text() for c in more}).schema
 
     def run(batches):
         common.release("byte_bpe")
@@ -242,8 +258,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
         for batch in batches:
             got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(got) if got else np.zeros(0)).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+            out = [pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(got) if got else np.zeros(0)).astype(np.int32)))]
+            if decoded:
+                out.append(pa.array([back(made, x)[0] for x in got], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *more])
 
     return rest.mapInArrow(run, schema)
 
@@ -254,6 +272,12 @@ def _ints():
     return F.array().cast("array<int>")
 
 
+def _text():
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("string")
+
+
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """tokens with the text of its ids in a column; null ids give a null text."""
     from pyspark.sql import functions as F
@@ -272,7 +296,7 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", t
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row the columns of keep, then the number of tokens and digests of the ids and of the decoded bytes.
+    """For each row the columns of keep, then the number of tokens, digests of the ids and of the decoded bytes, and the decoded characters.
 
     A null or empty text has no tokens and the digests of nothing. Rows come back one for one, repeated ones too.
     """
@@ -285,14 +309,12 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
         for batch in batches:
             n, a, b = [], [], []
             for x in batch.column(len(keep)).to_pylist():
-                got, machine, back = made.encode(x or ""), Utf8Stream(), hashlib.sha256()
-                for k in range(0, len(got), 4096):
-                    back.update(machine.feed(made.decode_bytes(got[k : k + 4096])).encode())
-                back.update(machine.feed(b"", last=True).encode())
+                got = made.encode(x or "")
                 n.append(len(got))
                 a.append(hashlib.sha256(got.tobytes()).hexdigest())
-                b.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                b.append(back(made, got))
+            out = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array([x for x, _ in b], pa.string()), pa.array([x for _, x in b], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], [*keep, *(x.split()[0] for x in ENCODED.split(", "))])
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 

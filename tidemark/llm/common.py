@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
-#: Bytes of text that are worked on at once; a longer text is worked on alone, in windows of this size.
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 #: Words above this many bytes are hashed one by one.
 LONG_WORD = 1 << 16
@@ -51,8 +51,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (unset, as in tests) one beside the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tidemark"
+    """A new folder in the one that all executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local master may use one beside the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.tidemark"
     return f"{at.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -60,7 +64,17 @@ def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
     spark, at = df.sparkSession, shared_dir(df.sparkSession)
     (df.coalesce(partitions) if partitions else df).write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def training_row(doc_id: Column) -> Column:
@@ -190,8 +204,8 @@ def text_or_empty(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> pa.Table:
-    """A bounded sample of labelled texts on the driver: columns text and label (0 or 1), at most per_class rows of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> DataFrame:
+    """A bounded sample of labelled texts: doc_id, label (0 or 1) and text, at most per_class rows of each label.
 
     The rows are those of the training fold whose ids hash lowest; of rows that share an id, one counts. Labels
     other than 0 and 1, and texts that are null or longer than most_chars, don't count.
@@ -200,4 +214,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("label").alias("label")))
     texts = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(picked, "doc_id")
-    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "label").toArrow()
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -12,10 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tidemark.llm import common
 
 WINDOW = 48
+#: Probabilities that are looked up at once, at least one window's.
+LOOKED_UP = 1 << 22
 SYMBOLS = 64
 UNKNOWN = "und"
 
@@ -61,16 +64,17 @@ class Languages:
         self.names, self.table = names, table
 
     @classmethod
-    def fit(cls, texts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Languages:
+    def fit(cls, counts: dict[str, np.ndarray]) -> Languages:
+        """counts: for each language, how often each run of three symbols occurs."""
         columns = []
-        for name in sorted(texts):
-            c3 = np.bincount(_trigrams(*texts[name]), minlength=SYMBOLS**3).astype(float).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+        for name in sorted(counts):
+            c3 = counts[name].astype(float).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
             c2, c1 = c3.sum(0), c3.sum((0, 1))
             p1 = (c1 + 0.5) / (c1.sum() + 0.5 * SYMBOLS)
             p2 = (c2 + 4 * p1) / (c2.sum(1, keepdims=True) + 4)
             p3 = (c3 + 4 * p2[None]) / (c3.sum(2, keepdims=True) + 4)
-            columns.append(np.log(p3).reshape(-1))
-        return cls(sorted(texts), np.stack(columns, 1).astype(np.float32) if columns else np.zeros((SYMBOLS**3, 0), np.float32))
+            columns.append(np.log(p3).reshape(-1).astype(np.float32))
+        return cls(sorted(counts), np.stack(columns, 1) if columns else np.zeros((SYMBOLS**3, 0), np.float32))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray, rounds: int = 12, price: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
         """The number of the leading language (-1: none) and its share of each text."""
@@ -84,7 +88,12 @@ class Languages:
         first = np.r_[0, np.cumsum(windows)[:-1]]
         doc = np.repeat(np.arange(len(some)), windows)
         begin = offsets[some][doc] + WINDOW * (np.arange(len(doc)) - first[doc])
-        like = np.add.reduceat(self.table[_trigrams(data, offsets)], begin, axis=0)
+        runs, like = _trigrams(data, offsets), np.empty((len(begin), k), np.float32)
+        step = max(1, LOOKED_UP // (WINDOW * k))
+        for a in range(0, len(begin), step):
+            there = begin[a : a + step]
+            end = begin[a + step] if a + step < len(begin) else len(runs)
+            like[a : a + step] = np.add.reduceat(self.table[runs[there[0] : end]], there - there[0], axis=0)
         top = like.max(1, keepdims=True)
         base = np.add.reduceat(top[:, 0].astype(float), first)
         like = np.exp(np.maximum(like - top, -60))
@@ -109,7 +118,8 @@ class Languages:
 def fit(docs: DataFrame, sample_rows: int = 6000, most_languages: int = 1000, most_chars: int = 200_000) -> Languages:
     """Learns from at most sample_rows texts, as many of each language, whose ids hash lowest.
 
-    Only rows of the training fold with a language count, and texts of up to most_chars. No such row: no languages.
+    Only rows of the training fold with a language count, and texts of up to most_chars. No such row: no languages. Runs of
+    letters are counted where the texts are; the driver gets the counts, at most 64 ** 3 for each language.
     """
     rows = docs.select("doc_id", "text", "lang").where(common.training_row(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()}
@@ -120,14 +130,26 @@ def fit(docs: DataFrame, sample_rows: int = 6000, most_languages: int = 1000, mo
     each = max(1, sample_rows // len(counts))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * each / n) * (1 << 30)))])
-    some = rows.where(place < F.element_at(limit, F.col("lang"))).orderBy(place, "doc_id").limit(2 * sample_rows).select("lang", "text").toArrow()
-    lang = np.array(some.column("lang").to_pylist(), object)
-    texts = {}
-    for name in counts:
-        at = np.flatnonzero(lang == name)[:each]
-        if len(at):
-            texts[name] = common.utf8(some.column("text").take(pa.array(at)))
-    return Languages.fit(texts)
+    some = rows.where(place < F.element_at(limit, F.col("lang"))).withColumn("place", place).orderBy("place", "doc_id").limit(2 * sample_rows)
+    nth = F.row_number().over(W.Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    some = some.withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "text")
+
+    def run(batches):
+        common.release()
+        for batch in batches:
+            lang = np.array(batch.column(0).to_pylist(), object)
+            for name in sorted(set(lang)):
+                data, offsets = common.utf8(batch.column(1).take(pa.array(np.flatnonzero(lang == name))))
+                for a, b in common.slices(offsets):
+                    n = np.bincount(_trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "run", "n"])
+
+    found = some.mapInArrow(run, "lang string, run int, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
+    lang, at, n = np.array(found.column("lang").to_pylist(), object), found.column("run").to_numpy(), found.column("n").to_numpy()
+    made = Languages.fit({name: np.bincount(at[lang == name], weights=n[lang == name], minlength=SYMBOLS**3) for name in set(lang)})
+    common.release()
+    return made
 
 
 def identify(docs: DataFrame, languages: Languages, text: str = "text") -> DataFrame:

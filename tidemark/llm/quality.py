@@ -1,8 +1,10 @@
 """Quality rules over whole texts, with a linear-chain conditional random field that marks each line as content or boilerplate.
 
 The field has two labels. A line's features are binned measures (length, shares of symbols, digits, capitals and
-punctuation, repetition); transitions between labels are learned too. It is trained by maximum likelihood on a bounded
-sample of labelled documents, whose lines all get their document's label, and read by Viterbi decoding.
+punctuation, repetition); transitions between labels are learned too. Lines have no labels of their own: a line's label
+is hidden, and its document's label is a noisy sign of it, since a bad document holds content lines as well. The likelihood
+of those signs is climbed on a bounded sample of labelled documents and on sequences joined from runs of lines of
+both classes, which show the field how labels change. Viterbi decoding then reads the labels of a document's lines.
 A document is retained if enough of its words stand on content lines and the plain rules don't reject it.
 """
 
@@ -33,10 +35,14 @@ BINS = {
 N_FEATURES = sum(len(b) + 1 for b in BINS.values())
 #: Lines of a training sequence at most: a longer document is several sequences.
 TRAIN_LINES = 64
+#: How much likelier the sign of a line's document is if the line is of that class: by the document's label, bad and good.
+SIGNS = (3.0, 50.0)
+#: Lines of a run in a joined sequence, and runs of a joined sequence, at most.
+RUN_LINES, RUNS = 6, 6
 
 
 def _lut(characters: bytes) -> np.ndarray:
-    out = np.zeros(256, np.int32)
+    out = np.zeros(256, np.uint8)
     out[list(characters)] = 1
     return out
 
@@ -45,13 +51,16 @@ _SYMBOL, _DIGIT = _lut(b"#*$%&|<>"), _lut(b"0123456789")
 _UPPER, _LOWER = _lut(bytes(range(65, 91))), _lut(bytes(range(97, 123)))
 _MARK = _lut(b"!?;:,.()[]{}\"'/\\=+-_~^`@")
 _BARE = _lut(b"#*$%&|<>!?;:,.()[]{}\"'/\\=+-_~^`@0123456789")
-_POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.int32)
+_POINT = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.uint8)
 
 
 def _between(lut: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(lut[data], out=total[1:])
-    return total[end] - total[begin]
+    """How many bytes of each span are marked in lut: a byte of memory for each byte of text."""
+    out, some = np.zeros(len(begin), np.int64), end > begin
+    if some.any():
+        at = np.stack([begin[some], end[some]], 1).ravel()
+        out[some] = np.add.reduceat(np.append(lut[data], np.uint8(0)), at, dtype=np.int64)[::2]
+    return out
 
 
 def _repeated(key: np.ndarray) -> np.ndarray:
@@ -135,10 +144,65 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for name, ends in BINS.items():
         columns.append(at + np.searchsorted(np.array(ends, float), values[name], "left"))
         at += len(ends) + 1
-    out |= {"line_doc": line_doc, "line_words": words, "line_features": np.stack(columns, 1) if len(b) else np.zeros((0, len(BINS)), np.int64)}
+    out |= {"line_doc": line_doc, "line_words": words, "line_features": np.stack(columns, 1).astype(np.uint8) if len(b) else np.zeros((0, len(BINS)), np.uint8)}
+    return out
+
+
+def _joined(sequences: list[np.ndarray], labels: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences, each with its lines' signs: the documents, and as many joins of runs of lines from either class."""
+    out = [(s[k : k + TRAIN_LINES], np.full(len(s[k : k + TRAIN_LINES]), y)) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), TRAIN_LINES)]
+    of = [[s for s, y in zip(sequences, labels, strict=True) if y == q] for q in range(2)]
+    if of[0] and of[1]:
+        rng = np.random.default_rng(17)
+        for _ in range(len(sequences)):
+            first, runs = int(rng.integers(2)), []
+            for k in range(int(rng.integers(2, RUNS + 1))):
+                q = (first + k) % 2
+                s = of[q][int(rng.integers(len(of[q])))]
+                at, n = int(rng.integers(len(s))), int(rng.integers(1, RUN_LINES + 1))
+                runs.append((s[at : at + n], np.full(len(s[at : at + n]), q)))
+            out.append((np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])))
     return out
 
 
+class _Sequences:
+    """Sequences of lines by place: first all first lines, longest sequences first, then all second lines, and so on."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        parts = sorted(parts, key=lambda p: -len(p[0]))
+        length = np.array([len(s) for s, _ in parts])
+        self.n = [int((length > t).sum()) for t in range(int(length[0]))]
+        self.at = np.r_[0, np.cumsum(self.n)]
+        flat = np.r_[0, np.cumsum(length)[:-1]]
+        order = np.concatenate([flat[:n] + t for t, n in enumerate(self.n)])
+        self.x = np.concatenate([s for s, _ in parts])[order]
+        sign = np.concatenate([y for _, y in parts])[order]
+        self.signs = np.where(sign[:, None] == np.arange(2), np.log(np.array(SIGNS))[sign][:, None], 0.0)
+        count = np.bincount(sign, minlength=2)
+        self.weight = (len(sign) / (2 * np.maximum(count, 1)))[sign]
+        # A line and the one after it in its sequence.
+        self.before = np.concatenate([self.at[t] + np.arange(n) for t, n in enumerate(self.n[1:])] or [np.zeros(0, np.int64)])
+        self.after = np.arange(self.n[0], len(sign))
+
+    def expect(self, score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each line's probabilities of the labels, and the weighted sum of those of neighbouring pairs."""
+        e, step, at = np.exp(score - score.max(1, keepdims=True)), np.exp(moves - moves.max()), self.at
+        a, b = e.copy(), np.ones_like(e)
+        a[: self.n[0]] /= a[: self.n[0]].sum(1, keepdims=True)
+        for t in range(1, len(self.n)):
+            here = a[at[t - 1] : at[t - 1] + self.n[t]] @ step * e[at[t] : at[t + 1]]
+            a[at[t] : at[t + 1]] = here / here.sum(1, keepdims=True)
+        for t in range(len(self.n) - 2, -1, -1):
+            here = (e[at[t + 1] : at[t + 2]] * b[at[t + 1] : at[t + 2]]) @ step.T
+            b[at[t] : at[t] + self.n[t + 1]] = here / here.sum(1, keepdims=True)
+        p = a * b
+        p /= p.sum(1, keepdims=True)
+        pair = a[self.before][:, :, None] * step * (e[self.after] * b[self.after])[:, None]
+        pair /= pair.sum((1, 2), keepdims=True)
+        weight = (self.weight[self.before] + self.weight[self.after]) / 2
+        return p, (pair * weight[:, None, None]).sum(0)
+
+
 class LineField:
     """weights: a score for each feature and label; moves: for each pair of neighbouring labels; label 1 is content."""
 
@@ -159,49 +223,28 @@ class LineField:
 
     @classmethod
     def fit(cls, sequences: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 0.15, ridge: float = 1e-3) -> LineField:
-        """Maximum likelihood by forward and backward sums, with Adam steps; classes weigh alike."""
+        """Climbs the likelihood of the documents' labels as signs of their lines' hidden labels; classes weigh alike.
+
+        The slope is the difference of two expectations by forward and backward sums: with the signs, and without them.
+        """
         if not sequences:
             return cls.blank()
-        parts = [(s[k : k + TRAIN_LINES], y) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), TRAIN_LINES)]
-        n, most = len(parts), max(len(s) for s, _ in parts)
-        x = np.full((n, most, len(BINS)), N_FEATURES)
-        y, length = np.array([q for _, q in parts]), np.array([len(s) for s, _ in parts])
-        for i, (s, _) in enumerate(parts):
-            x[i, : len(s)] = s
-        there = np.arange(most)[None] < length[:, None]
-        share = np.bincount(y, weights=length, minlength=2)
-        each = (length.sum() / (2 * np.maximum(share, 1)))[y]
-        total = float((each * length).sum())
-        weights, moves = np.zeros((N_FEATURES + 1, 2)), np.zeros((2, 2))
+        batch = _Sequences(_joined(sequences, labels))
+        weights, moves = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
         state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
-        gold = np.zeros((n, most, 2))
-        gold[np.arange(n), :, y] = 1
-        gold *= there[..., None]
         for step in range(1, steps + 1):
-            score = weights[x].sum(2)
-            alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-            alpha[:, 0] = score[:, 0]
-            for t in range(1, most):
-                alpha[:, t] = np.where(there[:, t, None], score[:, t] + np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, 1), alpha[:, t - 1])
-            for t in range(most - 2, -1, -1):
-                beta[:, t] = np.where(there[:, t + 1, None], np.logaddexp.reduce(moves + (score[:, t + 1] + beta[:, t + 1])[:, None], 2), 0)
-            z = np.logaddexp.reduce(alpha[:, -1], 1)
-            p = np.exp(alpha + beta - z[:, None, None]) * there[..., None]
-            slope = (gold - p) * each[:, None, None]
-            g = np.zeros_like(weights)
-            for k in range(len(BINS)):
-                for q in range(2):
-                    g[:, q] += np.bincount(x[:, :, k].ravel(), weights=slope[..., q].ravel(), minlength=N_FEATURES + 1)
-            pair = np.exp(alpha[:, :-1, :, None] + moves + (score[:, 1:] + beta[:, 1:])[:, :, None] - z[:, None, None, None]) * there[:, 1:, None, None]
-            gm = ((gold[:, :-1, :, None] * gold[:, 1:, None, :] - pair) * each[:, None, None, None]).sum((0, 1))
-            for at, (value, slope_of) in enumerate(((weights, g), (moves, gm))):
-                d = slope_of / total - ridge * value
+            score = sum(weights[batch.x[:, k]] for k in range(len(BINS)))
+            free, free_pairs = batch.expect(score, moves)
+            held, held_pairs = batch.expect(score + batch.signs, moves)
+            slope = (held - free) * batch.weight[:, None]
+            g = np.stack([sum(np.bincount(batch.x[:, k], weights=slope[:, q], minlength=N_FEATURES) for k in range(len(BINS))) for q in range(2)], 1)
+            for at, (value, slope_of) in enumerate(((weights, g), (moves, held_pairs - free_pairs))):
+                d = slope_of / batch.weight.sum() - ridge * value
                 m, v = state[2 * at], state[2 * at + 1]
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
                 value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            weights[-1] = 0
-        return cls(weights[:-1], moves)
+        return cls(weights, moves)
 
     def decode(self, features: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The likeliest labels of the lines of many texts (Viterbi): doc numbers them, in order."""
@@ -231,16 +274,28 @@ class LineField:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, most_chars: int = 200_000) -> LineField:
     """Learns from at most per_class labelled documents of each class (quality 1 and 0), those whose ids hash lowest.
 
-    Only ids outside the held-out fold count, and texts of up to most_chars; lines of larger ones teach nothing.
+    Only ids outside the held-out fold count, and texts of up to most_chars; lines of larger ones teach nothing. Texts are
+    measured where they are: the driver gets a byte for each feature of a line, of 2 * TRAIN_LINES lines a document at most.
     No labels, or none that match: every line counts as content.
     """
+
+    def run(batches):
+        common.release()
+        for batch in batches:
+            data, offsets = common.utf8(batch.column(2))
+            rows = []
+            for a, b in common.slices(offsets):
+                m = measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                at = np.searchsorted(m["line_doc"], np.arange(b - a + 1))
+                rows += [m["line_features"][p : min(q, p + 2 * TRAIN_LINES)].tobytes() for p, q in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "label", "lines"])
+
     sample = common.labelled_sample(docs, labels, "quality", per_class, most_chars)
-    data, offsets = common.utf8(sample.column("text"))
-    y = sample.column("label").to_numpy()
-    m = measure(data, offsets)
-    at = np.searchsorted(m["line_doc"], np.arange(len(y) + 1))
-    some = [i for i in range(len(y)) if at[i + 1] > at[i]]
-    return LineField.fit([m["line_features"][at[i] : at[i + 1]] for i in some], [int(y[i]) for i in some])
+    lines = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, lines binary")
+    got = lines.where(F.length("lines") > 0).orderBy("doc_id").select("label", "lines").toArrow()
+    field = LineField.fit([np.frombuffer(x, np.uint8).reshape(-1, len(BINS)) for x in got.column("lines").to_pylist()], got.column("label").to_pylist())
+    common.release()
+    return field
 
 
 def judge(docs: DataFrame, field: LineField, min_share: float = 0.5, text: str = "text") -> DataFrame:

@@ -92,13 +92,13 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_voters: int = 400, most_chars: int = 200_000) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_voters: int = 400, most_chars: int = 20_000) -> Classifier:
     """Learns from at most per_class labelled texts of each class, of the training fold and up to most_chars long.
 
     No labelled text of class 1: nothing fires and every score is the low prior.
     """
     counts = {r.y: r.n for r in labels.where(common.training_row(F.col("doc_id"))).groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    sample = common.labelled_sample(docs, labels, "toxic", per_class, most_chars)
+    sample = common.labelled_sample(docs, labels, "toxic", per_class, most_chars).orderBy("doc_id").select("text", "label").toArrow()
     y = sample.column("label").to_numpy().astype(int)
     n = np.bincount(y, minlength=2)
     if not n[0] or not n[1]:
