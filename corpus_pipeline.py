@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import byte_bpe, common, language, mixing, near_dup, quality
 
 #: A document goes if no language has this share of it.
-LEAST_SHARE = 0.3
-
-
-#: What the encoder keeps in a worker, beside what earlier stages left of the executor's memory.
-SMALL_TABLES = {"most_states": 90_000, "most_pieces": 120_000, "most_pairs": 120_000}
+LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +39,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of each document."""
+    """doc_id, source, n_tokens and ids of each document, and the digest of the bytes that its ids decode to."""
     common.tune(spark)
-    got = byte_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **SMALL_TABLES)
-    return got.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    got = byte_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded_sha256")
+    return got.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
