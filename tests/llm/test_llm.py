@@ -6,12 +6,14 @@ import hashlib
 import html
 import random
 import re
+import struct
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -338,33 +340,91 @@ def test_language_mixtures_and_odd_texts(spark):
 # --- 7 fingerprints -------------------------------------------------------------------------------------------------
 
 
+PIECE = re.compile(rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{fingerprint.PIECE_WORDS}}}")
+
+
+def chained_hash(key, k):
+    return xxhash.xxh64_intdigest(struct.pack("<i", k), seed=xxhash.xxh64_intdigest(struct.pack("<Q", key), seed=42))
+
+
+def plain_difference(a, b):
+    """How many digests are in one of two fingerprints only; None if their difference can't be peeled."""
+    cells = collections.defaultdict(lambda: [0, 0, 0])
+    for sign, text in ((1, a), (-1, b)):
+        for cell in text.split():
+            tab, pos, n, key, chk = cell.split(":")
+            c = cells[int(tab), int(pos)]
+            c[:] = c[0] + sign * int(n), c[1] ^ int(key, 16), c[2] ^ int(chk, 16)
+    found = 0
+    while pure := next((c for c in cells.values() if abs(c[0]) == 1 and c[2] == chained_hash(c[1], 1)), None):
+        n, key, chk = pure
+        found += 1
+        for tab in range(3):
+            c = cells[tab, chained_hash(key, 100 + tab) & (fingerprint.CELLS - 1)]
+            c[:] = c[0] - n, c[1] ^ key, c[2] ^ chk
+    return None if any(map(any, cells.values())) else found
+
+
 def test_fingerprints_equal_sets_of_pieces(spark):
     rng = random.Random(8)
-    texts = ODD + [prose(rng, rng.choice([5, 60, 300, 900])) for _ in range(20)]
+    texts = ODD + [prose(rng, rng.choice([5, 60, 300, 900])) for _ in range(20)] + [prose(rng, 9000)]
     texts += [texts[-1], texts[-2] + " more"]
     rows = sorted(enumerate(texts), reverse=True)
-    got = {r.doc_id: r for r in fingerprint.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    pieces = {n: re.compile(rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{n}}}") for n in fingerprint.PIECES.values()}
+    made = fingerprint.compare(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, bucket string"))
+    got = {r.doc_id: r for r in made.collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     for k, (i, x) in enumerate(rows):
         x, y = x or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(x) // 2
         edited = x[: len(x) - half] + y[:half]
-        a, b, c = (set(pieces[8 if len(x) < 2000 else 32].findall(t)) for t in (x, edited, y))
-        like = [len(a & s) / len(a | s) if a | s else 1.0 for s in (b, c)]
+        a, b, c = (set(PIECE.findall(t)) for t in (x, edited, y))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
-        assert abs(r.near_edited - like[0]) < 1e-9 and abs(r.near_next - like[1]) < 1e-9, i
+        assert abs(r.near_edited - like(a, b)) < 1e-9 and abs(r.near_next - like(a, c)) < 1e-9, i
+        cells = [x.split(":") for x in r.fingerprint.split()]
+        assert all(sum(int(n) for t, _, n, _, _ in cells if t == str(tab)) == len(a) for tab in range(3))
+    assert max(r.cells_next for r in got.values()) > fingerprint.CELLS and min(r.cells_next for r in got.values()) == fingerprint.CELLS
     by_text = collections.defaultdict(set)
     for i, t in enumerate(texts):
         by_text[t].add(got[i].fingerprint)
     assert all(len(s) == 1 for s in by_text.values())
 
 
-def test_fingerprints_of_odd_tables(spark):
+def test_likeness_comes_from_the_fingerprints(spark):
+    """The columns fingerprint and edited_fingerprint alone give near_next and near_edited, where their difference can be peeled."""
+    rows = sorted(fingerprint.query(spark, "/root/testdata/sf0.001").collect(), key=lambda r: -r.doc_id)
+    size = lambda text: sum(int(c.split(":")[2]) for c in text.split() if c[0] == "0")
+    told = 0
+    for k, r in enumerate(rows):
+        for one, like, cells in ((r.edited_fingerprint, r.near_edited, r.cells_edited), (rows[(k + 1) % len(rows)].fingerprint, r.near_next, r.cells_next)):
+            d, both = plain_difference(r.fingerprint, one), size(r.fingerprint) + size(one)
+            assert d is not None or cells > fingerprint.CELLS
+            if d is not None:
+                told += 1
+                assert abs(like - ((both - d) / (both + d) if both else 1.0)) < 1e-12
+    assert told > len(rows)
+
+
+def test_fingerprints_of_odd_tables(spark, monkeypatch):
     d = spark.createDataFrame([(None, "a b"), (None, "c d"), (1, "e f"), (1, "e f")], "doc_id long, text string")
     assert fingerprint.compare(d).count() == 4 and fingerprint.compare(d.limit(0)).count() == 0
     one = fingerprint.compare(d.where("text = 'a b'")).first()
     assert one.edited_sha256 == hashlib.sha256(b"a a").hexdigest() and one.near_next == 1.0
+    # Skewed ids, one id on many rows, and null ids: parts are cut until they are small.
+    rng = random.Random(13)
+    rows = [(1 << 62, "far")] + [(i, prose(rng, 3)) for i in range(300)] + [(7, prose(rng, 4)) for _ in range(300)] + [(None, prose(rng, 5)) for _ in range(300)]
+    monkeypatch.setattr(fingerprint, "HEAVY", 20)
+    monkeypatch.setattr(fingerprint, "SUB", 16)
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 4)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table.count() - 1 > max(r.n for r in fingerprint._parted(table)[1]) < 40
+    hashes = {r.text: r.h for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    got = {(r.doc_id, r.text): r.edited for r in fingerprint.versions(table).collect()}
+    assert len(got) == len(set(rows))
+    for k, (i, x) in enumerate(order):
+        half, y = len(x) // 2, order[(k + 1) % len(order)][1]
+        assert got[i, x] == x[: len(x) - half] + y[:half]
 
 
 # --- 8 chat ---------------------------------------------------------------------------------------------------------
@@ -380,6 +440,15 @@ def test_reply_trees(spark):
     assert chat.format_paths(m, branches=1).count() == 1
     loop = spark.createDataFrame([("c", 1, 2, "u", "x", 0.0), ("c", 2, 1, "u", "y", 0.0)], m.schema)
     assert chat.paths(loop).count() == 0
+    tail = [("c", 1, 3, "u", "x", 0.0), ("c", 2, 1, "u", "y", 0.0), ("c", 3, 2, "u", "z", 0.0), ("c", 4, 3, "u", "tail", 0.0), ("c", 5, 4, "u", "end", 0.0), ("c", 6, None, "u", "lone", 0.0)]
+    assert [r.path for r in chat.paths(spark.createDataFrame(tail, m.schema)).collect()] == [[6]]
+    assert chat.paths(m.limit(0)).count() == 0 and chat.format_paths(m.withColumn("most", F.lit(1)).withColumn("loss", F.lit(2))).count() == 3
+
+
+def test_replies_along_a_long_text(spark):
+    rows = [("c", 1, None, "user", "long " * 300_000, 0.0), ("c", 2, 1, "assistant", "<|" * 200_000, 0.0)]
+    r = chat.report(chat.format_paths(spark.createDataFrame(rows, "conv_id string, msg_id long, parent_id long, role string, text string, score double"))).first()
+    assert (r.n_turns, r.loss_chars) == (2, 400_000) and r.loss_sha256 == hashlib.sha256(b"<|" * 200_000).hexdigest()
 
 
 def test_threads_of_odd_rows(spark):
@@ -394,17 +463,48 @@ def test_threads_of_odd_rows(spark):
 # --- 9 token files --------------------------------------------------------------------------------------------------
 
 
-def test_token_files_count_all(spark, tokens, tmp_path, monkeypatch):
+def test_token_files_count_all(spark, tokens, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 100)
     monkeypatch.setattr(token_files, "BLOCK_BYTES", 64)
     rng = random.Random(9)
     texts = ODD + [prose(rng, rng.randint(0, 60)) for _ in range(60)]
-    docs(spark, texts).repartition(3).write.parquet(str(tmp_path / "d"))
+    d = docs(spark, texts, file="clash", place="clash").repartition(3)
+    d = d.unionByName(d.where("doc_id = 9"))
+    want = collections.Counter((i, len(tokens.encode_ordinary(t or ""))) for i, t in enumerate(texts))
+    want[9, len(tokens.encode_ordinary(texts[9]))] += 1
+    got = token_files.count_documents(d, VOCABULARY, PATTERN, 50256).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == want
+    assert token_files.count_documents(d.limit(0), VOCABULARY, PATTERN, 50256).count() == 0
+    with pytest.raises(ValueError):
+        token_files.write(d, VOCABULARY, PATTERN, 1 << 16, "/nowhere")
+
+
+def test_plain_files_are_read_whatever_wrote_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 10)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 6)
+    files = {"a.bin": [1, 2, 9, 9, 3, 9], "b.bin": [5] * 40 + [9] + [6] * 3, "c.bin": [], "d.bin": [9], "e.bin": [0x0900, 0x0009, 9]}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes() + (b"x" if name == "b.bin" else b""))
+    got = sorted((r.file, r.place, r.n_tokens) for r in token_files.count(spark, str(tmp_path), 9).collect())
+    assert got == [("a.bin", 0, 2), ("a.bin", 1, 0), ("a.bin", 2, 1), ("b.bin", 0, 40), ("b.bin", 1, 3), ("d.bin", 0, 0), ("e.bin", 0, 1), ("e.bin", 1, 0)]
+    assert token_files.count(spark, str(tmp_path / "none"), 9).count() == 0
+
+
+def test_counts_survive_other_partitions(spark, tokens, tmp_path):
+    """Partitions that change between the writing and the counting change no count."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(0, 30)) for _ in range(400)]
+    docs(spark, texts).repartition(16).write.parquet(str(tmp_path / "d"))
+    d, at = spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "flat")
+    listed = token_files.write(d, VOCABULARY, PATTERN, 50256, at)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
     try:
-        got = token_files.count_documents(spark.read.parquet(str(tmp_path / "d")), VOCABULARY, PATTERN, 50256).collect()
+        got = listed.join(token_files.count(spark, at, 50256), ["file", "place"], "left").collect()
     finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tokens.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tokens.encode_ordinary(t)) for i, t in enumerate(texts)}
 
 
 # --- 10 toxicity ----------------------------------------------------------------------------------------------------

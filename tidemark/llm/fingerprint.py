@@ -1,9 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches, by DataFrame operations only.
 
 A text's paragraphs are cut into pieces of a few words, and each piece's digest is put into three cells of a
-sketch: a cell has a count, and the exclusive or of its digests and of their checks. Sketches of two versions subtract cell
-by cell; what both have cancels. A cell with a count of one or minus one whose check fits gives away a differing digest, which is
-then taken out of its other cells, until nothing is left. If that fails, a larger sketch is tried.
+sketch: a cell has a count, and the exclusive or of its digests and of their checks. A text's fingerprint is its sketch of
+CELLS cells a table. Fingerprints of two versions subtract cell by cell; what both have cancels. A cell with a count of one
+or minus one whose check fits gives away a differing digest, which is then taken out of its other cells, until nothing is left.
+If that fails, both versions get sketches four times as large, and so on without an end.
 """
 
 from __future__ import annotations
@@ -14,31 +15,24 @@ from pyspark.sql import window as W
 
 from tidemark.llm import common
 
-#: Pieces of a line, with the white space after them: a text's length (in characters, below) sets how many words they have.
-PIECES = {2000: 8, None: 32}
-#: Cells of each of the three tables of a fingerprint.
-SMALL = 8
-#: Each of the three tables of a sketch that is to be peeled has at least so many cells; a retry has four times as many as the try before.
-LEAST, MOST, TRIES = 64, 1 << 21, 6
+#: Words of a piece, with the white space after them; pieces begin anew in every line.
+PIECE_WORDS = 16
+#: Cells of each of the three tables of a fingerprint, and how many times as many a retry has.
+CELLS, GROWTH = 64, 4
 #: Sweeps over the three tables.
 SWEEPS = 4
-#: Equal parts of the span of ids, and rows that parts are gathered to.
-PARTS, BUCKET_ROWS = 32_768, 64
+#: Parts of the span of ids at least, the rows of a part on average at most, and rows that parts are gathered to.
+PARTS, PART_ROWS, BUCKET_ROWS = 32_768, 16_384, 64
+#: A part of more rows is cut into SUB smaller ones, up to LEVELS times.
+HEAVY, SUB, LEVELS = 4 * PART_ROWS, 1024, 4
+#: The texts that sketches are made of: a row's own, its edited one and the next row's; the pairs that are subtracted.
+SIDES, PAIRS = ("own", "edit", "next"), (("own", "edit"), ("own", "next"))
 
 
-def digests(text: Column, chars: Column | None = None) -> Column:
-    """The distinct 64-bit digests of a text's pieces, whose size chars sets (the text's own length, if None).
-
-    None of a null, empty or blank text.
-    """
-    text = F.coalesce(text, F.lit(""))
-
-    def of(n: int) -> Column:
-        pattern = rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{n}}}"
-        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(p)))
-
-    small, *_ = PIECES
-    return F.when((F.length(text) if chars is None else chars) < small, of(PIECES[small])).otherwise(of(PIECES[None]))
+def digests(text: Column) -> Column:
+    """The distinct 64-bit digests of a text's pieces; none of a null, empty or blank text."""
+    pattern = rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{PIECE_WORDS}}}"
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def _check(d: Column) -> Column:
@@ -47,147 +41,180 @@ def _check(d: Column) -> Column:
 
 def _place(d: Column, table: int, cells: Column, seed: int) -> Column:
     """A digest's cell in one of the three tables."""
-    return F.shiftrightunsigned(F.xxhash64(d, F.lit(100 + seed)), 21 * table).bitwiseAND(cells - 1)
-
+    return F.xxhash64(d, F.lit(100 + 3 * seed + table)).bitwiseAND(cells - 1)
 
-def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cells that hold something: counts add up, digests and checks by exclusive or."""
-    out = rows.groupBy(*by, "tab", "pos").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-    return out.where("n <> 0 or key <> 0 or chk <> 0")
 
+def sketches(keys: DataFrame, sides: tuple[str, ...], seed: int) -> DataFrame:
+    """The cells of the sketches of each row: row, want, cells, tab, pos, and for each side n, key and chk (0: nothing there).
 
-def sketch(elements: DataFrame, by: list[str], seed: int) -> DataFrame:
-    """The cells of sketches: elements has the columns by, cells (of a table), n and key.
-
-    Elements of one version with n = 1 and of another with n = -1 give the difference of their sketches.
+    keys has row, want, cells (of a table) and an array of digests for each side.
     """
-    at = F.array(*(F.struct(F.lit(k).alias("tab"), _place(F.col("key"), k, F.col("cells"), seed).alias("pos")) for k in range(3)))
-    rows = elements.withColumn("at", F.explode(at)).select(*by, "at.tab", "at.pos", F.col("n").cast("long").alias("n"), "key", _check(F.col("key")).alias("chk"))
-    return _summed(rows, by)
-
-
-def peel(cells: DataFrame, by: list[str], seed: int) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(k).alias("side"), F.col(f"{s}_keys").alias("keys")) for k, s in enumerate(sides)))
+    rows = keys.select("row", "want", "cells", F.explode(each).alias("s")).select("row", "want", "cells", "s.side", F.explode("s.keys").alias("key"))
+    rows = rows.withColumn("chk", _check(F.col("key")))
+    at = F.array(*(F.struct(F.lit(t).alias("tab"), _place(F.col("key"), t, F.col("cells"), seed).alias("pos")) for t in range(3)))
+    rows = rows.withColumn("at", F.explode(at)).select("row", "want", "cells", "side", "key", "chk", "at.tab", "at.pos")
+    sums = []
+    for k, s in enumerate(sides):
+        here = F.col("side") == k
+        sums.append(F.sum(F.when(here, 1).otherwise(0)).alias(f"{s}_n"))
+        sums += [F.bit_xor(F.when(here, F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"{s}_{c}") for c in ("key", "chk")]
+    return rows.groupBy("row", "want", "cells", "tab", "pos").agg(*sums)
+
+
+def subtract(cells: DataFrame) -> DataFrame:
+    """The differences of the sketches of the wanted PAIRS (want: bits), cell by cell: row, pair, cells, tab, pos, n, key, chk."""
+    minus = [F.struct(F.lit(k).alias("pair"), (F.col(f"{a}_n") - F.col(f"{b}_n")).alias("n"), *(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}")).alias(c) for c in ("key", "chk"))) for k, (a, b) in enumerate(PAIRS)]
+    out = cells.select("row", "want", "cells", "tab", F.col("pos").cast("long").alias("pos"), F.explode(F.array(*minus)).alias("d")).select("row", "want", "d.pair", "cells", "tab", "pos", "d.n", "d.key", "d.chk")
+    wanted = F.when(F.col("pair") == 0, F.col("want").bitwiseAND(1)).otherwise(F.col("want").bitwiseAND(2)) > 0
+    return out.where(wanted & ((F.col("n") != 0) | (F.col("key") != 0) | (F.col("chk") != 0))).drop("want")
+
+
+def peel(cells: DataFrame, seed: int) -> DataFrame:
     """Cells after peeling; each recovered digest is counted in a cell of table -1. What else is left couldn't be peeled.
 
     One table at a time: its cells that hold just one digest hold different ones, which are taken out of
-    the other two. Rows of a sketch never leave their task: cells must be partitioned by a column of by.
+    the other two. Rows of a sketch never leave their task: cells must be partitioned by row.
     """
+    by = ["row", "pair", "cells"]
     cell = lambda tab, pos, n, key, chk: F.struct(tab.cast("int").alias("tab"), pos.cast("long").alias("pos"), n.cast("long").alias("n"), key.alias("key"), chk.alias("chk"))
     zero = F.lit(0).cast("long")
     for k in list(range(3)) * SWEEPS:
         pure = (F.col("tab") == k) & (F.abs("n") == 1) & (F.col("chk") == _check(F.col("key")))
         out = [cell(F.lit(j), _place(F.col("key"), j, F.col("cells"), seed), -F.col("n"), F.col("key"), F.col("chk")) for j in range(3) if j != k]
         after = F.when(pure, F.array(cell(F.lit(-1), zero, F.lit(1), zero, zero), *out)).otherwise(F.array(cell(F.col("tab"), F.col("pos"), F.col("n"), F.col("key"), F.col("chk"))))
-        cells = _summed(cells.select(*by, F.explode(after).alias("x")).select(*by, "x.*"), by)
+        cells = cells.select(*by, F.explode(after).alias("x")).select(*by, "x.*").groupBy(*by, "tab", "pos").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
+        cells = cells.where("n <> 0 or key <> 0 or chk <> 0")
     return cells
 
 
 def differing(keys: DataFrame) -> DataFrame:
-    """row, pair and n_differing, how many digests are in one version only, of all pairs that differ; keys has row and the arrays.
+    """row, pair, n_differing (digests in one version only) and cells (of a table of the sketch that told) of all pairs that differ.
 
-    Sketches that can't be peeled are made anew four times as large, with other places. After TRIES a pair that still
-    fails (more digests than the largest sketch has cells) counts what is left by the counts of one table.
+    keys has row and the arrays of digests. The first try subtracts the fingerprints; pairs whose difference can't be
+    peeled get sketches GROWTH times as large, with other places, until it can.
     """
-    done, left = None, keys.withColumn("pairs", F.array(F.lit(0), F.lit(1)))
-    most = F.greatest(F.size("own_keys") + F.size("edit_keys"), F.size("own_keys") + F.size("next_keys"), F.lit(LEAST))
-    for seed in range(TRIES):
-        want = F.least(F.lit(MOST), F.shiftleft(F.pow(F.lit(2.0), F.ceil(F.log2(most))).cast("long"), 2 * seed)).cast("long")
-        sized = left.withColumn("cells", want).repartition("row")
-        by = ["row", "pair", "cells"]
-        sides = sized.select("row", "cells", "pairs", F.explode(_sides()).alias("s")).where(F.array_contains("pairs", F.col("s.pair")))
-        elements = sides.select("row", "cells", "s.pair", "s.n", F.explode("s.keys").alias("key"))
-        cells = peel(sketch(elements, by, seed), by, seed)
+    done, left, cells, seed = None, keys.withColumn("want", F.lit(3)), CELLS, 0
+    while True:
+        sized = left.withColumn("cells", F.lit(cells).cast("long")).repartition("row")
+        rest = peel(subtract(sketches(sized, SIDES, seed)), seed)
         found = F.sum(F.when(F.col("tab") == -1, F.col("n")).otherwise(0))
-        rest = F.sum(F.when(F.col("tab") == 0, F.abs("n")).otherwise(0))
-        tried = common.written(cells.groupBy("row", "pair").agg(found.alias("found"), rest.alias("rest"), (F.max("tab") >= 0).alias("failed")))
-        last = seed == TRIES - 1
-        good = tried.where(F.lit(True) if last else ~F.col("failed")).select("row", "pair", (F.col("found") + F.col("rest")).alias("n_differing"))
+        tried = common.written(rest.groupBy("row", "pair", "cells").agg(found.alias("n_differing"), (F.max("tab") >= 0).alias("failed")))
+        good = tried.where("not failed").drop("failed")
         done = good if done is None else done.unionByName(good)
-        failed = tried.where("failed").groupBy("row").agg(F.collect_set("pair").alias("pairs"))
-        if last or failed.isEmpty():
+        failed = tried.where("failed").groupBy("row").agg(F.sum(F.when(F.col("pair") == 0, 1).otherwise(2)).cast("int").alias("want"))
+        if failed.isEmpty():
             return done
-        left = keys.join(failed, "row")
-    raise AssertionError("the last try returns")
+        left, cells, seed = keys.join(failed, "row"), cells * GROWTH, seed + 1
 
 
-def _sides() -> Column:
-    """The versions of the pairs own and edited (0), and own and next (1)."""
-    side = lambda pair, n, name: F.struct(F.lit(pair).alias("pair"), F.lit(n).alias("n"), F.col(name).alias("keys"))
-    return F.array(side(0, 1, "own_keys"), side(0, -1, "edit_keys"), side(1, 1, "own_keys"), side(1, -1, "next_keys"))
+def prints(keys: DataFrame) -> DataFrame:
+    """row, fingerprint and edited_fingerprint: the sketches as text, for each full cell table, place, count, digest and check."""
+    cells = sketches(keys.withColumns({"want": F.lit(0), "cells": F.lit(CELLS).cast("long")}), SIDES[:2], 0)
 
+    def whole(s: str) -> Column:
+        text = F.concat_ws(":", F.col("tab").cast("string"), F.col("pos").cast("string"), F.col(f"{s}_n").cast("string"), F.lower(F.hex(f"{s}_key")), F.lower(F.hex(f"{s}_chk")))
+        return F.array_join(F.sort_array(F.collect_list(F.when(F.col(f"{s}_n") > 0, text))), " ")
 
-def prints(keys: DataFrame) -> DataFrame:
-    """row, fingerprint and edited_fingerprint: small sketches as text, a cell with table, place, count, digest and check each."""
-    sides = F.array(F.struct(F.lit(0).alias("which"), F.col("own_keys").alias("keys")), F.struct(F.lit(1).alias("which"), F.coalesce("alone_keys", "edit_keys").alias("keys")))
-    elements = keys.select("row", F.explode(sides).alias("s")).select("row", "s.which", F.lit(SMALL).cast("long").alias("cells"), F.lit(1).alias("n"), F.explode("s.keys").alias("key"))
-    cells = sketch(elements, ["row", "which"], 0)
-    text = F.concat_ws(":", F.col("tab").cast("string"), F.col("pos").cast("string"), F.col("n").cast("string"), F.lower(F.hex("key")), F.lower(F.hex("chk")))
-    whole = lambda which: F.array_join(F.sort_array(F.collect_list(F.when(F.col("which") == which, text))), " ")
-    return cells.groupBy("row").agg(whole(0).alias("fingerprint"), whole(1).alias("edited_fingerprint"))
+    return cells.groupBy("row").agg(whole("own").alias("fingerprint"), whole("edit").alias("edited_fingerprint"))
+
+
+def _place_of_hash() -> Column:
+    """0 to SUB - 1, rising with the hash that orders rows of one id."""
+    return F.least(F.floor((F.xxhash64("text").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * SUB), F.lit(SUB - 1)).cast("long")
+
+
+def _place_of_id(hi: Column, lo: Column, n: int) -> Column:
+    """0 to n - 1, rising as ids fall from hi to lo."""
+    down = (hi.cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")).cast("double")
+    span = (hi.cast("decimal(20,0)") - lo.cast("decimal(20,0)")).cast("double") + 1
+    return F.least(F.floor(down / span * n), F.lit(n - 1)).cast("long")
+
+
+def _parted(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with part, which rises in the order of rows, and of each part that has rows part, n, top (its first id) and least (its least hash).
+
+    Parts are equal spans of ids; null ids come last. Parts with many rows are cut anew over the span that they have, and
+    if they have one id, over the hashes of its texts; least is known of parts with one id that were cut.
+    """
+    lo, hi, n = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long"), F.count("*")).first()
+    parts = max(PARTS, n // PART_ROWS)
+    last = F.lit(parts).cast("long")
+    out = docs.withColumn("part", last if hi is None else F.when(F.col("doc_id").isNull(), last).otherwise(_place_of_id(F.lit(hi), F.lit(lo), parts)))
+    sums = [F.count("*").alias("n"), F.min("doc_id").cast("long").alias("lo"), F.max("doc_id").cast("long").alias("hi")]
+    found = out.groupBy("part").agg(*sums, F.lit(None).cast("long").alias("least")).collect()
+    for _ in range(LEVELS):
+        heavy = [(r.part, r.lo, r.hi) for r in found if r.n > HEAVY]
+        if not heavy:
+            break
+        table = F.broadcast(docs.sparkSession.createDataFrame(heavy, "part long, lo long, hi long").withColumn("cut", F.lit(True)))
+        by_id = _place_of_id(F.col("hi"), F.col("lo"), SUB)
+        sub = F.when(F.col("cut").isNull(), F.lit(0).cast("long")).when(F.col("lo").isNull() | (F.col("lo") == F.col("hi")), _place_of_hash()).otherwise(by_id)
+        out = out.join(table, "part", "left").withColumn("part", F.col("part") * SUB + sub).drop("lo", "hi", "cut")
+        found = out.groupBy("part").agg(*sums, F.min(F.xxhash64("text")).alias("least")).collect()
+        found = [type(r)(part=r.part, n=r.n, lo=r.lo, hi=r.hi, least=r.least if r.lo == r.hi else None) for r in found]
+    return out, sorted(found, key=lambda r: r.part)
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """docs with bucket, a run of neighbouring ids, and ghost: each bucket's first rows stand in the bucket before too, as ghosts.
+    """docs with bucket, a run of neighbouring rows, and ghost: each bucket's first rows stand in the bucket before too, as ghosts.
 
-    The first bucket stands after the last. Null ids come after all others.
+    The first bucket stands after the last.
     """
-    spark = docs.sparkSession
-    lo, hi = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
-    part = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id").cast("decimal(20,0)")).cast("double") / F.lit(float((hi or 0) - (lo or 0) + 1)) * PARTS).cast("int"), F.lit(PARTS)) if hi is not None else F.lit(PARTS)
-    found = docs.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).orderBy("part").collect()  # PARTS + 1 rows at most
+    placed, found = _parted(docs)
     rows, before, last = [], 0, -1
     for r in found:
         bucket = before // BUCKET_ROWS
-        rows.append((r.part, bucket, r.top, bucket != last))
+        rows.append((r.part, bucket, r.hi, r.least, bucket != last))
         before, last = before + r.n, bucket
     order = sorted({r[1] for r in rows})
     behind = {b: order[k - 1] for k, b in enumerate(order)}
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = spark.createDataFrame([(p, b, behind[b], t, first) for p, b, t, first in rows], f"part int, own long, behind long, top {kind}, first boolean")
-    placed = docs.withColumn("part", part).join(F.broadcast(table), "part")
+    # One row for each part: a few tens of bytes for PART_ROWS texts.
+    table = docs.sparkSession.createDataFrame([(p, b, behind[b], t, h, first) for p, b, t, h, first in rows], "part long, own long, behind long, top long, least long, first boolean")
+    begins = F.col("first") & F.col("doc_id").cast("long").eqNullSafe(F.col("top")) & (F.col("least").isNull() | (F.xxhash64("text") == F.col("least")))
     at = lambda b, g: F.struct(b.alias("bucket"), F.lit(g).alias("ghost"))
-    both = F.when(F.col("first") & F.col("doc_id").eqNullSafe(F.col("top")), F.array(at(F.col("own"), False), at(F.col("behind"), True))).otherwise(F.array(at(F.col("own"), False)))
-    return placed.withColumn("in", F.explode(both)).select(*docs.columns, "in.bucket", "in.ghost")
+    both = F.when(begins, F.array(at(F.col("own"), False), at(F.col("behind"), True))).otherwise(F.array(at(F.col("own"), False)))
+    return placed.join(F.broadcast(table), "part").withColumn("in", F.explode(both)).select(*docs.columns, "in.bucket", "in.ghost")
 
 
 def versions(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and edited of each row of docs (doc_id, text); the next row is the one with the next smaller id.
+    """doc_id, text, edited, and the digests own_keys and next_keys of each row of docs (doc_id, text); the next row has the next smaller id.
 
     Rows of the same id are ordered by their texts; the row after the last is the first. A null text is empty.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _bucketed(d).withColumn("own_keys", digests(F.col("text")))
     order = W.Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    after = F.lead("text").over(order)
-    rows = _bucketed(d).withColumn("next_text", after).where("not ghost")
+    rows = rows.withColumn("after", F.lead(F.struct("text", "own_keys")).over(order)).where("not ghost")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    return rows.select("doc_id", "text", "next_text", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("after.text", F.lit(1), half))
+    return rows.select("doc_id", "text", edited.alias("edited"), "own_keys", F.col("after.own_keys").alias("next_keys"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """The fingerprints of each text and of its edited text, and how like they are; see versions for the order.
+    """The fingerprints of each text and of its edited text, and how like they are; see versions for the order of rows.
 
-    Rows of equal texts have equal fingerprints; an empty or blank text has that of no piece. Rows with a null id come last.
+    near_edited and near_next are the shares of common digests, from the differences of fingerprints; cells_edited and cells_next tell
+    how large (cells of a table) the sketches were that could be peeled. Rows of equal texts have equal fingerprints; an
+    empty or blank text has that of no piece, and two such are alike. Rows with a null id come last, repeated rows count each.
     """
-    v = versions(docs)
-    n = F.length("text")
-    of = {"own": F.col("text"), "edit": F.col("edited"), "next": F.col("next_text")}
-    v = v.withColumns({f"{k}_keys": digests(t, n) for k, t in of.items()})
-    same = [(F.length(t) < most) == (n < most) for t in (F.col("edited"),) for most in PIECES if most]
-    v = v.withColumn("alone_keys", F.when(same[0], F.lit(None)).otherwise(digests(F.col("edited"))))
-    arrays = [f"{k}_keys" for k in (*of, "alone")]
-    keys = common.written(v.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *arrays))
-    apart = differing(keys.select("row", "own_keys", "edit_keys", "next_keys"))
-    apart = common.written(apart.groupBy("row").agg(*(F.max(F.when(F.col("pair") == k, F.col("n_differing"))).alias(f"d{k}") for k in range(2))))
-    sizes = keys.select("row", "doc_id", "n_chars", "edited_sha256", *((F.size("own_keys") + F.size(c)).alias(f"both{k}") for k, c in enumerate(("edit_keys", "next_keys"))))
-    out = sizes.join(apart, "row", "left").join(prints(keys.repartition("row")), "row", "left")
+    v = versions(docs).withColumn("edit_keys", digests(F.col("edited")))
+    keys = common.written(v.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(f"{s}_keys" for s in SIDES)))
+    arrays = keys.select("row", *(f"{s}_keys" for s in SIDES))
+    apart = differing(arrays)
+    of = lambda c, k: F.max(F.when(F.col("pair") == k, F.col(c)))
+    apart = apart.groupBy("row").agg(*(of(c, k).alias(f"{c}{k}") for k in range(2) for c in ("n_differing", "cells")))
+    sizes = keys.select("row", "doc_id", "n_chars", "edited_sha256", *((F.size(f"{a}_keys") + F.size(f"{b}_keys")).alias(f"both{k}") for k, (a, b) in enumerate(PAIRS)))
+    out = sizes.join(apart, "row", "left").join(prints(arrays.repartition("row")), "row", "left")
 
     def likeness(k: int) -> Column:
-        both, d = F.col(f"both{k}"), F.coalesce(F.col(f"d{k}"), F.lit(0))
+        both, d = F.col(f"both{k}"), F.coalesce(F.col(f"n_differing{k}"), F.lit(0))
         return F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))
 
     printed = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("fingerprint", "edited_fingerprint"))
-    return out.select("doc_id", "n_chars", "edited_sha256", *printed, likeness(0).alias("near_edited"), likeness(1).alias("near_next"))
+    cells = (F.coalesce(F.col(f"cells{k}"), F.lit(CELLS).cast("long")).alias(c) for k, c in enumerate(("cells_edited", "cells_next")))
+    return out.select("doc_id", "n_chars", "edited_sha256", *printed, likeness(0).alias("near_edited"), likeness(1).alias("near_next"), *cells)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
