@@ -32,30 +32,37 @@ def _role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("<\\:"))
 
 
-def paths(messages: DataFrame, most_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame) -> DataFrame:
     """conv_id, leaf and path (the ids from root to leaf) of every leaf; messages has conv_id, msg_id and parent_id (null: a root).
 
     A message whose parent isn't there is a root. Ids are unique in a conversation. Messages that reply in a circle have no root, and
-    no path; if a path isn't done after most_rounds doublings, the parents go in a circle, and a ValueError is raised.
+    neither have those that hang off one: none of them has a path. Such a path is known by being longer than its conversation.
     """
     m = messages.select("conv_id", "msg_id", "parent_id")
     known = m.select(F.col("conv_id"), F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
     m = m.join(known, ["conv_id", "parent_id"], "left").select("conv_id", "msg_id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"))
-    m = common.written(m)
+    m = common.written(m.join(messages.groupBy("conv_id").agg(F.count("*").alias("most")), "conv_id"))
     parents = m.where("parent_id is not null").select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
     # A path's array goes from its top message to the leaf; next is the one above the top. A jump does the same from any message.
-    found = common.written(m.join(parents, ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("leaf"), F.array("msg_id").alias("path"), F.col("parent_id").alias("next")))
-    jumps = m.select("conv_id", F.col("msg_id").alias("next"), F.array("msg_id").alias("up"), F.col("parent_id").alias("after"))
-    for k in range(most_rounds):
-        if found.where("next is not null").isEmpty():
-            return found.select("conv_id", "leaf", "path")
-        if k:  # jumps twice as long; those that would go beyond a root stay as they are, and are taken by no path twice
+    found = common.written(m.join(parents, ["conv_id", "msg_id"], "left_anti").select("conv_id", "most", F.col("msg_id").alias("leaf"), F.array("msg_id").alias("path"), F.col("parent_id").alias("next")))
+    jumps, rounds = m.select("conv_id", "most", F.col("msg_id").alias("next"), F.array("msg_id").alias("up"), F.col("parent_id").alias("after")), 0
+    while not found.where("next is not null").isEmpty():
+        before = [found]
+        if rounds:  # jumps twice as long; those that would go beyond a root stay as they are, and are taken by no path twice
             above = jumps.select("conv_id", F.col("next").alias("after"), F.col("up").alias("up2"), F.col("after").alias("after2"))
-            longer = jumps.where("after is not null").join(above, ["conv_id", "after"]).select("conv_id", "next", F.concat("up2", "up").alias("up"), F.col("after2").alias("after"))
-            jumps = common.written(longer.unionByName(jumps.where("after is null")))
-        open_paths = found.where("next is not null").join(jumps, ["conv_id", "next"]).select("conv_id", "leaf", F.concat("up", "path").alias("path"), F.col("after").alias("next"))
-        found = common.written(open_paths.unionByName(found.where("next is null")))
-    raise ValueError("replies go in a circle")
+            longer = jumps.where("after is not null").join(above, ["conv_id", "after"]).select("conv_id", "most", "next", F.concat("up2", "up").alias("up"), F.col("after2").alias("after"))
+            before += [jumps] if rounds > 1 else []
+            jumps = common.written(longer.where(_ends("up", "after")).unionByName(jumps.where("after is null")))
+        open_paths = found.where("next is not null").join(jumps.drop("most"), ["conv_id", "next"]).select("conv_id", "most", "leaf", F.concat("up", "path").alias("path"), F.col("after").alias("next"))
+        found = common.written(open_paths.where(_ends("path", "next")).unionByName(found.where("next is null")))
+        common.discard(*before)
+        rounds += 1
+    return found.select("conv_id", "leaf", "path")
+
+
+def _ends(path: str, next_id: str) -> Column:
+    """Whether a path, or what is left of it, may come to a root: one as long as its conversation that goes on is in a circle."""
+    return F.col(next_id).isNull() | (F.size(path) < F.col("most"))
 
 
 def chosen(messages: DataFrame, branches: int | None = None) -> DataFrame:
