@@ -1,8 +1,9 @@
 """Near-duplicate documents: MinHash bands find candidates, odd sketches sift them, whole shingle sets confirm them.
 
 Documents with equal shingle sets are one node. Nodes whose MinHash bands agree meet in a bucket. Pairs are not made
-within buckets: each member is held against the bucket's first and last node only. What those links join is one component;
-then only members of different components that share a bucket are paired, if their odd sketches allow the
+within buckets: each member is held against the first and last node of the bucket only, or of a share of it where the
+bucket is large, and the shares' first and last nodes against one another in the same way, so that no node is in many
+pairs. What those links join is one component; then only members of different components that share a bucket are paired, if their odd sketches allow the
 similarity. An odd sketch is a bitmap into which samples are folded by parity: the bits in which two differ count the
 samples in which the sets differ, and tell high similarities precisely. A node has two: one of the MinHash samples, and
 one of the shingles with the least hashes (small sets: of all), which is the sharper for small sets.
@@ -28,6 +29,9 @@ DEVIATIONS = 5
 #: The second sketch folds the shingles whose hash ends in so many zero bits that about this many are left.
 SAMPLED = 256
 
+#: Members of a bucket that are held against the same two nodes, at most.
+FAN = 64
+
 _K = BANDS * ROWS
 _A = (common.mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = common.mix(np.arange(_K + 1, 2 * _K + 1, dtype=np.uint64)).astype(np.uint32)
@@ -86,7 +90,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a digest of the text), n_shingles, node (a digest of the set; null without words), bands and sketch."""
 
     def run(batches):
-        common.release()
+        common.release("words")
         for batch in batches:
             data, offsets = common.utf8(batch.column(2))
             size, node, bands, sketches = [], [], [], []
@@ -148,7 +152,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "copy_a").join(right, "copy_b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        common.release()
+        common.release("words")
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             key = [batch.column(k).to_pylist() for k in range(2)]
@@ -178,6 +182,25 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _held_together(members: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes that hold buckets together; members has band, node and n, the bucket's size.
+
+    Every member meets the first and the last node of its share; the first and last nodes of a bucket's shares are the members of the
+    next round, until a bucket is one share.
+    """
+    out = None
+    while True:
+        shared = members.withColumn("shares", F.when(F.col("n") <= FAN, F.lit(1)).otherwise(F.ceil(F.col("n") * 4 / F.lit(FAN))).cast("long"))
+        shared = shared.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
+        ends = common.written(shared.groupBy("band", "shares", "share").agg(F.min("node").alias("low"), F.max("node").alias("high")))
+        met = shared.join(ends.where("low <> high"), ["band", "shares", "share"])
+        pairs = met.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+        out = pairs if out is None else out.unionByName(pairs)
+        members = ends.where("shares > 1").select("band", (2 * F.col("shares")).alias("n"), F.explode(F.array_distinct(F.array("low", "high"))).alias("node"))
+        if members.isEmpty():
+            return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node that it reaches) of every node of the edges (a, b).
 
@@ -216,7 +239,7 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
     nodes = common.written(some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("copy", "bands", "sketch"), "copy").alias("one")).select("node", "first_id", "one.*"))
     texts = docs.where("text is not null").groupBy(_copy()).agg(F.min("text").alias("text"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = common.written(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
+    buckets = common.written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = common.written(banded.join(buckets, "band"))
     held = nodes.select("node", "copy", "sketch")
 
@@ -226,10 +249,8 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
         b = held.select(F.col("node").alias("b"), F.col("copy").alias("copy_b"), F.col("sketch").alias("sketch_b"))
         return pairs.join(a, "a").join(b, "b").where(_close("sketch_a", "sketch_b", percent)).select("a", "b", "copy_a", "copy_b")
 
-    def pair(x: str, y: str) -> DataFrame:
-        return members.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    first = common.written(sifted(pair("node", "low").unionByName(pair("node", "high")).distinct()))
+    first = _held_together(members).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = common.written(sifted(first.distinct()))
     edges = common.written(_linked(first, texts, percent))
     roots = common.written(components(edges))
 
@@ -237,11 +258,15 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
     rooted = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_buckets = common.written(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"))
     open_members = common.written(rooted.join(open_buckets, "band").join(nodes.select("node", "sketch", "bands"), "node"))
-    x, y = (open_members.select("band", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "sketch", "bands"))) for k in "ab")
+    # Sizes of linked sets differ by a factor of 100 / percent at most: by less than one class, or two neighbouring ones.
+    kind = F.floor(F.ln(F.col("sketch")[2 * SKETCH_WORDS + 1].cast("double")) / F.ln(F.lit(100.0 / percent * 1.001))) if percent < 100 else F.lit(0)
+    sized = open_members.withColumn("kind", kind)
+    x, y = (sized.select("band", "kind", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "sketch", "bands"))) for k in "ab")
+    y = y.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
     # A pair is made in the first bucket that both share.
     first_shared = F.element_at(F.array_intersect("bands_a", "bands_b"), 1)
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _close("sketch_a", "sketch_b", percent)
-    across = x.join(y, (x["band"] == y["band"]) & apart & (first_shared == x["band"])).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = x.join(y, (x["band"] == y["band"]) & (x["kind"] == y["kind"]) & apart & (first_shared == x["band"])).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     rest = common.written(across.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = common.written(_linked(sifted(rest), texts, percent))
