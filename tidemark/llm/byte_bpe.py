@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,15 +60,15 @@ class _Pieces(dict):
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 120_000, most_pieces: int = 200_000, most_pairs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 200_000, most_pieces: int = 150_000, most_pairs: int = 150_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.most_states, self.most_pairs = most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._compatible: dict[tuple[int, int], bool] = {}
-        self._merge_cache: dict[bytes, int | None] = {}
+        self._compatible: dict[int, bool] = {}
         self.pieces = _Pieces(self._run, most_pieces)
         # The trie: a node's children by byte, and the id of the token that ends there. Tokens that merges don't reach stay out.
+        leaf: dict[int, int] = {}
         self.child: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
         for t, i in ranks.items():
@@ -76,8 +77,10 @@ class Transducer:
             at = 0
             for b in t:
                 if b not in self.child[at]:
+                    if self.child[at] is leaf:
+                        self.child[at] = {}
                     self.child[at][b] = len(self.child)
-                    self.child.append({})
+                    self.child.append(leaf)
                     self.ends.append(None)
                 at = self.child[at][b]
             self.ends[at] = i
@@ -88,9 +91,10 @@ class Transducer:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}, pattern, **bounds)
 
     def _forget(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.members: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        # States are numbered; their members are packed. An arc's key is its state and byte.
+        self.states: dict[bytes, int] = {}
+        self.members: list[bytes] = []
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.start = self._state(((-1, 0, ()),))
 
     def by_merges(self, piece: bytes) -> list[int]:
@@ -110,25 +114,33 @@ class Transducer:
     def compatible(self, a: int, b: int) -> bool:
         if a < 0:
             return True
-        known = self._compatible.get((a, b))
+        pair = a << 32 | b
+        known = self._compatible.get(pair)
         if known is None:
             if len(self._compatible) > self.most_pairs:
                 self._compatible.clear()
-            known = self._compatible[a, b] = self.by_merges(self.token[a] + self.token[b]) == [a, b]
+            known = self._compatible[pair] = self.by_merges(self.token[a] + self.token[b]) == [a, b]
         return known
 
-    def _state(self, members: tuple) -> int:
-        at = self.states.get(members)
+    def _state(self, members: Iterable[tuple]) -> int:
+        """The number of a set of members: for each the last token, the place in the trie, and the ids to put out with their number."""
+        packed = array("i", [x for last, node, late in members for x in (last, node, len(late), *late)]).tobytes()
+        at = self.states.get(packed)
         if at is None:
-            at = self.states[members] = len(self.members)
-            self.members.append(members)
-            self.arcs.append({})
+            at = self.states[packed] = len(self.members)
+            self.members.append(packed)
         return at
 
+    def _unpacked(self, packed: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        x, k = array("i", packed), 0
+        while k < len(x):
+            yield x[k], x[k + 1], tuple(x[k + 3 : k + 3 + x[k + 2]])
+            k += 3 + x[k + 2]
+
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes the arc: members that the byte continues, and the one that ends a token here."""
         after = []
-        for last, node, late in self.members[state]:
+        for last, node, late in self._unpacked(self.members[state]):
             to = self.child[node].get(byte)
             if to is None:
                 continue
@@ -142,8 +154,8 @@ class Transducer:
         while same < shortest and len({late[same] for _, _, late in after}) == 1:
             same += 1
         out = after[0][2][:same]
-        members = tuple(sorted({(last, node, late[same:]) for last, node, late in after if node == 0 or self.child[node]}))
-        arc = self.arcs[state][byte] = (self._state(members), out)
+        members = sorted({(last, node, late[same:]) for last, node, late in after if node == 0 or self.child[node]})
+        arc = self.arcs[state << 8 | byte] = (self._state(members), out)
         return arc
 
     def _run(self, raw: bytes) -> list[int]:
@@ -152,18 +164,18 @@ class Transducer:
             return [whole]
         if len(self.members) > self.most_states:
             self._forget()
-        state, out, arcs = self.start, [], self.arcs
+        state, out, known = self.start, [], self.arcs.get
         for b in raw:
-            arc = arcs[state].get(b) or self._step(state, b)
+            arc = known(state << 8 | b) or self._step(state, b)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
             if len(self.members) > 2 * self.most_states:  # a piece that alone fills the memory
                 kept = self.members[state]
                 self._forget()
-                arcs = self.arcs
-                state = self._state(kept)
-        out.extend(next(late for _, node, late in self.members[state] if node == 0) if raw else ())
+                known = self.arcs.get
+                state = self._state(self._unpacked(kept))
+        out.extend(next(late for _, node, late in self._unpacked(self.members[state]) if node == 0) if raw else ())
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -242,26 +254,28 @@ def back(transducer: Transducer, ids: np.ndarray) -> tuple[str, int]:
     return digest.hexdigest(), chars + len(machine.feed(b"", last=True))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, **bounds: int) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: tuple[str, ...] | None = None, **bounds: int) -> DataFrame:
     """docs with a column of token ids (array of int) and no other change; a null text is empty. Columns named ids are replaced.
 
-    decoded: a further column, with the digest of the bytes that the ids decode to.
+    decoded: a further column, with the digest of the bytes that the ids decode to. keep: the columns that stay, all if None.
     """
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     more = [ids, *([decoded] if decoded else [])]
     rest = docs.drop(*more)
-    schema = rest.withColumns({c: _ints() if c == ids else _text() for c in more}).schema
+    rest = rest if keep is None else rest.select(*keep, text)
+    n = len(rest.columns) if keep is None else len(keep)
+    schema = rest.select(*rest.columns[:n]).withColumns({c: _ints() if c == ids else _text() for c in more}).schema
 
     def run(batches):
         common.release("byte_bpe")
         made = transducer(raw.value, pattern, **bounds)
         for batch in batches:
-            got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            got = [made.encode(x or "") for x in batch.column(batch.schema.get_field_index(text) if keep is None else n).to_pylist()]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
             out = [pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(got) if got else np.zeros(0)).astype(np.int32)))]
             if decoded:
                 out.append(pa.array([back(made, x)[0] for x in got], pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *out], [*batch.schema.names[:n], *more])
 
     return rest.mapInArrow(run, schema)
 

@@ -141,7 +141,7 @@ def _powers(base: int) -> np.ndarray:
     return out[:_SPAN]
 
 
-_POW: list[np.ndarray] = []
+_POW: dict[int, np.ndarray] = KEPT.setdefault("words", {})
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of the bytes of every span; spans are in order. lower: A-Z count as a-z."""
     if not _POW:
-        _POW.extend((_powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))))
+        _POW.update({0: _powers(int(_BASE)), 1: _powers(pow(int(_BASE), -1, 1 << 64))})
     table, out = _LOWER if lower else _TABLE, np.empty(len(begin), np.uint64)
     i, n = 0, len(begin)
     while i < n:
