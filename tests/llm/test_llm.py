@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import struct
@@ -82,6 +83,49 @@ def test_mixing_keeps_to_most_passes(spark):
     assert got["y"] == 3 and got["x"] in (88, 89)
 
 
+def test_mixing_equals_a_plain_budget(spark):
+    """Whole passes and the partial one, row for row: blocks in their permuted order until each source's budget is spent."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randint(0, 9)), "en", rng.choice(["a", "a", "a", "a", "b", "b", "c"]), 1) for i in range(600)]
+    rows += [rows[0], rows[0]]
+    d = spark.createDataFrame(rows, DOCS)
+    got = collections.Counter((r.doc_id, r.mix_pass) for r in mixing.mix(d, entropy_share=0.97, most_passes=None, docs_per_block=8).collect())
+    size, tokens = collections.Counter(r[3] for r in rows), collections.Counter()
+    for r in rows:
+        tokens[r[3]] += len(split(r[1]))
+    whole = sum(tokens.values())
+    share = {s: t / whole for s, t in tokens.items()}
+
+    def entropy(a):
+        z = sum(p**a for p in share.values())
+        return -sum(p**a / z * math.log(p**a / z) for p in share.values())
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= 0.97 * math.log(3) else (low, mid)
+    z = sum(p**low for p in share.values())
+    at = {(r.doc_id, r.text): r.h for r in d.select("doc_id", "text", (F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11) / float(1 << 53)).alias("h")).collect()}
+    want = collections.Counter()
+    for s in size:
+        budget = round(whole * share[s] ** low / z)
+        full, left = divmod(budget, tokens[s])
+        blocks = collections.defaultdict(list)
+        n = math.ceil(size[s] / 8)
+        for r in rows:
+            if r[3] == s:
+                blocks[min(int(at[r[0], r[1]] * n), n - 1)].append((at[r[0], r[1]], r[0], len(split(r[1]))))
+        keys = [(b,) for b in blocks]
+        turn = {r.b: r.t for r in spark.createDataFrame(keys, "b long").select("b", (F.shiftrightunsigned(F.xxhash64(F.lit(17), F.lit("+" + s), "b"), 11) / float(1 << 53)).alias("t")).collect()}
+        spent = 0
+        for b in sorted(blocks, key=lambda b: (turn[b], b)):
+            for _, i, t in sorted(blocks[b]):
+                for p in range(full + (spent < left)):
+                    want[i, p] += 1
+                spent += t
+    assert got == want
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.mix(docs(spark, ODD, mix_pass="clash", part="clash"), entropy_share=None, most_passes=1.0)
     assert got.count() == len(ODD) and got.where("part = 'clash'").count() == len(ODD)
@@ -220,6 +264,42 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert html_text.align(html_text.fold(a), html_text.fold(b)) == [["t", "x"], ["?", [["+", [["t", "z"]]]]], ["t", "y"]]
 
 
+def test_alignment_of_long_streams_keeps_a_common_run():
+    rng = random.Random(15)
+    for size, kinds in ((30, 4), (400, 6), (400, 5000)):
+        a = [f"x{rng.randrange(kinds)}" for _ in range(size)]
+        b = [x for x in a if rng.random() > 0.2] + ["y"] * 5
+        got = html_text._matches(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+        assert len(got) > 0.5 * len(b)
+    for _ in range(50):
+        nodes = [["t", rng.choice("abc"), str(rng.randrange(3))] for _ in range(rng.randrange(20))]
+        folded = html_text.fold(nodes)
+
+        def values(x):
+            return [v for n in x for v in ([n[2]] if n[0] == "t" else n[2])]
+
+        assert values(folded) == [n[2] for n in nodes]
+        shapes = html_text.shape(folded)
+        assert all(shapes[k] != shapes[k + 1] or shapes[k][0] == "+" for k in range(len(shapes) - 1))
+
+
+def test_malformed_and_empty_pages_stay_small(spark):
+    import tracemalloc
+
+    page = "<article>" + "<b>x <i>y" * 30_000 + "<p>" + "end " * 1000
+    tracemalloc.start()
+    text = html_text.extract(page)
+    html_text.fold(html_text.stream(page))
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert text.startswith("x yx y") and text.endswith("end end") and len(text) > 90_000
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.main_text(empty).columns == ["page_id", "url", "html", "text", "n_chars"] and html_text.main_text(empty).count() == 0
+    long = "<body><article><p>" + "word " * 400_000 + "</p></article></body>"
+    assert html_text.main_text(spark.createDataFrame([(1, "http://z.example/", long)], empty.schema)).first().n_chars == 1_999_999
+
+
 # --- 4 quality ------------------------------------------------------------------------------------------------------
 
 
@@ -526,17 +606,52 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(r.predicted == r.toxic for r in got) >= 0.98 * len(got)
     odd = toxicity.score(docs(spark, ODD, score="clash"), model).collect()
     assert all(r.predicted == 0 and 0 <= r.score <= 1 for r in odd)
-    assert toxicity.score(d, toxicity.fit(d, labels.limit(0))).where("predicted = 1").count() == 0
+    alone = toxicity.score(d, toxicity.fit(d, labels.limit(0))).collect()  # the lexicon alone: it has three of the four words, and no plural of two
+    assert all(r.predicted == int(bool(re.search(r"(?i)\b(morons?|scum|trash)\b", r.text))) for r in alone)
+    assert toxicity.fit(d.limit(0), labels.limit(0)).bias < 0 and toxicity.score(d.limit(0), model).count() == 0
+    twice = toxicity.score(d.limit(1).unionByName(d.limit(1)), model).select("score").distinct()
+    assert twice.count() == 1
 
 
-def test_label_model_weighs_correlated_voters_less():
+def test_label_model_finds_classes_without_labels():
     rng = np.random.default_rng(11)
-    y = (rng.random(4000) < 0.3).astype(int)
-    good = (rng.random(4000) < np.where(y, 0.7, 0.02)).astype(float)
-    copy = (rng.random(4000) < np.where(y, 0.5, 0.05)).astype(float)
-    post, rate, together = toxicity.label_model(np.stack([good, copy, copy], 1), y, np.ones(4000))
-    assert together[1, 2] > 0.9 > abs(together[0, 1]) and abs(rate[1, 0] - 0.7) < 0.1
-    assert ((post > 0.5) == (y == 1)).mean() > 0.95
+    y = (rng.random(6000) < 0.3).astype(int)
+    right = np.array([0.8, 0.7, 0.6, 0.75, 0.65])
+    votes = (rng.random((6000, 5)) < np.where(y[:, None] == 1, right, 0.03)).astype(float)
+    both = np.c_[votes, votes[:, 4]]
+    post, rate, together = toxicity.label_model(both, np.full(6000, -1), np.ones(6000))
+    assert together[4, 5] > 0.9 > abs(together[0, 1]) and np.abs(rate[1, :5] - right).max() < 0.08
+    assert ((post > 0.5) == (y == 1)).mean() > 0.97
+
+
+def test_posterior_equals_plain_expectation_maximisation():
+    rng = np.random.default_rng(16)
+    y = rng.random(400) < 0.4
+    votes = (rng.random((400, 4)) < np.where(y[:, None], 0.7, 0.1)).astype(float)
+    weight = rng.random(400) + 0.5
+    label = np.where(np.arange(400) % 3 == 0, y.astype(int), -1)
+    got = toxicity.label_model(votes, label, weight, trust=0.9, rounds=1)[0]
+    post = [0.05 if z < 0 else 0.9 if z else 0.1 for z in label]
+    share = [[w * (1 - p) for w, p in zip(weight, post)], [w * p for w, p in zip(weight, post)]]
+    rate = [[(sum(s * v[j] for s, v in zip(c, votes)) + 0.01) / (sum(c) + 1) for j in range(4)] for c in share]
+    corr = np.zeros((4, 4))
+    for c, r in zip(share, rate):
+        cov = np.array([[sum(s * (v[i] - r[i]) * (v[j] - r[j]) for s, v in zip(c, votes)) / sum(c) for j in range(4)] for i in range(4)])
+        corr += sum(c) / sum(weight) * cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    np.fill_diagonal(corr, 1)
+    voice = 1 / np.maximum(corr, 0).sum(1)
+    for k, v in enumerate(votes):
+        odds = np.log(sum(share[1]) / sum(share[0]))
+        for j in range(4):
+            odds += voice[j] * (np.log(rate[1][j] / rate[0][j]) if v[j] else np.log((1 - rate[1][j]) / (1 - rate[0][j])))
+        odds += {-1: 0, 0: -1, 1: 1}[int(label[k])] * np.log(9)
+        assert abs(got[k] - 1 / (1 + np.exp(-odds))) < 1e-9
+
+
+def test_threshold_lies_in_the_widest_gap():
+    assert toxicity.threshold(np.array([-3.0, -1.0, 2.0, 4.0]), np.array([0, 0, 1, 1]), np.ones(4)) == 0.5
+    assert -1 < toxicity.threshold(np.array([-3.0, 3.0, -1.0, 2.0, 4.0, 0.0]), np.array([0, 0, 0, 1, 1, 1]), np.ones(6)) < 0
+    assert 0 < toxicity.threshold(np.array([0.0, 0.0, 0.0, 9.0]), np.array([0, 0, 1, 1]), np.ones(4)) < 9
 
 
 # --- pipeline -------------------------------------------------------------------------------------------------------

@@ -27,6 +27,8 @@ from tidemark.llm import common
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
 #: Ids that a decoder takes at once.
 CHUNK = 4096
+#: Bytes of a piece's begin that the transducer reads by one arc from its start.
+BEGIN = 5
 
 
 def read_ranks(path: str) -> bytes:
@@ -60,7 +62,7 @@ class _Pieces(dict):
 class Transducer:
     """Encodes by byte-pair ranks. most_states bounds the sets kept, most_pieces the pieces whose ids are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 200_000, most_pieces: int = 150_000, most_pairs: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 250_000, most_pieces: int = 300_000, most_pairs: int = 300_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.most_states, self.most_pairs = most_states, most_pairs
         self.token = {i: t for t, i in ranks.items()}
@@ -71,9 +73,14 @@ class Transducer:
         leaf: dict[int, int] = {}
         self.child: list[dict[int, int]] = [{}]
         self.ends: list[int | None] = [None]
+        # The two tokens that the last merge of a token joins; a single byte is its own.
+        self.left, self.right = dict(zip(self.token, self.token, strict=True)), dict(zip(self.token, self.token, strict=True))
         for t, i in ranks.items():
-            if len(t) > 1 and self.by_merges(t) != [i]:
-                continue
+            if len(t) > 1:
+                halves = self.by_merges(t, 2)
+                if len(halves) != 2:
+                    continue
+                self.left[i], self.right[i] = halves
             at = 0
             for b in t:
                 if b not in self.child[at]:
@@ -95,12 +102,14 @@ class Transducer:
         self.states: dict[bytes, int] = {}
         self.members: list[bytes] = []
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.begins: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+        self.newest: tuple[int, tuple] = (-1, ())
         self.start = self._state(((-1, 0, ()),))
 
-    def by_merges(self, piece: bytes) -> list[int]:
-        """The definition: the pair of lowest rank, leftmost first, is merged until no pair has a rank."""
+    def by_merges(self, piece: bytes, least: int = 1) -> list[int]:
+        """The definition: the pair of lowest rank, leftmost first, is merged until no pair has a rank, or least parts are left."""
         parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
@@ -119,9 +128,28 @@ class Transducer:
         if known is None:
             if len(self._compatible) > self.most_pairs:
                 self._compatible.clear()
-            known = self._compatible[pair] = self.by_merges(self.token[a] + self.token[b]) == [a, b]
+            known = self._compatible[pair] = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge reaches over the border of two tokens: the merges that made them are undone, the latest first.
+
+        What stands at the border before a merge of rank bound could itself have merged there if its rank were lower.
+        """
+        token, ranks, bound = self.token, self.ranks, len(self.token) + 1
+        while True:
+            over = ranks.get(token[a] + token[b])
+            if over is not None and over < bound:
+                return False
+            inner, outer = self.right[a], self.left[b]
+            if a > b and inner != a or outer == b:
+                if inner == a:
+                    return True
+                bound, a = a, inner
+            else:
+                bound, b = b + 1, outer
+
+
     def _state(self, members: Iterable[tuple]) -> int:
         """The number of a set of members: for each the last token, the place in the trie, and the ids to put out with their number."""
         packed = array("i", [x for last, node, late in members for x in (last, node, len(late), *late)]).tobytes()
@@ -129,6 +157,7 @@ class Transducer:
         if at is None:
             at = self.states[packed] = len(self.members)
             self.members.append(packed)
+            self.newest = at, tuple(members)
         return at
 
     def _unpacked(self, packed: bytes) -> Iterator[tuple[int, int, tuple[int, ...]]]:
@@ -140,7 +169,7 @@ class Transducer:
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes the arc: members that the byte continues, and the one that ends a token here."""
         after = []
-        for last, node, late in self._unpacked(self.members[state]):
+        for last, node, late in self.newest[1] if self.newest[0] == state else self._unpacked(self.members[state]):
             to = self.child[node].get(byte)
             if to is None:
                 continue
@@ -149,6 +178,10 @@ class Transducer:
             if token is not None and self.compatible(last, token):
                 after.append((token, 0, (*late, token)))
         # Exactly one member ends here; members that only wait come first, in order of their first byte.
+        if len(after) == 1:
+            last, node, out = after[0]
+            arc = self.arcs[state << 8 | byte] = (self._state([(last, node, ())]), out)
+            return arc
         shortest = min(len(late) for _, _, late in after)
         same = 0
         while same < shortest and len({late[same] for _, _, late in after}) == 1:
@@ -164,8 +197,21 @@ class Transducer:
             return [whole]
         if len(self.members) > self.most_states:
             self._forget()
-        state, out, known = self.start, [], self.arcs.get
-        for b in raw:
+        begin = self.begins.get(raw[:BEGIN]) if len(raw) > BEGIN else None
+        if begin is None and len(raw) > BEGIN:
+            state, out = self.start, []
+            for b in raw[:BEGIN]:
+                state, more = self.arcs.get(state << 8 | b) or self._step(state, b)
+                out.extend(more)
+            if len(self.begins) < self.most_states:
+                self.begins[raw[:BEGIN]] = state, tuple(out)
+            rest = raw[BEGIN:]
+        elif begin is None:
+            state, out, rest = self.start, [], raw
+        else:
+            state, out, rest = begin[0], list(begin[1]), raw[BEGIN:]
+        known = self.arcs.get
+        for b in rest:
             arc = known(state << 8 | b) or self._step(state, b)
             state = arc[0]
             if arc[1]:

@@ -204,14 +204,22 @@ def text_or_empty(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int) -> DataFrame:
-    """A bounded sample of labelled texts: doc_id, label (0 or 1) and text, at most per_class rows of each label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, unlabelled: int = 0) -> DataFrame:
+    """A bounded sample of texts: doc_id, label (0, 1 or null) and text, at most per_class rows of each label and unlabelled ones without.
 
     The rows are those of the training fold whose ids hash lowest; of rows that share an id, one counts. Labels
     other than 0 and 1, and texts that are null or longer than most_chars, don't count.
     """
+    place = F.xxhash64(F.col("doc_id"))
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(training_row(F.col("doc_id")))
-    picked = [known.where(F.col("label") == y).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(per_class) for y in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("label").alias("label")))
+    picked = [known.where(F.col("label") == y).orderBy(place, "doc_id").limit(per_class) for y in (0, 1)]
+    if unlabelled:
+        first = docs.where(training_row(F.col("doc_id"))).select("doc_id").orderBy(place, "doc_id").limit(4 * unlabelled)
+        rest = first.distinct().join(known.where("label is not null").select("doc_id"), "doc_id", "left_anti")
+        picked.append(rest.orderBy(place, "doc_id").limit(unlabelled).withColumn("label", F.lit(None).cast("int")))
+    every = picked[0]
+    for p in picked[1:]:
+        every = every.unionByName(p)
+    picked = F.broadcast(every.groupBy("doc_id").agg(F.max("label").alias("label")))
     texts = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(picked, "doc_id")
     return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

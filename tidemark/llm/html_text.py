@@ -8,12 +8,15 @@ page, and the names around it, then decide which element holds its article.
 
 from __future__ import annotations
 
+import bisect
+import collections
 import functools
 import hashlib
 import html
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +37,10 @@ UNSEEN = frozenset("head button select option script style noscript template ifr
 LAYOUT = frozenset("has have is no not with without hide hidden show".split())
 PLACES = frozenset("area bar block bottom box container content inner items left link links list main nav outer panel primary right secondary section text top wrap wrapper".split())
 FURNITURE_ROLES = frozenset("banner navigation contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Groups of up to so many tokens are folded; a wrapper with more nodes is not refined further.
-MOST_GROUP, MOST_NODES = 40, 2000
+#: Elements that are nested deeper don't open levels of their own, as in browsers; their texts count where they stand.
+DEPTH = 512
+#: Runs that neither unique nodes nor ends cut are aligned by all their pairs up to so many, beyond that by the next equal node.
+ALL_PAIRS = 1_000_000
 #: So many pages of a host tell its template.
 LEAST_PAGES = 3
 
@@ -133,7 +138,8 @@ def walk(page: str):
         if name in VOID:
             continue
         if kind == 1:
-            stack.append(_label(name, marks))
+            if len(stack) < DEPTH:
+                stack.append(_label(name, marks))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].split(" ")[0] == name:
@@ -153,10 +159,11 @@ def _value(text: str) -> str:
 
 def stream(page: str) -> list:
     """A page's texts in order: the path around a text that isn't blank, and its value."""
-    out = []
+    out, known = [], {}
     for path, text in walk(page):
         if text is not None and not text.isspace():
-            out.append(["t", "/".join(path), _value(text)])
+            p = "/".join(path)
+            out.append(["t", known.setdefault(p, p), _value(text)])
     return out
 
 
@@ -177,27 +184,47 @@ def _values(nodes: list) -> list[str] | None:
     return [v for n in nodes for v in ([n[2]] if n[0] == "t" else n[2])]
 
 
+def _repeats(codes: np.ndarray, size: int) -> np.ndarray:
+    """For each place, how many nodes from it on equal the ones size places further, without a break."""
+    same = codes[:-size] == codes[size:]
+    stop = np.where(same, len(same), np.arange(len(same)))
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(len(same))
+
+
 def fold(nodes: list) -> list:
-    """Folds neighbouring groups of equal shape, short ones first, into repeated groups."""
-    size, shapes = 1, shape(nodes)
-    while size <= min(MOST_GROUP, len(nodes) // 2):
-        out, kept, k, folded = [], [], 0, False
-        while k < len(nodes):
-            group, times = shapes[k : k + size], 1
-            while len(group) == size and shapes[k + times * size : k + (times + 1) * size] == group:
-                times += 1
-            if times > 1 and not (size == 1 and group[0][0] == "+"):
-                values = _values(nodes[k : k + times * size])
-                out.append(["+", group] if values is None else ["+", group, values])
-                kept.append(["+", group])
-                k += times * size
-                folded = True
-            else:
-                out.append(nodes[k])
-                kept.append(shapes[k])
-                k += 1
-        nodes, shapes, size = out, kept, 1 if folded and size > 1 else size + 1
-    return nodes
+    """Folds neighbouring groups of equal shape, short ones first, into repeated groups.
+
+    A group's length is the distance of two equal nodes, so that only such lengths are tried.
+    """
+    size, number = 0, {}
+    while True:
+        shapes = shape(nodes)
+        codes = np.array([number.setdefault(json.dumps(x), len(number)) for x in shapes], np.int64)
+        order = np.argsort(codes, kind="stable")
+        gaps = np.diff(order)[np.diff(codes[order]) == 0]
+        sizes = [int(x) for x in np.unique(gaps) if size < x <= len(nodes) // 2]
+        out = None
+        for size in sizes:
+            run = _repeats(codes, size)
+            if run.max() < size:
+                continue
+            out, k = [], 0
+            while k < len(nodes):
+                times = 1 + int(run[k]) // size if k < len(run) else 1
+                if times > 1 and not (size == 1 and shapes[k][0] == "+"):
+                    group = shapes[k : k + size]
+                    values = _values(nodes[k : k + times * size])
+                    out.append(["+", group] if values is None else ["+", group, values])
+                    k += times * size
+                else:
+                    out.append(nodes[k])
+                    k += 1
+            if len(out) < len(nodes):
+                break
+            out = None
+        if out is None:
+            return nodes
+        nodes, size = out, 0 if size > 1 else 1
 
 
 def _core(node: list) -> str:
@@ -207,28 +234,88 @@ def _core(node: list) -> str:
     return json.dumps(shape([node])[0][1])
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of two: a longest common run of nodes stays, the rest becomes optional; a node that one has repeated is repeated."""
-    if a == b or not b:
-        return a if a == b else [n if n[0] == "?" else ["?", [n]] for n in a]
-    ka, kb = [_core(n) for n in a], [_core(n) for n in b]
-    width = len(b) + 1
-    best = [[0] * width for _ in range(len(a) + 1)]
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common run of a and b, rising in both: equal ends first, then what is unique in both, then all that lies between."""
+    out, left = [], [(0, len(a), 0, len(b))]
+    while left:
+        i, m, j, n = left.pop()
+        while i < m and j < n and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        once = [collections.Counter(a[i:m]), collections.Counter(b[j:n])]
+        place = {x: k for k, x in enumerate(b[j:n], j) if once[0][x] == once[1][x] == 1}
+        pairs = _rising([(k, place[x]) for k, x in enumerate(a[i:m], i) if x in place])
+        if pairs:
+            out += pairs
+            ends = [(i - 1, j - 1), *pairs, (m, n)]
+            left += [(p + 1, q, r + 1, s) for (p, r), (q, s) in zip(ends, ends[1:], strict=False)]
+        elif (m - i) * (n - j) <= ALL_PAIRS:
+            out += [(i + p, j + q) for p, q in _longest(a[i:m], b[j:n])]
+        else:
+            where: dict[str, list[int]] = {}
+            for k in range(j, n):
+                where.setdefault(b[k], []).append(k)
+            last = j - 1
+            for k in range(i, m):
+                at = where.get(a[k], [])
+                q = bisect.bisect_right(at, last)
+                if q < len(at):
+                    last = at[q]
+                    out.append((k, last))
+    return sorted(out)
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of pairs (rising in the first) that rises in the second too."""
+    tails: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        p = bisect.bisect_left(tails, q)
+        tails[p : p + 1] = [q]
+        at[p : p + 1] = [k]
+        before.append(at[p - 1] if p else -1)
+    k, out = at[-1] if at else -1, []
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common run, by all pairs."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if ka[i] == kb[j] else max(below[j], row[j + 1])
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            out.append(_joined(a[i], b[j]))
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i] if a[i][0] == "?" else ["?", [a[i]]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append(b[j] if b[j][0] == "?" else ["?", [b[j]]])
             j += 1
+    return out
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper of two: a common run of nodes stays, the rest becomes optional; a node that one has repeated is repeated."""
+    if a == b or not b:
+        return a if a == b else [n if n[0] == "?" else ["?", [n]] for n in a]
+    out, i, j = [], 0, 0
+    for p, q in [*_matches([_core(n) for n in a], [_core(n) for n in b]), (len(a), len(b))]:
+        out += [n if n[0] == "?" else ["?", [n]] for n in (*a[i:p], *b[j:q])]
+        if p < len(a):
+            out.append(_joined(a[p], b[q]))
+        i, j = p + 1, q + 1
     return fold(out)
 
 
@@ -249,10 +336,6 @@ def fixed(wrapper: list) -> list[str]:
     return sorted({v for n in wrapper for v in _values([n]) or ()})
 
 
-def paths(nodes: list) -> list[str]:
-    return [p for n in nodes for p in ([n[1]] if n[0] == "t" else paths(n[1]))]
-
-
 def _holds(label: str) -> bool:
     """Whether an element may hold an article, and not just a paragraph of it."""
     return label.split(" ")[0] not in INLINE and not re.match(r"(p|h[1-6]|li|td|blockquote|pre)\b", label)
@@ -325,9 +408,10 @@ def decide(size: dict[str, int], same: dict[str, int]) -> set[str]:
 
 def extract(page: str, template: frozenset[str] = frozenset()) -> str:
     """The blocks of a page at the paths that its texts decide, joined by two line feeds. template: values of the host's fixed texts."""
-    parts, size, same = [], {}, {}
+    parts, size, same, known = [], {}, {}, {}
     for path, text in walk(page):
         p = "/".join(path)
+        p = known.setdefault(p, p)
         parts.append((p, text))
         if text is not None and not text.isspace():
             size[p] = size.get(p, 0) + len(text)
@@ -381,23 +465,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
         import pandas as pd
 
         known: dict[str, list] = {}
-        for s in pdf["nodes"]:
+        for s in pdf["nodes"]:  # a row for each shape of a host's share, not for each page
             nodes = json.loads(s)
             key = json.dumps(shape(nodes))
             known[key] = merge(known[key], nodes) if key in known else nodes
         whole: list = []
         for k, s in enumerate(sorted(known, key=lambda s: (-len(s), s))):
             nodes = known[s]
-            if k == 0:
-                whole = nodes
-            elif len(whole) < MOST_NODES:
-                whole = align(whole, nodes[:MOST_NODES])
-                held = set(paths(whole))
-                whole += [["?", [["t", p]]] for p in dict.fromkeys(paths(nodes)) if p not in held]
-            else:
-                held, values = set(paths(whole)), set(fixed(nodes))
-                whole = [n if n[0] == "?" or values.issuperset(_values([n]) or ()) else n[:2] for n in whole]
-                whole += [["?", [["t", p]]] for p in dict.fromkeys(paths(nodes)) if p not in held]
+            whole = align(whole, nodes) if k else nodes
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "nodes": [json.dumps(whole)], "n": [pdf["n"].sum()], "chars": [pdf["chars"].sum()]})
 
     some = streams.groupBy("host", "share").applyInPandas(aligned, "host string, nodes string, n long, chars long")

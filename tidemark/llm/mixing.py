@@ -69,7 +69,7 @@ def exponent(sources: DataFrame, budget_share: float, entropy_share: float | Non
     return a
 
 
-def plan(docs: DataFrame, tokens: Column, source: str, entropy_share: float | None, most_passes: float | None, budget: int | None, docs_per_block: int) -> tuple[DataFrame, DataFrame, float]:
+def plan(docs: DataFrame, tokens: Column, source: str, entropy_share: float | None, most_passes: float | None, budget: int | None, docs_per_block: int, seed: int) -> tuple[DataFrame, DataFrame, float]:
     """Sources with weights and budgets, blocks with the tokens before each in the permuted order, and the exponent."""
     blocks = _placed(docs.select(source), docs, source, docs_per_block)
     sums = common.written(blocks.groupBy("mix_source", "mix_block", "mix_blocks").agg(F.sum(tokens).alias("tokens")))
@@ -81,10 +81,10 @@ def plan(docs: DataFrame, tokens: Column, source: str, entropy_share: float | No
     norm = shares.agg(F.sum(F.exp(F.lit(a) * F.col("lp"))).alias("z")).first().z or 1.0
     weight = F.exp(F.lit(a) * F.col("lp")) / F.lit(norm)
     sources = shares.select("mix_source", F.col("tokens").alias("mix_total"), weight.alias("mix_weight"), F.round(weight * F.lit(float(spend))).cast("long").alias("mix_budget"))
-    # Prefix sums in two steps, so that no task holds all blocks of a source.
-    span = F.greatest(F.lit(1), F.ceil(F.sqrt("mix_blocks")))
-    s = sums.withColumn("part", F.floor(F.col("mix_block") / span))
-    inner = W.Window.partitionBy("mix_source", "part").orderBy("mix_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    # The permutation: blocks by a seeded hash. Prefix sums in two steps, so that no task holds all blocks of a source.
+    s = sums.withColumn("turn", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_source", "mix_block"), 11) / F.lit(float(1 << 53)))
+    s = s.withColumn("part", F.floor(F.col("turn") * F.greatest(F.lit(1), F.ceil(F.sqrt("mix_blocks")))))
+    inner = W.Window.partitionBy("mix_source", "part").orderBy("turn", "mix_block").rowsBetween(W.Window.unboundedPreceding, -1)
     outer = W.Window.partitionBy("mix_source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     parts = s.groupBy("mix_source", "part").agg(F.sum("tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(outer), F.lit(0))).drop("t")
     before = s.withColumn("within", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).join(common.written(parts), ["mix_source", "part"])
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, tokens: Column, source: str, entropy_share: float | No
 
 
 def _placed(one: DataFrame, docs: DataFrame, source: str, docs_per_block: int) -> DataFrame:
-    """docs with mix_source, mix_at (a place in 0..1 in the permuted order) and the mix_block that holds it."""
+    """docs with mix_source, mix_at (a place in 0..1) and the mix_block that holds it; blocks are small and of like size whatever the ids are."""
     counts = common.written(one.groupBy(_source(source).alias("mix_source")).agg(F.count("*").alias("n")))
     at = F.col("mix_at")
     n = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(docs_per_block))).cast("long")
@@ -106,18 +106,19 @@ def _source(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
 
 
-def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, entropy_share: float | None = 0.95, most_passes: float | None = 4.0, budget: int | None = None, docs_per_block: int = 64) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", tokens: Column | None = None, entropy_share: float | None = 0.95, most_passes: float | None = 4.0, budget: int | None = None, docs_per_block: int = 64, seed: int = 17) -> DataFrame:
     """docs in the mixed amounts: each row once for every pass that reads it, numbered by mix_pass from 0.
 
     Also mix_weight (its source's), mix_tokens and mix_order, a sort key that interleaves the sources evenly.
     budget: tokens in all; as many as docs has, if None. A source's whole passes read every row; its last,
-    partial, pass reads rows in the permuted order until the source's budget is spent, ending with the row that reaches it.
+    partial, pass reads its blocks in the order that seed permutes them to, until the source's budget is spent, ending with the row that
+    reaches it.
     A source without tokens gets no budget; rows of null source are one source; repeated rows count each; rows without
     words go with their block. An empty table gives an empty one. Columns of the names above are replaced.
     """
     docs = docs.drop("mix_pass", "mix_weight", "mix_tokens", "mix_order")
     tokens = common.n_words(F.col("text")) if tokens is None else tokens
-    sources, blocks, _ = plan(docs, tokens, source, entropy_share, most_passes, budget, docs_per_block)
+    sources, blocks, _ = plan(docs, tokens, source, entropy_share, most_passes, budget, docs_per_block, seed)
     placed = _placed(docs.select(source), docs.withColumn("mix_tokens", tokens), source, docs_per_block)
     inside = W.Window.partitionBy("mix_source", "mix_block").orderBy("mix_at", "doc_id", "mix_tokens").rowsBetween(W.Window.unboundedPreceding, -1)
     rows = placed.withColumn("mix_within", F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0)))

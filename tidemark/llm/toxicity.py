@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words and patterns (the begin of a word): a fixed lexicon, and those that stand out in labelled
-texts. A generative model takes the true class as hidden: how often each voter fires in either class is estimated by
-expectation-maximisation, and voters that fire together beyond that share their weight, by estimated correlations.
-A linear classifier is trained on the posterior labels.
+texts. A generative model takes the class of every text as hidden: how often each voter fires in either class is
+estimated by expectation-maximisation, on texts with and without labels, and voters that fire together beyond that share
+their weight, by estimated correlations. A given label is one more voter, which is right with a stated probability. A linear
+classifier is trained on the posterior labels. Without labels of both classes, the lexicon votes alone.
 """
 
 from __future__ import annotations
@@ -41,31 +42,51 @@ def _lexicon() -> np.ndarray:
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, trust: float = 0.97, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The posterior of class 1 for each text, the voters' rates in either class, and their correlations.
+    """The posterior of class 1 for each text, the voters' rates in either class, and their correlations within the classes.
 
-    votes: text by voter, whether it fires. label is one more voter, right with probability trust. weight: of
-    each text, so that a sample with other shares than the corpus's counts rightly.
+    votes: text by voter, whether it fires. label: 0, 1 or -1 (none) is one more voter, right with probability trust. weight: of each
+    text, so that a sample with other shares than the corpus's counts rightly. Without any label, class 1 is the one in which
+    voters fire: the more of them do, the likelier it is at the start.
     """
-    post = np.where(label == 1, trust, 1 - trust)
-    together = np.zeros((votes.shape[1], votes.shape[1]))
-    for _ in range(rounds):
+    said = np.where(label < 0, 0.0, np.where(label == 1, 1.0, -1.0)) * np.log(trust / (1 - trust))
+    post = np.where(label < 0, 0.05 if (label >= 0).any() else np.clip(1 - 0.3 ** votes.sum(1), 0.02, 0.98), 1 / (1 + np.exp(-said)))
+    together = np.eye(votes.shape[1])
+    for k in range(rounds + 1):
         share = [weight * (1 - post), weight * post]
         rate = np.stack([(s @ votes + 0.01) / (s.sum() + 1.0) for s in share])
-        # Correlations within the classes: voters that say the same share their weight.
-        together = np.zeros_like(together)
-        for q in range(2):
-            centred = votes - rate[q]
-            cov = (centred * share[q][:, None]).T @ centred / max(share[q].sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            together += share[q].sum() / weight.sum() * cov / np.outer(sd, sd)
-        np.fill_diagonal(together, 1.0)
+        if k == rounds:
+            break
+        if k % 5 == 0:  # voters that say the same share their weight
+            together = _correlations(votes, share, rate)
         voice = 1 / np.maximum(together, 0).sum(1)
         gain = np.log(rate[1] / rate[0]) * voice
         calm = np.log((1 - rate[1]) / (1 - rate[0])) * voice
         prior = np.clip(share[1].sum() / weight.sum(), 1e-6, 1 - 1e-6)
-        odds = np.log(prior / (1 - prior)) + votes @ gain + (1 - votes) @ calm + np.where(label == 1, 1, -1) * np.log(trust / (1 - trust))
+        odds = np.log(prior / (1 - prior)) + votes @ gain + (1 - votes) @ calm + said
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, np.stack([(s @ votes + 0.01) / (s.sum() + 1.0) for s in (weight * (1 - post), weight * post)]), together
+    return post, rate, together
+
+
+def _correlations(votes: np.ndarray, share: list[np.ndarray], rate: np.ndarray) -> np.ndarray:
+    out = np.zeros((votes.shape[1], votes.shape[1]))
+    for s, r in zip(share, rate, strict=True):
+        centred = votes - r
+        cov = (centred * s[:, None]).T @ centred / max(s.sum(), 1e-9)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        out += s.sum() / sum(x.sum() for x in share) * cov / np.outer(sd, sd)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """The cut of scores that gets the most labels right by weight; in the middle of the widest gap that does."""
+    order = np.argsort(score, kind="stable")
+    s, y, w = score[order], label[order], weight[order]
+    right = np.r_[0, np.cumsum(w * (y == 0))] + (w * (y == 1)).sum() - np.r_[0, np.cumsum(w * (y == 1))]
+    ends = np.r_[s[0] - 1, s, s[-1] + 1]
+    at = np.flatnonzero((right >= right.max() - 1e-9 * w.sum()) & (np.diff(ends) > 0))
+    wide = at[np.argmax(np.diff(ends)[at])]
+    return float((ends[wide] + ends[wide + 1]) / 2)
 
 
 class Classifier:
@@ -92,20 +113,22 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_voters: int = 400, most_chars: int = 20_000) -> Classifier:
-    """Learns from at most per_class labelled texts of each class, of the training fold and up to most_chars long.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, unlabelled: int = 2000, most_voters: int = 400, most_chars: int = 20_000, clean_weight: float = 10.0) -> Classifier:
+    """Learns from at most per_class labelled texts of each class and unlabelled ones without, of the training fold and up to most_chars long.
 
-    No labelled text of class 1: nothing fires and every score is the low prior.
+    most_voters is the size of the model: the voters besides the lexicon. clean_weight: how many toxic texts missed are as bad as a clean
+    one that is marked, where the threshold is set. Without labels of both classes the lexicon votes alone;
+    if no voter fires in any text, every score is the low prior.
     """
     counts = {r.y: r.n for r in labels.where(common.training_row(F.col("doc_id"))).groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    sample = common.labelled_sample(docs, labels, "toxic", per_class, most_chars).orderBy("doc_id").select("text", "label").toArrow()
+    sample = common.labelled_sample(docs, labels, "toxic", per_class, most_chars, unlabelled).orderBy("doc_id").select("text", F.coalesce("label", F.lit(-1)).alias("label")).toArrow()
     y = sample.column("label").to_numpy().astype(int)
-    n = np.bincount(y, minlength=2)
-    if not n[0] or not n[1]:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -3.0 if not n[1] else 3.0)
-    weight = np.array([counts.get(q, 0) / n[q] for q in range(2)])[y]
+    n = [int((y == q).sum()) for q in range(2)]
+    # The labelled classes weigh as in all labels; texts without a label weigh as much as those together.
+    each = np.array([counts.get(q, 0) / max(1, n[q]) for q in range(2)] + [max(1, sum(counts.get(q, 0) for q in range(2))) / max(1, (y < 0).sum())])
+    weight = each[y] if all(n) else np.ones(len(y))
     data, offsets = common.utf8(sample.column("text"))
-    pairs = []
+    pairs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
     for a, b in common.slices(offsets):
         h, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         order = np.lexsort((h, doc))
@@ -114,20 +137,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_voters:
         pairs.append((h[new], doc[new].astype(np.int32)))
     h, doc = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     value, place = np.unique(h, return_inverse=True)
-    fired = [np.bincount(place[y[doc] == q], minlength=len(value)) for q in range(2)]
-    rate = [(fired[q] + 0.2) / (n[q] + 1.0) for q in range(2)]
-    # Voters: fire in a few toxic texts, and much more often there; or are in the lexicon.
-    good = (fired[1] >= max(2, n[1] / 700)) & (rate[1] >= 8 * rate[0]) & (fired[1] * weight[y == 1][0] >= 3 * fired[0] * weight[y == 0][0])
-    gain = np.where(good, fired[1] * np.log(rate[1] / rate[0]), -1.0)
-    lexicon = np.isin(value, _lexicon()) & (rate[1] > rate[0])
-    pick = np.union1d(np.argsort(-gain, kind="stable")[:most_voters][: int((gain > 0).sum())], np.flatnonzero(lexicon))
+    pick = np.flatnonzero(np.isin(value, _lexicon()))
+    if all(n):
+        fired = [np.bincount(place[y[doc] == q], minlength=len(value)) for q in range(2)]
+        rate = [(fired[q] + 0.2) / (n[q] + 1.0) for q in range(2)]
+        # Voters: fire in a few toxic texts, and much more often there; or are in the lexicon.
+        good = (fired[1] >= max(2, n[1] / 700)) & (rate[1] >= 8 * rate[0]) & (fired[1] * each[1] >= 3 * fired[0] * each[0])
+        gain = np.where(good, fired[1] * np.log(rate[1] / rate[0]), -1.0)
+        pick = np.union1d(np.argsort(-gain, kind="stable")[:most_voters][: int((gain > 0).sum())], pick[rate[1][pick] > rate[0][pick]])
+    if not len(pick):
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -3.0 if n[0] or not n[1] else 3.0)
     chosen = value[pick]
     model = Classifier(chosen, np.zeros(len(chosen)), 0.0)
     votes = np.zeros((len(y), len(chosen)))
-    found = np.searchsorted(chosen, h)
-    ok = (found < len(chosen)) & (chosen[np.minimum(found, len(chosen) - 1)] == h) if len(chosen) else np.zeros(len(h), bool)
+    found = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
+    ok = chosen[found] == h
     votes[doc[ok], found[ok]] = 1
-    post, _, _ = label_model(votes, y, weight)
+    # Without labels a vote leaves 0.3 of the doubt: a few words can't tell their own accuracies.
+    post = label_model(votes, y, weight)[0] if all(n) else np.clip(1 - 0.3 ** votes.sum(1), 0.02, 0.98)
     # The classifier: logistic regression on posterior labels, by Newton steps with a ridge.
     x = np.c_[votes, np.ones(len(y))]
     beta = np.zeros(x.shape[1])
@@ -140,7 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_voters:
         beta += step
         if np.abs(step).max() < 1e-6:
             break
+    if all(n):
+        known = y >= 0
+        beta[-1] -= threshold((x @ beta)[known], y[known], (weight * np.where(y == 0, clean_weight, 1.0))[known])
     model.weights, model.bias = beta[:-1], float(beta[-1])
+    common.release()
     return model
 
 
