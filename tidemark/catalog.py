@@ -24,7 +24,8 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import queries as _  # noqa: F401  registers
+    from tidemark.plans import more_queries as _  # noqa: F401  registers
+    from tidemark.plans import queries as _  # noqa: F401, F811
     from tidemark.plans import strategy_queries as _  # noqa: F401, F811
 
 

@@ -111,6 +111,47 @@ def _np_cdf(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.sign(z) * (1 - poly * np.exp(-z * z)))
 
 
+def clipped_vol(market_price, s, k, r, t, is_call, least_vega: float = 1e-6) -> Column:
+    """A struct of iv and clipped: 1e-6 where the price is the call's worth without volatility, vega (at 0.2) is below least_vega, or there is no iv."""
+    worth = F.greatest(_c(s) - _c(k) * F.exp(-_c(r) * _c(t)), F.lit(0.0))
+    found = implied_vol(market_price, s, k, r, t, is_call)
+    clipped = (F.abs(_c(market_price) - worth) < 1e-8) | (F.abs(vega(s, k, r, 0.2, t)) < least_vega) | found["status"].isNotNull()
+    return F.struct(F.when(clipped, 1e-6).otherwise(found["iv"]).alias("iv"), clipped.alias("clipped"))
+
+
+def counted_vol(market_price, s, k, r, t, is_call) -> Column:
+    """A struct of iv and rounds: Newton steps from the price's own scale within a bracket, halved where they leave it, and how many there were."""
+
+    @F.pandas_udf("iv double, rounds int")
+    def solve(m: pd.Series, s: pd.Series, k: pd.Series, r: pd.Series, t: pd.Series, c: pd.Series) -> pd.DataFrame:
+        m, s, k, r, t = (x.astype(float).to_numpy() for x in (m, s, k, r, t))
+        with np.errstate(all="ignore"):
+            worth, root = k * np.exp(-r * t), np.sqrt(t)
+            m = np.where(c.to_numpy(bool), m, m + s - worth)
+            flat = np.abs(m - np.maximum(s - worth, 0)) < 1e-10
+            v = np.sqrt(2 * np.pi / t) * m / s
+            v = np.where(np.isfinite(v) & (v > 1e-6) & (v < 5), v, 0.2)
+            low, high, rounds = np.full(len(m), 1e-6), np.full(len(m), 5.0), np.where(flat, 1, 0)
+            v, open_rows = np.where(flat, 1e-6, v), ~flat
+            for _ in range(200):
+                if not open_rows.any():
+                    break
+                rounds = rounds + open_rows
+                x = (np.log(s / k) + (r + v * v / 2) * t) / (v * root)
+                gap = s * _np_cdf(x) - worth * _np_cdf(x - v * root) - m
+                open_rows = open_rows & ~(np.abs(gap) < 1e-10)
+                high, low = np.where(open_rows & (gap > 0), v, high), np.where(open_rows & ~(gap > 0), v, low)
+                slope = s * np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * root
+                newton, middle = v - gap / slope, (low + high) / 2
+                near = np.where((np.abs(slope) > 1e-6) & (newton > low) & (newton < high), newton, middle)
+                shut = open_rows & (np.abs(high - low) < 1e-10)
+                v = np.where(shut, middle, np.where(open_rows, near, v))
+                open_rows = open_rows & ~shut
+        return pd.DataFrame({"iv": v, "rounds": rounds.astype(np.int32)})
+
+    return solve(_c(market_price), _c(s), _c(k), _c(r), _c(t), _c(is_call))
+
+
 def implied_vol(market_price, s, k, r, t, is_call) -> Column:
     """A struct of iv and status: volatility by Newton steps kept within a bracket of 1e-6 to 5; status is null if it was found.
 

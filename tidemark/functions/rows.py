@@ -98,6 +98,31 @@ def predict_proba(features, weights: list[float], bias: float = 0.0) -> Column:
     return sigmoid(linear_score(features, weights, bias))
 
 
+def predict(features, weights: list[float], bias: float = 0.0, threshold: float = 0.5) -> Column:
+    """Whether the probability is above threshold."""
+    return predict_proba(features, weights, bias) > threshold
+
+
+# --- positions and sides --------------------------------------------------------------------------------------------
+
+
+def is_exposed(position="position") -> Column:
+    """Whether a position (1 long, -1 short, 0 flat) is long or short."""
+    return _c(position) != 0
+
+
+def is_flat(position="position") -> Column:
+    return _c(position) == 0
+
+
+def opposite(side="side") -> Column:
+    return F.when(_c(side) == "bid", "ask").when(_c(side) == "ask", "bid")
+
+
+def side_name(side="side") -> Column:
+    return F.initcap(_c(side))
+
+
 # --- ratios over aggregates -----------------------------------------------------------------------------------------
 
 

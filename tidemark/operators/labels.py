@@ -62,27 +62,36 @@ def fixed_horizon(df: DataFrame, horizon: int, min_return: float = 0.0, entry: C
 
 
 def trend_scanning(df: DataFrame, shortest: int, longest: int, min_return: float = 0.0, entry: Column | None = None) -> DataFrame:
-    """The horizon whose price trend has the largest t statistic, the shortest of equal ones; from prefix sums, without a fit for each."""
-    x, y = F.col("idx").cast("double"), F.col("price")
-    w = by().rowsBetween(W.Window.unboundedPreceding, 0)
-    sums = df.select("key", "idx", "price", F.sum(y).over(w).alias("sy"), F.sum(y * y).over(w).alias("syy"), F.sum(x * y).over(w).alias("sxy"))
-    last = sums.groupBy("key").agg(F.max("idx").alias("_max"))
-    starts = sums.join(last, "key").where(F.lit(True) if entry is None else entry).where("price > 0")
-    starts = starts.withColumn("h", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).withColumn("end", F.least(F.col("idx") + F.col("h"), F.col("_max")))
-    ends = sums.select("key", F.col("idx").alias("end"), F.col("price").alias("p2"), F.col("sy").alias("ey"), F.col("syy").alias("eyy"), F.col("sxy").alias("exy"))
-    d = starts.join(ends, ["key", "end"])
-    n = (F.col("end") - F.col("idx") + 1).cast("double")
-    ty, tyy = F.col("ey") - F.col("sy") + F.col("price"), F.col("eyy") - F.col("syy") + F.col("price") * F.col("price")
-    txy = F.col("exy") - F.col("sxy") + F.col("idx") * F.col("price")
-    mid = F.col("idx") + (n - 1) / 2
-    sxx, cov, var = n * (n * n - 1) / 12, txy - mid * ty, tyy - ty * ty / n
-    sse = F.greatest(F.coalesce(var - F.try_divide(cov * cov, sxx), F.lit(0.0)), F.lit(0.0))
-    se = F.sqrt(F.try_divide(F.try_divide(sse, n - 2), sxx))
-    t = F.when((n < 3) | se.isNull() | (sse <= 1e-9 * F.greatest(var, F.lit(1e-300))), 0.0).otherwise(F.try_divide(F.try_divide(cov, sxx), se))
-    best = d.withColumn("t", t).groupBy("key", "idx", "price").agg(F.max_by(F.struct("end", "p2", "h", "t"), F.struct(F.abs("t"), -F.col("h"))).alias("b"))
-    r = F.col("b.p2") / F.col("price") - 1
+    """The horizon whose price trend has the largest t statistic, the shortest of equal ones.
+
+    Sums of each horizon grow out of those of the one before, over prices less the entry's, so that nothing cancels on long series;
+    a horizon beyond the series ends with its last row.
+    """
+    if not 1 <= shortest <= longest:
+        raise ValueError("shortest must be 1 at least, and longest not below it")
+    ahead = [F.lead(F.struct(F.col("price").alias("p"), F.col("idx").alias("i")), k).over(by()) for k in range(1, longest + 1)]
+    d = df.select("key", "idx", "price", F.array(F.struct(F.col("price").alias("p"), F.col("idx").alias("i")), *ahead).alias("_a")).where("price > 0")
+    d = (d if entry is None else d.where(entry)).withColumn("_a", F.filter("_a", lambda x: x.isNotNull()))
+    y = F.transform("_a", lambda x: x["p"] - F.col("price"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("k"), zero.alias("y"), zero.alias("yy"), zero.alias("ky"), F.array().cast("array<struct<t:double,h:int>>").alias("t"))
+
+    def step(s, v):
+        k, ty, tyy, tky = s["k"] + 1, s["y"] + v, s["yy"] + v * v, s["ky"] + s["k"] * v
+        sxx, cov, var = k * (k * k - 1) / 12, tky - (k - 1) / 2 * ty, tyy - ty * ty / k
+        sse = F.greatest(F.coalesce(var - F.try_divide(cov * cov, sxx), zero), zero)
+        se = F.sqrt(F.try_divide(F.try_divide(sse, k - 2), sxx))
+        t = F.when((k < 3) | se.isNull() | (sse <= 1e-9 * F.greatest(var, F.lit(1e-300))), 0.0).otherwise(F.try_divide(F.try_divide(cov, sxx), se))
+        return F.struct(k.alias("k"), ty.alias("y"), tyy.alias("yy"), tky.alias("ky"), F.concat(s["t"], F.array(F.struct(t.alias("t"), (k - 1).cast("int").alias("h")))).alias("t"))
+
+    told = F.aggregate(y, start, step, lambda s: s["t"])
+    # Horizons that the series cuts off all end on its last row; the shortest of them stands for them.
+    inside = F.filter(told, lambda x: (x["h"] >= shortest) | (x["h"] == F.size("_a") - 1))
+    best = F.array_max(F.transform(inside, lambda x: F.struct(F.abs(x["t"]).alias("size"), (-x["h"]).alias("h"), x["t"].alias("t"))))
+    d = d.withColumn("_b", best).withColumn("_e", F.element_at("_a", 1 - F.col("_b.h")))
+    r = F.col("_e.p") / F.col("price") - 1
     kind = F.when(r >= min_return, "Upper").when(r < -min_return, "Lower").otherwise("Time")
-    return best.select(*_event(kind, F.col("b.end"), F.col("b.p2")), F.col("b.t").alias("t_stat"))
+    return d.select(*_event(kind, F.col("_e.i"), F.col("_e.p")), F.col("_b.t").alias("t_stat"))
 
 
 def to_binary(min_return: float = 0.0) -> Column:
@@ -103,15 +112,25 @@ def concurrent_events(events: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def uniqueness(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """events with uniqueness (the mean of one over the events at each of its bars) and weight (one over their mean, summing to 1 for a key)."""
-    c = concurrent_events(events, bars)
-    w = by().rowsBetween(W.Window.unboundedPreceding, 0)
-    c = c.select("key", "idx", F.sum(F.try_divide(F.lit(1.0), F.col("n"))).over(w).alias("s"), F.sum("n").over(w).alias("m"), F.try_divide(F.lit(1.0), F.col("n")).alias("o"), "n")
-    at = events.join(c.select("key", F.col("idx").alias("entry"), F.col("s").alias("s0"), F.col("m").alias("m0"), F.col("o").alias("o0"), F.col("n").alias("n0")), ["key", "entry"])
-    at = at.join(c.select("key", F.col("idx").alias("exit"), F.col("s").alias("s1"), F.col("m").alias("m1")), ["key", "exit"])
-    size = F.col("exit") - F.col("entry") + 1
-    at = at.withColumn("uniqueness", (F.col("s1") - F.col("s0") + F.col("o0")) / size).withColumn("_w", size / (F.col("m1") - F.col("m0") + F.col("n0")))
-    return at.withColumn("weight", F.col("_w") / F.sum("_w").over(W.Window.partitionBy("key"))).select(*events.columns, "uniqueness", "weight")
+    """events with uniqueness (the mean of one over the events at each of its bars) and weight (one over their mean, summing to 1 for a key).
+
+    Begins, ends and bars are one table: running sums over it give the events at each bar, and each event's sums from its entry to its
+    exit. Events are distinct.
+    """
+    own = F.struct(*(F.col(c) for c in events.columns))
+    mark = lambda at, d, which: F.struct(at.cast("long").alias("idx"), F.lit(d).alias("_d"), F.lit(which).cast("int").alias("_which"))
+    marks = events.select("key", own.alias("_ev"), F.explode(F.array(mark(F.col("entry"), 1, 0), mark(F.col("exit") + 1, -1, None), mark(F.col("exit"), 0, 1))).alias("m")).select("key", "_ev", "m.*", F.lit(False).alias("_bar"))
+    rows = bars.select("key", F.lit(None).cast(marks.schema["_ev"].dataType).alias("_ev"), F.col("idx").cast("long").alias("idx"), F.lit(0).alias("_d"), F.lit(None).cast("int").alias("_which"), F.lit(True).alias("_bar")).unionByName(marks)
+    till, before = by().rangeBetween(W.Window.unboundedPreceding, 0), by().rangeBetween(W.Window.unboundedPreceding, -1)
+    n = rows.withColumn("n", F.sum("_d").over(till))
+    one, many = F.when(F.col("_bar"), F.try_divide(F.lit(1.0), F.col("n"))), F.when(F.col("_bar"), F.col("n"))
+    for c, x in (("_o", one), ("_m", many)):
+        n = n.withColumn(c, F.when(F.col("_which") == 0, F.coalesce(F.sum(x).over(before), F.lit(0))).otherwise(F.sum(x).over(till)))
+    at = lambda c, k: F.max(F.when(F.col("_which") == k, F.col(c)))
+    one_row = n.where("_which is not null").groupBy("key", "_ev").agg((at("_o", 1) - at("_o", 0)).alias("_o"), (at("_m", 1) - at("_m", 0)).alias("_m"))
+    size = F.col("_ev.exit") - F.col("_ev.entry") + 1
+    d = one_row.select("_ev.*", (F.col("_o") / size).alias("uniqueness"), (size / F.col("_m")).alias("_w"))
+    return d.withColumn("weight", F.col("_w") / F.sum("_w").over(W.Window.partitionBy("key"))).select(*events.columns, "uniqueness", "weight")
 
 
 def folds(spark: SparkSession, n_bars: int, n_folds: int) -> DataFrame:
@@ -126,12 +145,34 @@ def overlaps(start: Column, end: Column) -> Column:
     return (F.col("entry") < end) & (F.col("exit") > start)
 
 
-def purged_kfold(events: DataFrame, n_bars: int, n_folds: int, embargo: int = 0) -> DataFrame:
-    """events by fold, with role: test, purged (overlaps the fold), embargoed (begins just after it), or train. Folds are few, and broadcast."""
-    f = F.broadcast(folds(events.sparkSession, n_bars, n_folds))
-    start, end = F.col("start"), F.col("end")
+def purged_kfold(events: DataFrame, n_bars: int | DataFrame, n_folds: int, embargo: int = 0) -> DataFrame:
+    """events by fold, with role: test, purged (overlaps the fold), embargoed (begins just after it), or train.
+
+    n_bars: the rows of all series, or a table of key and n. Folds are equal runs of a series' rows, the last with the remainder.
+    """
+    if n_folds < 1:
+        raise ValueError("at least one fold")
+    d = events.withColumn("_n", F.lit(n_bars).cast("long")) if isinstance(n_bars, int) else events.join(n_bars.select("key", F.col("n").alias("_n")), "key")
+    d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    size = F.floor(F.col("_n") / n_folds)
+    d = d.withColumn("_s", F.col("fold") * size).withColumn("_e", F.when(F.col("fold") == n_folds - 1, F.col("_n")).otherwise((F.col("fold") + 1) * size))
+    start, end = F.col("_s"), F.col("_e")
     role = F.when(F.col("entry").between(start, end - 1), "test").when(overlaps(start, end), "purged").when(F.col("entry").between(end, end + embargo - 1), "embargoed").otherwise("train")
-    return events.crossJoin(f).withColumn("role", role).drop("start", "end")
+    return d.withColumn("role", role).drop("_n", "_s", "_e")
+
+
+def test_rows(df: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """df with split for each split of walk_forward whose test rows it is in; splits that end beyond a key's rows don't count.
+
+    A row's splits follow from its idx (from 0), so that nothing is joined by ranges. Other rows go.
+    """
+    if min(train, test, step) <= 0:
+        raise ValueError("sizes must be positive")
+    n = F.count("*").over(W.Window.partitionBy("key"))
+    first = F.greatest(F.ceil((F.col("idx") - train - test + 1) / step), F.lit(0))
+    last = F.least(F.floor((F.col("idx") - train) / step), F.floor((F.col("_n") - train - test) / step))
+    d = df.withColumn("_n", n).withColumn("_f", first.cast("int")).withColumn("_l", last.cast("int")).where("_f <= _l")
+    return d.withColumn("split", F.explode(F.sequence("_f", "_l"))).drop("_n", "_f", "_l")
 
 
 def walk_forward(spark: SparkSession, n_bars: int, train: int, test: int, step: int, anchored: bool = False) -> DataFrame:

@@ -100,23 +100,31 @@ class Book:
 REPLAYED = "key string, seq long, status string, filled long, notional long, best_bid long, bid_quantity long, best_ask long, ask_quantity long, n_orders long"
 
 
+def execute(book: Book, key: str, commands: pd.DataFrame) -> pd.DataFrame:
+    """Runs a book's commands in order of seq; a row for each, with the quotes after it."""
+    c, rows = commands.sort_values("seq"), []
+    for seq, cmd, order_id, side, price, quantity in zip(*(c[x].tolist() for x in ("seq", "cmd", "id", "side", "price", "quantity")), strict=True):
+        status, fills = "", []
+        if cmd == "add":
+            status = book.add(int(order_id), side, int(price), int(quantity))
+        elif cmd == "cancel":
+            status = "" if book.cancel(int(order_id)) is not None else "not found"
+        else:
+            fills = book.market(side, int(quantity))
+        b, a = book.best("bid") or (None, None), book.best("ask") or (None, None)
+        rows.append((key, seq, status, sum(q for _, q, _ in fills), sum(p * q for p, q, _ in fills), *b, *a, len(book.where)))
+    names = [x.split()[0] for x in REPLAYED.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names if n not in ("key", "status")})
+
+
 def replay(commands: DataFrame, tick: int = 1) -> DataFrame:
     """Runs each key's commands (key, seq, cmd: add, cancel or market; id, side, price, quantity) in order of seq; a row for each, with the quotes after it."""
+    return commands.groupBy("key").applyInPandas(lambda pdf: execute(Book(tick), pdf["key"].iloc[0], pdf), REPLAYED)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        book, rows = Book(tick), []
-        for c in pdf.sort_values("seq").itertuples(index=False):
-            status, fills = "", []
-            if c.cmd == "add":
-                status = book.add(int(c.id), c.side, int(c.price), int(c.quantity))
-            elif c.cmd == "cancel":
-                status = "" if book.cancel(int(c.id)) is not None else "not found"
-            else:
-                fills = book.market(c.side, int(c.quantity))
-            b, a = book.best("bid") or (None, None), book.best("ask") or (None, None)
-            rows.append((c.key, c.seq, status, sum(q for _, q, _ in fills), sum(p * q for p, q, _ in fills), *b, *a, len(book.where)))
-        names = [x.split()[0] for x in REPLAYED.split(", ")]
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({n: "Int64" for n in names if n not in ("key", "status")})
-
-    return commands.groupBy("key").applyInPandas(run, REPLAYED)
+
+def flow_correlation(snapshots: DataFrame) -> DataFrame:
+    """key, n, correlation of order_flow_imbalance with the change of mid over the same rows (key, idx, bid_quantity, ask_quantity, mid); 0 if either doesn't vary."""
+    move = snapshots.select("key", "idx", (F.col("mid") - F.lag("mid").over(by())).alias("_m"))
+    d = order_flow_imbalance(snapshots).join(move, ["key", "idx"])
+    both = F.col("ofi").isNotNull() & F.col("_m").isNotNull()
+    return d.where(both).groupBy("key").agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("ofi", "_m"), F.lit(0.0)), F.lit(0.0)).alias("correlation"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import stats
+from tidemark.operators import optimize, stats
 from tidemark.operators.returns import acf, by, ffd_weights
 
 SINGULAR = 1e-12
@@ -33,35 +33,40 @@ OLS = "key string, n long, coefficients array<double>, std_errors array<double>,
 
 
 def ols(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
-    """One fit for each key: sums of products in one aggregation, then a small system for each key.
+    """One fit for each key: moments in one aggregation, then a small system for each key.
 
-    Rows with a null among y and xs don't count. status says why there is no fit: too few rows, or singular.
+    With an intercept the moments are those about the means, which lose no digits where regressors lie far from 0. Rows with a
+    null among y and xs don't count. status says why there is no fit: too few rows, or singular.
     """
-    cols = ([F.lit(1.0)] if intercept else []) + [F.col(x).cast("double") for x in xs]
-    k, y_col = len(cols), F.col(y).cast("double")
-    d = df.dropna(subset=[y, *xs])
-    sums = [F.sum(cols[i] * cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(c * y_col).alias(f"b{i}") for i, c in enumerate(cols)]
-    agg = d.groupBy("key").agg(F.count("*").alias("n"), F.sum(y_col).alias("sy"), F.sum(y_col * y_col).alias("syy"), *sums)
+    cols, y_col, k = [F.col(x).cast("double") for x in xs], F.col(y).cast("double"), len(xs)
+    both = (lambda a, b: F.covar_pop(a, b)) if intercept else (lambda a, b: F.avg(a * b))
+    sums = [both(cols[i], cols[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [both(c, y_col).alias(f"b{i}") for i, c in enumerate(cols)]
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
+    agg = df.dropna(subset=[y, *xs]).groupBy("key").agg(F.count("*").alias("n"), F.avg(y_col).alias("my"), both(y_col, y_col).alias("vy"), F.var_pop(y_col).alias("sy"), *means, *sums)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
                 n = int(r["n"])
-                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                b = np.array([r[f"b{i}"] for i in range(k)])
+                a = n * np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]).reshape(k, k)
+                b = n * np.array([r[f"b{i}"] for i in range(k)])
+                size = k + intercept
                 try:
-                    if n < k:
+                    if n < size:
                         raise ValueError("too few rows")
                     beta, inverse = solve(a, b), solve(a, np.eye(k))
                 except ValueError as e:
                     rows.append((r["key"], n, None, None, None, None, None, str(e)))
                     continue
-                sse = max(float(r["syy"] - 2 * beta @ b + beta @ a @ beta), 0.0)
-                sst = float(r["syy"] - r["sy"] ** 2 / n)
-                s2 = sse / (n - k) if n > k else 0.0
-                se = np.sqrt(np.abs(np.diag(inverse) * s2))
-                t = np.divide(beta, se, out=np.zeros(k), where=se > 0)
+                sse = max(float(n * r["vy"] - 2 * beta @ b + beta @ a @ beta), 0.0)
+                sst = float(n * r["sy"])
+                spread = np.diag(inverse)
+                if intercept:
+                    m = np.array([r[f"m{i}"] for i in range(k)])
+                    beta, spread = np.r_[r["my"] - beta @ m, beta], np.r_[1 / n + m @ inverse @ m, spread]
+                se = np.sqrt(np.abs(spread * (sse / (n - size) if n > size else 0.0)))
+                t = np.divide(beta, se, out=np.zeros(size), where=se > 0)
                 rows.append((r["key"], n, beta.tolist(), se.tolist(), t.tolist(), 1 - sse / sst if sst > 0 else 0.0, sse, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OLS.split(", ")])
 
@@ -208,6 +213,74 @@ def arch_variances(df: DataFrame, omega: float, alphas: list[float], r: str = "r
     return df.withColumn("variance", F.greatest(v, F.lit(1e-300)))
 
 
+def arch_parameters(z: np.ndarray) -> tuple[float, np.ndarray]:
+    """Free numbers to omega and alphas, which aren't negative and sum to less than 1."""
+    e = np.exp(np.clip(z, -30, 30))
+    return float(e[0]), e[1:] / (1 + e[1:].sum())
+
+
+def arch_variance_path(r: np.ndarray, omega: float, alpha: np.ndarray) -> np.ndarray:
+    """The variance of each row: omega and the weighted squares of the rows before, as far as there are any."""
+    return np.maximum(omega + np.convolve(r * r, np.r_[0.0, alpha])[: len(r)], 1e-300)
+
+
+def arch_likelihood(r: np.ndarray, omega: float, alpha: np.ndarray) -> float:
+    """The Gaussian log-likelihood of all rows."""
+    return _likelihood(r, arch_variance_path(r, omega, alpha))
+
+
+def long_run_variance(omega: float, persistence: float) -> float:
+    return omega / (1 - persistence) if persistence < 1 else float("inf")
+
+
+def arch_ahead(omega: float, alpha: np.ndarray, horizon: int, last: np.ndarray | None = None) -> list[float]:
+    """Variances of the next rows: from the long-run variance, or from last, the squares of the last rows, newest first.
+
+    The first alpha meets the oldest of the squares that are at hand; each forecast then becomes the newest of them.
+    """
+    level = long_run_variance(omega, float(alpha.sum()))
+    window, out = list(np.full(len(alpha), level) if last is None else last), []
+    for _ in range(horizon):
+        out.append(float(omega + alpha @ window[::-1]))
+        window = [*window[1:], out[-1]]
+    return out
+
+
+ARCH = "key string, omega double, alpha array<double>, log_likelihood double, long_run_variance double, forecast array<double>, forecast_from array<double>, converged boolean, status string"
+
+
+def arch(df: DataFrame, q: int = 1, horizon: int = 5, r: str = "r") -> DataFrame:
+    """One ARCH(q) fit for each key by maximum likelihood, with forecasts from the long-run variance and from the last rows.
+
+    Fewer than q + 3 rows, or none that vary: a status.
+    """
+    if q < 1:
+        raise ValueError("q must be 1 at least")
+    names = [c.split()[0] for c in ARCH.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, key = pdf.sort_values("idx")[r].to_numpy(float), pdf["key"].iloc[0]
+        if len(x) < q + 3 or not np.var(x) > 0:
+            return pd.DataFrame([(key, *[None] * 7, "too few rows")], columns=names)
+        share = 0.5 / (q + 1)
+        start = [np.log(0.5 * max(float(np.var(x, ddof=1)), 1e-10)), *[np.log(share / (1 - share))] * q]
+        best = optimize.multistart(lambda z: arch_likelihood(x, *arch_parameters(z)), start)
+        omega, alpha = arch_parameters(best.x)
+        ahead = arch_ahead(omega, alpha, horizon), arch_ahead(omega, alpha, horizon, x[::-1][:q] ** 2)
+        return pd.DataFrame([(key, omega, alpha.tolist(), best.value, long_run_variance(omega, float(alpha.sum())), *ahead, best.converged, None)], columns=names)
+
+    return df.groupBy("key").applyInPandas(run, ARCH)
+
+
+def decompose(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """df (key, y and xs) with fitted, what the fit of ols gives (its constant included), and residual; null where there is no fit."""
+    fit = ols(df, y, xs).select("key", F.col("coefficients").alias("_c"))
+    fitted = F.get("_c", F.lit(0))
+    for k, x in enumerate(xs, 1):
+        fitted = fitted + F.get("_c", F.lit(k)) * F.col(x)
+    return df.join(fit, "key", "left").withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_c")
+
+
 def garch_variances(r: np.ndarray, omega: float, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     most = max(len(alpha), len(beta))
     v = np.full(len(r), max(float(np.var(r, ddof=1)) if len(r) > 1 else 1e-300, 1e-300))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import optimize, simulation, stats
 from tidemark.operators.models import solve
 
 #: Assets that a dense covariance on the driver may have.
@@ -15,9 +17,28 @@ MOST_ASSETS = 2000
 
 
 def covariance(returns: DataFrame) -> DataFrame:
-    """i, j, cov, n: sample covariances of assets (idx, asset, r) over the times that both have."""
-    a, b = returns.select("idx", F.col("asset").alias("i"), F.col("r").alias("x")), returns.select("idx", F.col("asset").alias("j"), F.col("r").alias("y"))
-    return a.join(b, "idx").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+    """i, j, cov, n: sample covariances of assets (idx, asset, r) over the times that both have.
+
+    The assets of a time are one sorted array; each pair is made once, and turned round after the sums.
+    """
+    times = returns.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct(F.col("asset").alias("i"), F.col("r").alias("x")))).alias("all"))
+    first = times.select("all", F.posexplode("all").alias("at", "a"))
+    pairs = first.select(F.col("a.i").alias("i"), F.col("a.x").alias("x"), F.explode(F.slice("all", F.col("at") + 1, F.size("all"))).alias("b"))
+    half = pairs.select("i", F.col("b.i").alias("j"), "x", F.col("b.x").alias("y")).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select(F.explode(both).alias("p"), "cov", "n").select("p.*", "cov", "n")
+
+
+class RiskModel(Protocol):
+    """A risk of returns as an aggregate of a column, such as stats.var."""
+
+    def __call__(self, r: Column | str, confidence: float) -> Column: ...
+
+
+class Allocator(Protocol):
+    """Weights from means and covariances, such as min_variance behind a lambda."""
+
+    def __call__(self, mean: np.ndarray, cov: np.ndarray) -> np.ndarray: ...
 
 
 @dataclass
@@ -86,6 +107,49 @@ def two_asset_min_weight(var_a, var_b, cov) -> Column:
     return F.when(F.abs(under) < 1e-15, 0.5).otherwise((b - c) / F.nullif(under, F.lit(0.0)))
 
 
+def two_asset_point(w, mean_a, mean_b, var_a, var_b, cov) -> Column:
+    """A struct of mean and volatility of a share w of one asset and the rest of another."""
+    w, a, b, va, vb, c = (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x)) for x in (w, mean_a, mean_b, var_a, var_b, cov))
+    variance = w * w * va + (1 - w) * (1 - w) * vb + 2 * w * (1 - w) * c
+    return F.struct((w * a + (1 - w) * b).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("volatility"))
+
+
+def two_fund_share(target_volatility, tangency_volatility) -> Column:
+    """The share of the tangency portfolio, the rest without risk, that has the volatility wanted; 0 if the portfolio has none."""
+    t, v = (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x)) for x in (target_volatility, tangency_volatility))
+    return F.when(F.abs(v) < 1e-300, 0.0).otherwise(t / F.nullif(v, F.lit(0.0)))
+
+
+def cost_adjusted_tangency(mean: np.ndarray, cov: np.ndarray, risk_free: float, cost: float) -> np.ndarray:
+    """The tangency portfolio of means from which the cost of trading is taken."""
+    return tangency(np.asarray(mean) - cost, cov, risk_free)
+
+
+def long_only(mean: np.ndarray, cov: np.ndarray, aversion: float = 0.5, rate: float = 0.5, rounds: int = 200) -> np.ndarray:
+    """Weights that aren't negative: projected steps up the mean less aversion times the variance, from equal weights."""
+    return optimize.projected_gradient(lambda w: 2 * aversion * cov @ w - mean, simplex, np.full(len(mean), 1 / len(mean)), rate, rounds)
+
+
+def cvar_grid(spark: SparkSession, mean: tuple[float, float], sd: tuple[float, float], confidence: float = 0.95, points: int = 101, samples: int = 2000, seed: int = 42) -> DataFrame:
+    """w, cvar: the tail loss of a share w of one normal asset and the rest of another, over the same draws for each w of a grid.
+
+    A sample takes two normals of one stream: the first asset's, then the second's.
+    """
+    z = simulation.normal_draws(spark, 2, samples, seed)
+    r = [F.lit(mean[k]) + sd[k] * F.col("z")[k] for k in range(2)]
+    grid = F.explode(F.array(*[F.lit(k / (points - 1)) for k in range(points)]))
+    return stats.cvar(z.select(grid.alias("w"), "z").select("w", (F.col("w") * r[0] + (1 - F.col("w")) * r[1]).alias("r")), ["w"], "r", confidence).select("w", "cvar")
+
+
+def neutrality(df: DataFrame, long: str, short: str, factor: str, short_weight: float) -> DataFrame:
+    """key, beta, systematic, idiosyncratic, idiosyncratic_share of long plus short_weight times short against a factor, in population variances."""
+    d = df.withColumn("_r", F.col(long) + short_weight * F.col(short))
+    g = d.groupBy("key").agg(stats.beta("_r", factor).alias("beta"), F.var_pop("_r").alias("_v"), F.var_pop(factor).alias("_f"))
+    systematic = F.col("beta") * F.col("beta") * F.col("_f")
+    own = F.greatest(F.col("_v") - systematic, F.lit(0.0))
+    return g.select("key", "beta", systematic.alias("systematic"), own.alias("idiosyncratic"), F.try_divide(own, F.col("_v")).alias("idiosyncratic_share"))
+
+
 def capital_market_line(risk_free: float, sharpe: float, sigma: float) -> float:
     return risk_free + sharpe * sigma
 

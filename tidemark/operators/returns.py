@@ -154,6 +154,15 @@ def frac_diff(df: DataFrame, d: float, threshold: float = 1e-3, value: str = "pr
     return df.withColumn("_h", held).where(F.size("_h") == len(w)).withColumn("fd", dot).drop("_h")
 
 
+def expanding_frac_diff(df: DataFrame, d: float, threshold: float = 1e-3, value: str = "price") -> DataFrame:
+    """frac_diff for every row: one with fewer rows before it than there are weights uses as many weights as it has rows."""
+    w = ffd_weights(d, threshold)
+    held = F.reverse(F.collect_list(value).over(trailing(len(w))))
+    n = F.size("_h")
+    dot = F.aggregate(F.zip_with("_h", F.slice(F.array(*map(F.lit, w)), F.lit(1), n), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("_h", held).withColumn("fd", dot).drop("_h")
+
+
 def horizon_sums(df: DataFrame, size: int, r: str = "r") -> DataFrame:
     """key, chunk, r: sums of so many returns in a row; the last may have fewer."""
     return df.withColumn("chunk", F.floor((F.row_number().over(by()) - 1) / size)).groupBy("key", "chunk").agg(F.sum(r).alias("r"))

@@ -37,25 +37,88 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], score: str = "score"
     return stats.precision_recall(d.groupBy("threshold").agg(*stats.confusion(label, p)))
 
 
-def _running(df: DataFrame, score: str, label: str, tie: str, parts: int) -> DataFrame:
-    """df with tp and fp, the labels at or before each row by falling score (then tie).
+#: Rows of a range of the order of scores, about, and ranges at least.
+RANGE_ROWS, LEAST_RANGES = 1_000_000, 64
 
-    The order is cut into ranges of scores by approximate quantiles; sums of the ranges before are added to those within.
+
+def _ranges(df: DataFrame, score: str, tie: str, parts: int | None) -> DataFrame:
+    """df with _part and _sub, which rise in the order of falling scores and rising ties.
+
+    Ranges of scores are cut by approximate quantiles. A score that fills more than one range is a range of its own,
+    which is cut by quantiles of its ties, where these are numbers.
     """
-    cuts = df.approxQuantile(score, [k / parts for k in range(1, parts)], 0.001) if parts > 1 else []
+    parts = max(LEAST_RANGES, df.count() // RANGE_ROWS) if parts is None else parts
+    cuts = df.approxQuantile(score, [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    hot = {c: cuts.count(c) for c in cuts if cuts.count(c) > 1}
+    c = F.col(score)
     part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(score) < c).cast("int")
-    d = df.withColumn("_part", part).withColumn("_y", F.col(label).cast("long"))
-    sums = d.groupBy("_part").agg(F.sum("_y").alias("_p"), F.count("*").alias("_n"))
-    before = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
-    sums = sums.select("_part", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-    inside = W.Window.partitionBy("_part").orderBy(F.col(score).desc(), tie).rowsBetween(W.Window.unboundedPreceding, 0)
-    d = d.withColumn("_tp", F.sum("_y").over(inside)).withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(sums), "_part")
-    return d.withColumn("tp", F.col("_tp") + F.col("_p")).withColumn("fp", F.col("_rn") + F.col("_n") - F.col("tp")).drop("_part", "_y", "_tp", "_rn", "_p", "_n")
-
-
-def roc_curve(df: DataFrame, score: str = "score", label: str = "label", tie: str = "row_id", parts: int = 64) -> DataFrame:
+    below = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else None
+    if below is not None:
+        part = F.size(F.filter(below, lambda x: c < x))
+    if hot:
+        part = part + F.size(F.filter(F.array(*[F.lit(x) for x in sorted(hot)]), lambda x: c <= x))
+    sub = F.lit(0)
+    if df.schema[tie].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+        for x, n in sorted(hot.items()):
+            inner = sorted(set(df.where(c == x).approxQuantile(tie, [k / (n + 1) for k in range(1, n + 1)], 0.1 / (n + 1))))
+            sub = F.when(c == x, F.size(F.filter(F.array(*[F.lit(y) for y in inner]), lambda y: F.col(tie) >= y))).otherwise(sub)
+    return df.withColumn("_part", part).withColumn("_sub", sub)
+
+
+def _running(df: DataFrame, score: str, label: str, tie: str, parts: int | None) -> DataFrame:
+    """df with tp and fp, the labels at or before each row by falling score (then tie): sums of the ranges before, and within one."""
+    d = _ranges(df, score, tie, parts).withColumn("_y", F.col(label).cast("long"))
+    sums = d.groupBy("_part", "_sub").agg(F.sum("_y").alias("_p"), F.count("*").alias("_n"))  # a row for each range
+    before = W.Window.orderBy("_part", "_sub").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = sums.select("_part", "_sub", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    inside = W.Window.partitionBy("_part", "_sub").orderBy(F.col(score).desc(), tie).rowsBetween(W.Window.unboundedPreceding, 0)
+    d = d.withColumn("_tp", F.sum("_y").over(inside)).withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(sums), ["_part", "_sub"])
+    return d.withColumn("tp", F.col("_tp") + F.col("_p")).withColumn("fp", F.col("_rn") + F.col("_n") - F.col("tp")).drop("_part", "_sub", "_y", "_tp", "_rn", "_p", "_n")
+
+
+def ordinal(df: DataFrame, order: str, tie: str) -> DataFrame:
+    """df with nth, a row's place (from 0) by rising order, then tie, without a task that holds all rows. order is a number."""
+    d = _running(df.withColumn("_neg", -F.col(order)).withColumn("_one", F.lit(True)), "_neg", "_one", tie, None)
+    return d.withColumn("nth", (F.col("tp") + F.col("fp") - 1).cast("long")).drop("tp", "fp", "_neg", "_one")
+
+
+def chronological(df: DataFrame, order: str, tie: str, share: float = 0.8) -> DataFrame:
+    """df with is_train: the first share of the rows in order, rounded down; the rest are the test."""
+    n = df.agg(F.floor(F.count("*") * share).alias("_n"))
+    return ordinal(df, order, tie).crossJoin(F.broadcast(n)).withColumn("is_train", F.col("nth") < F.col("_n")).drop("nth", "_n")
+
+
+def discriminative(df: DataFrame, fit: DataFrame, label: str = "class", features: str = "features") -> DataFrame:
+    """One row, place and mean_z: the feature whose absolute z-score is largest on average in rows of class 1, the last of equal ones."""
+    d = df.where(F.col(label).cast("int") == 1).crossJoin(F.broadcast(fit)).select(F.posexplode(zscores(features)).alias("place", "z"))
+    return d.groupBy("place").agg(F.avg("z").alias("mean_z")).agg(F.max(F.struct("mean_z", "place")).alias("b")).select("b.place", "b.mean_z")
+
+
+def fold_auc(df: DataFrame, n_folds: int = 5, score: str = "score", label: str = "label", order: str = "row_id") -> DataFrame:
+    """fold, n, auc of contiguous folds by order (a number), the remainder in the last; ties of scores go by order. One class only: 0.5."""
+    n = df.agg(F.count("*").alias("_n"))
+    size = F.greatest(F.floor(F.col("_n") / n_folds), F.lit(1))
+    d = ordinal(df, order, order).crossJoin(F.broadcast(n)).withColumn("fold", F.least(F.floor(F.col("nth") / size), F.lit(n_folds - 1)).cast("int"))
+    y = F.col(label).cast("long")
+    below = F.sum(1 - y).over(W.Window.partitionBy("fold").orderBy(score, order).rowsBetween(W.Window.unboundedPreceding, -1))
+    g = d.withColumn("_b", F.coalesce(below, F.lit(0)) * y).groupBy("fold").agg(F.count("*").alias("n"), F.sum("_b").alias("_u"), F.sum(y).alias("_p"))
+    pairs = F.col("_p") * (F.col("n") - F.col("_p"))
+    return g.select("fold", "n", F.when(pairs == 0, 0.5).otherwise(F.col("_u") / F.nullif(pairs, F.lit(0))).alias("auc"))
+
+
+def best_threshold(df: DataFrame, thresholds: list[float], score: str = "score", label: str = "label") -> DataFrame:
+    """One row, threshold and f1: the threshold (scores at it count as above) with the largest F1, the least of equal ones."""
+    d = threshold_sweep(df, thresholds, score, label, strict=False)
+    return d.agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")).select("b.threshold", "b.f1")
+
+
+def youden(df: DataFrame, score: str = "score", label: str = "label", tie: str = "row_id") -> DataFrame:
+    """One row, place, fpr and tpr: the point of roc_curve with the largest tpr - fpr, the first of equal ones."""
+    p = roc_curve(df, score, label, tie)
+    return p.agg(F.max_by(F.struct("place", "fpr", "tpr"), F.struct(F.round(F.col("tpr") - F.col("fpr"), 12), -F.col("place"))).alias("b")).select("b.*")
+
+
+def roc_curve(df: DataFrame, score: str = "score", label: str = "label", tie: str = "row_id", parts: int | None = None) -> DataFrame:
     """place, fpr, tpr: a point for each row by falling score, ties by the column tie, after (0, 0). One class only: (0, 0) and (1, 1)."""
     total = df.agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     d = _running(df, score, label, tie, parts).crossJoin(F.broadcast(total))
@@ -65,7 +128,7 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", tie: st
     return points.unionByName(start).unionByName(one)
 
 
-def auc(df: DataFrame, score: str = "score", label: str = "label", tie: str = "row_id", parts: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str = "score", label: str = "label", tie: str = "row_id", parts: int | None = None) -> DataFrame:
     """One row, auc: the trapezoids under roc_curve, which for single rows are the true rates at each false one."""
     d = _running(df, score, label, tie, parts)
     got = d.agg(F.sum(F.when(~F.col(label).cast("boolean"), F.col("tp"))).alias("area"), F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
@@ -75,7 +138,6 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", tie: str = "r
 def calibration(df: DataFrame, bins: int = 10, score: str = "score", label: str = "label", tie: str = "row_id") -> DataFrame:
     """bin, n, mean_score, rate: bins of equal size by rising score, the remainder in the last."""
     n = df.agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(W.Window.orderBy(score, tie))
-    d = df.withColumn("_r", rank).crossJoin(F.broadcast(n))
+    d = _running(df.withColumn("_neg", -F.col(score)), "_neg", label, tie, None).withColumn("_r", F.col("tp") + F.col("fp")).crossJoin(F.broadcast(n))
     cut = F.least(F.floor((F.col("_r") - 1) / F.greatest(F.floor(F.col("_n") / bins), F.lit(1))), F.lit(bins - 1))
     return d.withColumn("bin", cut).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("rate"))

@@ -7,8 +7,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 #: The generator's shifts, multiplier and the state that a seed of 0 stands for (fixed values).
 SHIFTS, MULTIPLIER, ZERO_SEED = (12, 25, 27), 0x2545F4914F6CDD1D, 0x853C49E6748FEA9B
@@ -84,6 +85,11 @@ def _by_path(spark: SparkSession, n_paths: int, draws: int, seed: int, make, sch
     return spark.range(n_paths).mapInPandas(run, schema)
 
 
+def normal_draws(spark: SparkSession, draws: int, n_paths: int, seed: int) -> DataFrame:
+    """path_id, z: so many normals of each path."""
+    return _by_path(spark, n_paths, draws, seed, lambda ids, z: pd.DataFrame({"path_id": ids, "z": z.tolist()}), "path_id long, z array<double>")
+
+
 def gbm_paths(spark: SparkSession, s0: float, mu: float, sigma: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
     """path_id, step, value: exact steps of geometric Brownian motion. No steps: just the first values."""
     if s0 <= 0 or sigma < 0 or t <= 0 or n_paths < 1 or n_steps < 0:
@@ -126,6 +132,73 @@ def mc_price(spark: SparkSession, s0: float, k: float, r: float, sigma: float, t
     return d.agg(F.avg("g").alias("price"), (F.coalesce(F.stddev_samp("g"), F.lit(0.0)) / F.sqrt(F.count("g"))).alias("std_error"), F.count("g").alias("n"))
 
 
+def ci_half_width(std_error="std_error", z: float = 1.96) -> Column:
+    return z * F.col(std_error)
+
+
+def coverage(spark: SparkSession, s0: float, k: float, r: float, sigma: float, t: float, n_paths: int, seeds: list[int], z: float = 1.96) -> DataFrame:
+    """seed, price, std_error, covered: whether the exact price of a call lies in the interval around a Monte Carlo price, for each seed.
+
+    The trials are one table of seeds, dealt out to tasks; a trial's paths are worked on in its task.
+    """
+    if min(s0, k, t) <= 0 or sigma < 0 or n_paths < 1:
+        raise ValueError("bad parameters")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for seed in pdf["seed"]:
+                u = normals(np.array([state_after(int(seed), 0)], np.uint64), n_paths)[0]
+                g = np.maximum(s0 * np.exp((r - sigma * sigma / 2) * t + sigma * math.sqrt(t) * u) - k, 0) * math.exp(-r * t)
+                rows.append((seed, g.mean(), g.std(ddof=1) / math.sqrt(n_paths) if n_paths > 1 else 0.0))
+            yield pd.DataFrame(rows, columns=["seed", "price", "std_error"])
+
+    from tidemark.functions import options
+
+    d = spark.createDataFrame([(s,) for s in seeds], "seed long").repartition("seed").mapInPandas(run, "seed long, price double, std_error double")
+    exact = options.call_price(*(F.lit(float(x)) for x in (s0, k, r, sigma, t)))
+    return d.withColumn("covered", F.abs(F.col("price") - exact) <= ci_half_width("std_error", z))
+
+
+def euler_terminal(spark: SparkSession, s0: float, mu: float, sigma: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
+    """path_id, value at t by Euler's rule, which terminal makes exactly."""
+    if s0 <= 0 or t <= 0 or n_steps < 1 or n_paths < 1:
+        raise ValueError("bad parameters")
+    dt = t / n_steps
+    return _by_path(spark, n_paths, n_steps, seed, lambda ids, z: pd.DataFrame({"path_id": ids, "value": s0 * np.prod(1 + mu * dt + sigma * math.sqrt(dt) * z, axis=1)}), "path_id long, value double")
+
+
+def ar2(spark: SparkSession, phi1: float, phi2: float, n: int, n_paths: int, seed: int) -> DataFrame:
+    """path_id, idx, value: begun by two normals, then phi1 and phi2 times the last two values and a normal."""
+
+    def make(ids, z):
+        x = z.copy()
+        for k in range(2, n):
+            x[:, k] += phi1 * x[:, k - 1] + phi2 * x[:, k - 2]
+        return pd.DataFrame({"path_id": np.repeat(ids, n), "idx": np.tile(np.arange(n), len(ids)), "value": x.ravel()})
+
+    return _by_path(spark, n_paths, n, seed, make, "path_id long, idx long, value double")
+
+
+def applicants(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """row_id, features (credit score, debt to income and income, scaled) and defaulted of made-up loan applicants.
+
+    Each takes six numbers of the stream: three features, two for the normal in the odds of default, and one for the outcome.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            ids = pdf["id"].to_numpy()
+            u = uniforms(np.array([state_after(seed, 6 * int(i)) for i in ids], np.uint64), 6)
+            credit, dti, income = 300 + 500 * u[:, 0], 0.05 + 0.45 * u[:, 1], 20_000 + 80_000 * u[:, 2]
+            z = np.sqrt(-2 * np.log(np.maximum(u[:, 3], np.finfo(float).eps))) * np.cos(2 * np.pi * u[:, 4])
+            p = 1 / (1 + np.exp(-(-3 + 0.004 * (600 - credit) + 6 * (dti - 0.2) + 0.1 * z)))
+            features = np.stack([(credit - 600) / 100, (dti - 0.25) / 0.15, (income - 50_000) / 30_000], 1)
+            yield pd.DataFrame({"row_id": ids, "features": features.tolist(), "defaulted": u[:, 5] < p})
+
+    return spark.range(n).mapInPandas(run, "row_id long, features array<double>, defaulted boolean")
+
+
 def asian_call(spark: SparkSession, s0: float, k: float, r: float, sigma: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
     mean = gbm_paths(spark, s0, r, sigma, t, n_steps, n_paths, seed).where("step > 0").groupBy("path_id").agg(F.avg("value").alias("a"))
     gain = F.greatest(F.col("a") - k, F.lit(0.0)) * math.exp(-r * t)
@@ -193,13 +266,78 @@ def poisson_paths(spark: SparkSession, rate: float, t: float, n_paths: int, seed
     return spark.range(n_paths).mapInPandas(run, "path_id long, arrival double")
 
 
+def poisson_counts(spark: SparkSession, rate: float, t: float, n_paths: int, seed: int) -> DataFrame:
+    """path_id, n: the arrivals of each path of poisson_paths, paths without one included."""
+    n = poisson_paths(spark, rate, t, n_paths, seed).groupBy("path_id").agg(F.count("*").alias("n"))
+    return spark.range(n_paths).withColumnRenamed("id", "path_id").join(n, "path_id", "left").fillna(0, ["n"])
+
+
+def poisson_grid(spark: SparkSession, rate: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
+    """path_id, step, n: arrivals up to each of n_steps equal times, from 0."""
+    if n_steps < 1:
+        raise ValueError("at least one step")
+    steps = spark.range(n_paths).select(F.col("id").alias("path_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_steps).cast("long"))).alias("step"))
+    at = poisson_paths(spark, rate, t, n_paths, seed).groupBy("path_id", F.ceil(F.col("arrival") * n_steps / t).alias("step")).agg(F.count("*").alias("_n"))
+    w = W.Window.partitionBy("path_id").orderBy("step").rowsBetween(W.Window.unboundedPreceding, 0)
+    return steps.join(at, ["path_id", "step"], "left").select("path_id", "step", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("n"))
+
+
+def random_jumps(spark: SparkSession, s0: float, mu: float, sigma: float, jump_rate: float, jump_sd: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
+    """path_id, step, value: geometric Brownian motion with normal log jumps, as many a step as the inverse of the Poisson distribution gives.
+
+    How many numbers a path takes depends on its jumps, so that each path has a seed of its own, as in poisson_paths.
+    """
+    if s0 <= 0 or t <= 0 or n_steps < 1 or n_paths < 1 or jump_rate < 0:
+        raise ValueError("bad parameters")
+    dt = t / n_steps
+
+    def run(batches):
+        for pdf in batches:
+            for i in pdf["id"]:
+                draw = _numbers(seed + 0x9E3779B97F4A7C15 * (int(i) + 1))
+                logs = np.zeros(n_steps + 1)
+                for k in range(1, n_steps + 1):
+                    logs[k] = (mu - sigma * sigma / 2) * dt + sigma * math.sqrt(dt) * _normal(draw)
+                    logs[k] += sum(jump_sd * _normal(draw) for _ in range(_poisson_quantile(next(draw), jump_rate * dt)))
+                yield pd.DataFrame({"path_id": np.full(n_steps + 1, i), "step": np.arange(n_steps + 1), "value": s0 * np.exp(np.cumsum(logs))})
+
+    return spark.range(n_paths).mapInPandas(run, "path_id long, step long, value double")
+
+
+def _numbers(seed: int):
+    """The numbers of one stream, one after another."""
+    state = state_after(seed, 0)
+    while True:
+        yield from uniforms(np.array([state], np.uint64), 256)[0]
+        state = state_after(state, 256)
+
+
+def _normal(draw) -> float:
+    a, b = next(draw), next(draw)
+    return math.sqrt(-2 * math.log(max(a, float(np.finfo(float).eps)))) * math.cos(2 * math.pi * b)
+
+
+def _poisson_quantile(u: float, mean: float, most: int = 101) -> int:
+    """The least count whose distribution function isn't below u."""
+    n, p = 0, math.exp(-mean)
+    total = p
+    while u > total and n < most:
+        n += 1
+        p *= mean / n
+        total += p
+    return n
+
+
+def jump_terminal(spark: SparkSession, s0: float, mu: float, sigma: float, jump_rate: float, jump_mean: float, t: float, n_paths: int, seed: int) -> DataFrame:
+    """path_id, value at t of jump_diffusion in a single step."""
+    return jump_diffusion(spark, s0, mu, sigma, jump_rate, jump_mean, t, 1, n_paths, seed).where("step = 1").select("path_id", "value")
+
+
 def jump_diffusion(spark: SparkSession, s0: float, mu: float, sigma: float, jump_rate: float, jump_mean: float, t: float, n_steps: int, n_paths: int, seed: int) -> DataFrame:
     """path_id, step, value: geometric Brownian motion with factors exp(jump_mean) at Poisson times, and no compensation."""
     dt = t / n_steps
     jumps = poisson_paths(spark, jump_rate, t, n_paths, seed).groupBy("path_id", F.least(F.ceil(F.col("arrival") / dt), F.lit(n_steps)).alias("at")).agg(F.count("*").alias("n"))
     paths = gbm_paths(spark, s0, mu, sigma, t, n_steps, n_paths, seed)
-    from pyspark.sql import window as W
-
     w = W.Window.partitionBy("path_id").orderBy("step").rowsBetween(W.Window.unboundedPreceding, 0)
     d = paths.join(jumps.withColumnRenamed("at", "step"), ["path_id", "step"], "left")
     return d.select("path_id", "step", (F.col("value") * F.exp(jump_mean * F.coalesce(F.sum("n").over(w), F.lit(0)))).alias("value"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tidemark.functions.rows import ratio
 
@@ -41,7 +42,8 @@ def sharpe(r, risk_free: float = 0.0, periods: float = 1.0) -> Column:
 
 
 def sortino(r, risk_free: float = 0.0) -> Column:
-    down = F.sqrt(F.avg(F.pow(F.greatest(risk_free - _c(r), F.lit(0.0)), F.lit(2.0))))
+    gap = risk_free - _c(r)
+    down = F.sqrt(F.avg(F.pow(F.when(gap.isNotNull(), F.greatest(gap, F.lit(0.0))), F.lit(2.0))))
     return F.coalesce(ratio(F.avg(r) - risk_free, down), F.lit(0.0))
 
 
@@ -69,9 +71,16 @@ def var(r, confidence: float = 0.95) -> Column:
 
 
 def cvar(df: DataFrame, keys: list[str], r: str = "r", confidence: float = 0.95) -> DataFrame:
-    """keys, var and cvar: the mean loss at or beyond the quantile."""
-    q = df.groupBy(*keys).agg(var(r, confidence).alias("var"))
-    return df.join(q, keys).groupBy(*keys).agg(F.max("var").alias("var"), (-F.avg(F.when(F.col(r) <= -F.col("var") + 1e-12, F.col(r)))).alias("cvar"))
+    """keys, var and cvar: the mean loss at or beyond the quantile, from the sorted rows of each group (one shuffle, sorts that spill)."""
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must be within 0 and 1")
+    whole = W.Window.partitionBy(*keys)
+    d = df.where(F.col(r).isNotNull()).withColumn("_k", F.row_number().over(whole.orderBy(r)) - 1).withColumn("_at", (F.count("*").over(whole) - 1) * F.lit(1 - confidence))
+    low = F.floor("_at")
+    near = lambda k: F.max(F.when(F.col("_k") == k, F.col(r))).over(whole)
+    d = d.withColumn("_a", near(low)).withColumn("_b", near(low + 1))
+    q = F.col("_a") + F.coalesce(F.col("_b") - F.col("_a"), F.lit(0.0)) * (F.col("_at") - low)
+    return d.withColumn("_q", q).groupBy(*keys).agg((-F.max("_q")).alias("var"), (-F.avg(F.when(F.col(r) <= F.col("_q") + 1e-12, F.col(r)))).alias("cvar"))
 
 
 def ulcer(drawdown="drawdown") -> Column:
@@ -83,6 +92,12 @@ def price_change(price="close", idx="idx") -> Column:
     return F.when(F.count(price) < 2, 0.0).otherwise(F.try_divide(F.max_by(price, idx) - first, first))
 
 
+def bar_summary() -> list[Column]:
+    """average_volume, highest_high, lowest_low and average_daily_range of bars; 0 for no bars."""
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return [zero(F.avg("volume"), "average_volume"), zero(F.max("high"), "highest_high"), zero(F.min("low"), "lowest_low"), zero(F.avg(F.col("high") - F.col("low")), "average_daily_range")]
+
+
 def vwap(price="price", quantity="quantity") -> Column:
     return F.coalesce(ratio(F.sum(_c(price) * _c(quantity)), F.sum(quantity)), F.lit(0.0))
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tidemark.functions import options
-from tidemark.functions.rows import ratio
-from tidemark.operators import labels, models, stats
+from tidemark.functions.rows import deflated_sharpe, grade_to_score, loan_to_income, normalize, one_hot, predict_proba, ratio, walk_forward_efficiency
+from tidemark.operators import labels, models, scoring, stats
 from tidemark.operators.backtest import clamp
-from tidemark.operators.returns import acf, by, so_far, trailing
+from tidemark.operators.returns import acf, by, ema, frac_diff, log_returns, so_far, trailing
 
 Labeler = Callable[[DataFrame, Column], DataFrame]
 Splitter = Callable[[SparkSession, int], DataFrame]
@@ -208,6 +208,99 @@ def embargo_lag(df: DataFrame, most_lag: int = 10, value: str = "price") -> Data
     return a.groupBy("key").agg(F.coalesce(F.min(near), F.lit(0)).alias("embargo"))
 
 
+def crossover_grid(df: DataFrame, shorts: list[int], longs: list[int], price: str = "close", periods: float = 252) -> DataFrame:
+    """key, short, long, sharpe, best: the annual Sharpe ratio of holding while the short mean lies above the long one, for each pair of lengths.
+
+    A row's return, from the row before, counts if the means cross over on the row itself; rows before the long mean's first
+    full window and the row that ends it are flat. best marks the largest ratio above 0 of a key, the first of equal ones.
+    """
+    pairs = [(s, n) for s in shorts for n in longs if 1 <= s < n]
+    if not pairs:
+        raise ValueError("no pair of lengths")
+    d = df.select("key", "idx", (F.col(price) / F.lag(price).over(by()) - 1).alias("_r"), (F.row_number().over(by()) - 1).alias("_n"), *[F.avg(price).over(trailing(k)).alias(f"_m{k}") for k in sorted({k for p in pairs for k in p})])
+    d = d.where("_r is not null")
+    earned = lambda s, n: F.when((F.col("_n") >= n) & (F.col(f"_m{s}") > F.col(f"_m{n}")), F.col("_r")).otherwise(0.0)
+    g = d.groupBy("key").agg(*[F.coalesce(stats.sharpe(earned(s, n), 0.0, periods), F.lit(0.0)).alias(f"s{k}") for k, (s, n) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("short"), F.lit(n).alias("long"), F.col(f"s{k}").alias("sharpe")) for k, (s, n) in enumerate(pairs)])
+    top = F.array_max(F.transform(rows, lambda x: F.struct(x["sharpe"], -x["k"])))
+    d = g.select("key", top.alias("_t"), F.explode(rows).alias("x"))
+    best = (F.col("_t.sharpe") > 0) & (F.col("x.k") == -F.col("_t.col2"))
+    return d.select("key", "x.short", "x.long", "x.sharpe", best.alias("best"))
+
+
+def ema_crossover(df: DataFrame, short: int, long: int, price: str = "close") -> DataFrame:
+    """Adds position: 1 while the short exponential mean lies above the long one, else 0."""
+    if not 1 <= short < long:
+        raise ValueError("short must be below long")
+    d = ema(ema(df, short, price, "_s"), long, price, "_l")
+    return d.withColumn("position", (F.col("_s") > F.col("_l")).cast("int")).drop("_s", "_l")
+
+
+def turnover(df: DataFrame, cost: float = 0.0, price: str = "close") -> DataFrame:
+    """key, n_trades, total_return of rows with a position: what was held on the row before earns, and each change costs a share of equity."""
+    held = F.coalesce(F.lag("position").over(by()), F.lit(0))
+    d = df.withColumn("_h", held).withColumn("_n", F.row_number().over(by()))
+    r = F.when(F.col("_n") > 1, F.col(price) / F.lag(price).over(by()) - 1).otherwise(0.0)
+    # The first row's position isn't traded.
+    changed = ((F.col("_n") > 1) & (F.col("position") != F.when(F.col("_n") == 2, 0).otherwise(F.col("_h")))).cast("int")
+    d = d.withColumn("_c", changed).withColumn("_r", F.when((F.col("_n") > 2) & (F.col("_h") == 1), r).otherwise(0.0))
+    grown = F.product((1 + F.col("_r")) * F.pow(F.lit(1 - cost), F.col("_c")))
+    return d.groupBy("key").agg(F.sum("_c").alias("n_trades"), (grown - 1).alias("total_return"))
+
+
+def learning(px: DataFrame, barrier: labels.TripleBarrier, d: float = 0.4, threshold: float = 1e-4, step: int = 5, splits: tuple[int, int, int] = (120, 30, 30), trials: int = 5, var_sharpes: float = 0.05, in_sample: float = 1.2, out_of_sample: float = 0.6) -> DataFrame:
+    """The pipeline of labels and sizes, a row for each key (key, idx from 0, price).
+
+    statistic and stationary are of the fractionally differenced log returns; n_events, n_upper, n_lower and n_time of the barriers,
+    entered every step-th row; n_folds of a walk forward; kelly and half_kelly of the events' returns; efficiency of the Sharpe ratios
+    in and out of sample, which are given; sharpe, skew, kurtosis and deflated_sharpe of the events.
+    """
+    r = log_returns(px).select("key", "idx", F.col("r").alias("price"))
+    tested = models.adf(frac_diff(r, d, threshold).select("key", "idx", F.col("fd").alias("price")), 1).select("key", "statistic", "stationary")
+    events = labels.triple_barrier(px, barrier, F.col("idx") % step == 0)
+    count = lambda kind: F.count_if(F.col("label") == kind)
+    g = events.groupBy("key").agg(
+        F.count("*").alias("n_events"),
+        *[count(k).alias(f"n_{k.lower()}") for k in ("Upper", "Lower", "Time")],
+        stats.kelly("return_pct").alias("kelly"),
+        stats.sharpe("return_pct").alias("sharpe"),
+        F.coalesce(F.skewness("return_pct"), F.lit(0.0)).alias("skew"),
+        F.coalesce(F.kurtosis("return_pct"), F.lit(0.0)).alias("kurtosis"),
+    )
+    train, test, stride = splits
+    n = px.groupBy("key").agg(F.greatest(F.floor((F.max("idx") + 1 - train - test) / stride) + 1, F.lit(0)).alias("n_folds"))
+    out = g.join(n, "key").join(tested, "key", "left")
+    deflated = deflated_sharpe("sharpe", "n_events", "skew", "kurtosis", trials, var_sharpes)
+    return out.withColumns({"half_kelly": 0.5 * F.col("kelly"), "efficiency": walk_forward_efficiency(F.lit(in_sample), F.lit(out_of_sample)), "deflated_sharpe": deflated})
+
+
+#: Weights of the loan score: loan to income, interest rate, debt to income, grade, and homes rented, owned and mortgaged (fixed values).
+LOAN_WEIGHTS, LOAN_BIAS = (0.8, 0.5, 0.7, 1.0, 0.2, -0.3, 0.0), -1.5
+
+
+def loan_scores(loans: DataFrame) -> DataFrame:
+    """loans (row_id, income, loan_amount, interest_rate, dti, grade, home_ownership, defaulted) with score, the probability of default.
+
+    The first four features are scaled to 0..1 by their least and largest values over all loans.
+    """
+    plain = [loan_to_income("loan_amount", "income"), F.col("interest_rate"), F.col("dti"), grade_to_score("grade")]
+    d = loans.withColumns({f"_f{k}": f for k, f in enumerate(plain)})
+    ends = d.agg(*[f(f"_f{k}").alias(f"_{f.__name__}{k}") for k in range(4) for f in (F.min, F.max)])
+    d = d.crossJoin(F.broadcast(ends))  # one row
+    scaled = [normalize(f"_f{k}", f"_min{k}", f"_max{k}") for k in range(4)]
+    features = F.concat(F.array(*scaled), one_hot("home_ownership"))
+    return d.select(*loans.columns, predict_proba(features, list(LOAN_WEIGHTS), LOAN_BIAS).alias("score"))
+
+
+def loan_report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: n, default_rate, auc, best_place, best_fpr and best_tpr (scoring.youden), and tp, fp, tn, fn, precision, recall and f1 at threshold."""
+    d = scored.withColumn("label", F.col("defaulted"))
+    base = d.agg(F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("default_rate"))
+    best = scoring.youden(d).select(F.col("place").alias("best_place"), F.col("fpr").alias("best_fpr"), F.col("tpr").alias("best_tpr"))
+    at = scoring.threshold_sweep(d, [threshold]).drop("threshold")
+    return base.crossJoin(scoring.auc(d)).crossJoin(best).crossJoin(at)  # one row each
+
+
 def smile(df: DataFrame, spot: float) -> DataFrame:
     """models.ols of iv on log-moneyness and its square (key, k, iv): level, skew and curvature are the coefficients."""
     m = F.ln(F.col("k") / spot)

@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from tidemark.catalog import register
 from tidemark.functions import options, rows
 from tidemark.operators import backtest, labels, microstructure, models, portfolio, returns, scoring, simulation, stats
-from tidemark.plans import series
+from tidemark.plans import series, sql_parts
 from tidemark.plans.series import BARS, PANEL, PX, table
 
 
@@ -95,7 +95,12 @@ def ema(spark, sf_dir):
     return rounded(returns.ema(series.bars(spark, sf_dir).select("key", "idx", "close"), 10, "close").select("key", "idx", "ema"), 4)
 
 
-@register("macd_buys")
+@register(
+    "macd_buys",
+    f"""WITH RECURSIVE {BARS}, e AS (SELECT key, idx, close AS f, close AS s, CAST(0 AS DOUBLE) AS signal FROM bars WHERE idx = 0 UNION ALL
+    SELECT key, idx, f, s, (f - s) * 0.2 + signal * 0.8 FROM (SELECT b.key, b.idx, b.close * (2.0 / 13) + e.f * (1 - 2.0 / 13) AS f, b.close * (2.0 / 27) + e.s * (1 - 2.0 / 27) AS s, signal FROM e JOIN bars b ON b.key = e.key AND b.idx = e.idx + 1)),
+    m AS (SELECT *, lag(f - s - signal) OVER (PARTITION BY key ORDER BY idx) AS before FROM e) SELECT key, idx, {r6('f - s', 'macd', 4)}, {r6('signal', 'signal', 4)} FROM m WHERE before <= 0 AND f - s > signal""",
+)
 def macd_buys(spark, sf_dir):
     return rounded(returns.macd(series.bars(spark, sf_dir).select("key", "idx", "close"), price="close").where("buy").select("key", "idx", "macd", "signal"), 4)
 
@@ -187,7 +192,34 @@ def ulcer_index(spark, sf_dir):
     return rounded(returns.drawdown(series.px(spark, sf_dir)).groupBy("key").agg(stats.ulcer().alias("ulcer")))
 
 
-@register("probabilistic_sharpe")
+def _cdf26(x: str) -> str:
+    """The normal distribution function by the polynomial 26.2.17."""
+    t, tail = f"(1 / (1 + 0.2316419 * abs({x})))", "0.0"
+    for c in reversed(rows._P26):
+        tail = f"({t} * ({c!r} + {tail}))"
+    tail = f"(0.3989423 * exp(-({x}) * ({x}) / 2) * {tail})"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def _psr(benchmark: str) -> str:
+    """The probabilistic Sharpe ratio from columns sr, n, skew and kurt."""
+    return _cdf26(f"((sr - {benchmark}) * sqrt(n) / sqrt(greatest(1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) / (n - 1), 0)))")
+
+
+def chance_sharpe(trials: int, var_sharpes: float) -> float:
+    """The largest Sharpe ratio that so many trials give by chance."""
+    import math
+
+    root = math.sqrt(2 * math.log(trials))
+    return max(root - (0.5 * math.log(math.log(trials)) + 0.5772156649) / root, 0.0) * math.sqrt(var_sharpes)
+
+
+@register(
+    "probabilistic_sharpe",
+    f"""WITH {PANEL}, d AS (SELECT asset AS key, r, r - avg(r) OVER (PARTITION BY asset) AS d FROM panel),
+    g AS (SELECT key, avg(r) / stddev_samp(r) AS sr, count(*) AS n, avg(d * d * d) / pow(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / pow(avg(d * d), 2) - 3 AS kurt FROM d GROUP BY key)
+    SELECT key, {r6(_psr('0.0'), 'psr')}, {r6(_psr(repr(chance_sharpe(10, 0.01))), 'dsr')} FROM g""",
+)
 def probabilistic_sharpe(spark, sf_dir):
     g = keyed_panel(spark, sf_dir).groupBy("key").agg(stats.sharpe("r").alias("sr"), F.count("r").alias("n"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurt"))
     return rounded(g.select("key", rows.probabilistic_sharpe("sr", "n", "skew", "kurt").alias("psr"), rows.deflated_sharpe("sr", "n", "skew", "kurt", 10, 0.01).alias("dsr")))
@@ -301,12 +333,26 @@ def sma_backtest_equity(spark, sf_dir):
     return rounded(sma_equity(spark, sf_dir).select("key", "idx", "position", "equity"), 3)
 
 
-@register("sma_backtest_summary")
+_SUMMARY = """q AS (SELECT key, idx, position, cash + shares * close AS equity FROM e), r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, max(equity) OVER w AS peak FROM q WINDOW w AS (PARTITION BY key ORDER BY idx)),
+s AS (SELECT key, arg_max(equity * CASE WHEN position = 1 THEN 0.999 ELSE 1.0 END, idx) AS final, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(greatest(-r, 0.0), 2) END)) AS down, min((equity - peak) / peak) AS dd FROM r GROUP BY key)"""
+
+
+@register(
+    "sma_backtest_summary",
+    f"""WITH RECURSIVE {BARS}, {_SMA}, {_SUMMARY} SELECT key, {r6('final', 'final_capital', 5)}, {r6('final / 10000 - 1', 'total_return', 5)}, {r6('CASE WHEN coalesce(sd, 0) = 0 THEN 0.0 ELSE m / sd * sqrt(252) END', 'sharpe', 5)},
+    {r6('CASE WHEN coalesce(down, 0) = 0 THEN 0.0 ELSE m / down END', 'sortino', 5)}, {r6('coalesce(sd, 0) * sqrt(252)', 'volatility', 5)}, {r6('dd', 'max_drawdown', 5)} FROM s""",
+)
 def sma_backtest_summary(spark, sf_dir):
     return rounded(backtest.summary(sma_equity(spark, sf_dir)), 5)
 
 
-@register("sma_backtest_trades")
+@register(
+    "sma_backtest_trades",
+    f"""WITH RECURSIVE {BARS}, {_SMA}, q AS (SELECT *, lag(position, 1, 0) OVER (PARTITION BY key ORDER BY idx) AS b FROM e),
+    t AS (SELECT *, sum(CASE WHEN position = 1 AND b = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY idx) AS trade FROM q),
+    gt AS (SELECT key, CAST(trade AS BIGINT) AS trade, min(idx) AS entry, max(idx) AS exit, arg_min(close, idx) AS entry_price, arg_max(close, idx) AS exit_price FROM t WHERE position = 1 OR b = 1 GROUP BY 1, 2)
+    SELECT key, trade, entry, exit, {r6('entry_price', 'entry_price')}, {r6('exit_price', 'exit_price')}, {r6('exit_price / entry_price - 1', 'return_pct')} FROM gt""",
+)
 def sma_backtest_trades(spark, sf_dir):
     return rounded(backtest.trades(sma_equity(spark, sf_dir)))
 
@@ -317,26 +363,43 @@ def buy_and_hold(spark, sf_dir):
     return rounded(backtest.summary(e).select("key", "final_capital"), 3)
 
 
+def tb_sql(upper: float, lower: float, horizon: int, entry: str, px: str = PX) -> str:
+    """z (the last row of each key) and tb: the events of the barriers for the rows a that entry picks."""
+    out = f"(b.price / a.price - 1 >= {upper} OR b.price / a.price - 1 <= {lower})"
+    return f"""{px}, z AS (SELECT key, max(idx) AS m FROM px GROUP BY key),
+h AS (SELECT a.key, a.idx, min(b.idx) AS hit FROM px a JOIN z ON z.key = a.key JOIN px b ON a.key = b.key AND b.idx > a.idx AND b.idx <= a.idx + {horizon} AND {out} WHERE {entry} AND a.price > 0 GROUP BY 1, 2),
+ev AS (SELECT a.key, a.idx AS entry, coalesce(h.hit, least(a.idx + {horizon}, z.m)) AS exit, h.hit IS NULL AS late, a.price AS p0 FROM px a JOIN z ON a.key = z.key LEFT JOIN h ON h.key = a.key AND h.idx = a.idx WHERE {entry} AND a.price > 0),
+tb AS (SELECT ev.key, entry, exit, CASE WHEN late THEN 'Time' WHEN x.price / p0 - 1 >= {upper} THEN 'Upper' ELSE 'Lower' END AS label, x.price / p0 - 1 AS return_pct, exit - entry AS holding FROM ev JOIN px x ON x.key = ev.key AND x.idx = ev.exit)"""
+
+
 @register("momentum", f"WITH {PX}, m AS (SELECT key, idx, price / lag(price, 20) OVER (PARTITION BY key ORDER BY idx) - 1 AS m FROM px), n AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY m DESC, key) AS u, row_number() OVER (PARTITION BY idx ORDER BY m, key) AS l FROM m WHERE idx % 21 = 0 AND m IS NOT NULL) SELECT key, idx, {r6('m', 'momentum')}, CASE WHEN l <= 2 THEN -1 WHEN u <= 2 THEN 1 ELSE 0 END AS side FROM n")
 def momentum(spark, sf_dir):
     return rounded(backtest.momentum(series.px(spark, sf_dir)))
 
 
-@register("event_backtest")
+@register(
+    "event_backtest",
+    f"""WITH {tb_sql(0.3, -0.3, 10, 'a.idx % 5 = 0 AND a.idx < z.m')}, s AS (SELECT key, count(*) AS n_events, avg(return_pct) AS m, stddev_samp(return_pct) AS sd,
+      avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN return_pct > 0 THEN return_pct END) / nullif(avg(CASE WHEN return_pct < 0 THEN -return_pct END), 0) AS b FROM tb GROUP BY key),
+    k AS (SELECT *, greatest(0.0, least(1.0, 0.5 * coalesce(p - (1 - p) / b, 0.0))) AS size FROM s),
+    e AS (SELECT tb.key, entry, product(1 + size * return_pct) OVER (PARTITION BY tb.key ORDER BY entry) AS equity FROM tb JOIN k ON k.key = tb.key),
+    d AS (SELECT *, max(equity) OVER (PARTITION BY key ORDER BY entry) AS peak FROM e), dd AS (SELECT key, arg_max(equity, entry) - 1 AS total_return, least(min((equity - peak) / peak), 0.0) AS max_drawdown FROM d GROUP BY key),
+    f AS (SELECT tb.key, least(entry * 4 // (m + 1), 3) AS fold, CASE WHEN coalesce(stddev_samp(return_pct), 0) = 0 THEN 0.0 ELSE avg(return_pct) / stddev_samp(return_pct) END AS s FROM tb JOIN z ON z.key = tb.key GROUP BY 1, 2),
+    v AS (SELECT key, avg(s) AS s FROM f GROUP BY key)
+    SELECT k.key, n_events, {r6('size', 'size')}, {r6('CASE WHEN coalesce(sd, 0) = 0 THEN 0.0 ELSE m / sd END', 'sharpe')}, {r6('total_return', 'total_return')}, {r6('max_drawdown', 'max_drawdown')}, {r6('v.s', 'mean_fold_sharpe')}
+    FROM k JOIN dd ON dd.key = k.key JOIN v ON v.key = k.key""",
+)
 def event_backtest(spark, sf_dir):
     return rounded(backtest.event_backtest(series.px(spark, sf_dir), labels.TripleBarrier(0.3, -0.3, 10)))
 
 
 # --- labels ---------------------------------------------------------------------------------------------------------
 
-_TB = f"""{PX}, z AS (SELECT key, max(idx) AS m FROM px GROUP BY key),
-h AS (SELECT a.key, a.idx, min(b.idx) AS hit FROM px a JOIN px b ON a.key = b.key AND b.idx > a.idx AND b.idx <= a.idx + 10 AND (b.price / a.price - 1 >= 0.3 OR b.price / a.price - 1 <= -0.3) WHERE a.idx % 5 = 0 GROUP BY 1, 2),
-ev AS (SELECT a.key, a.idx AS entry, coalesce(h.hit, least(a.idx + 10, z.m)) AS exit, h.hit IS NULL AS late, a.price AS p0 FROM px a JOIN z ON a.key = z.key LEFT JOIN h ON h.key = a.key AND h.idx = a.idx WHERE a.idx % 5 = 0 AND a.price > 0),
-tb AS (SELECT ev.key, entry, exit, CASE WHEN late THEN 'Time' WHEN x.price / p0 - 1 >= 0.3 THEN 'Upper' ELSE 'Lower' END AS label, x.price / p0 - 1 AS return_pct, exit - entry AS holding FROM ev JOIN px x ON x.key = ev.key AND x.idx = ev.exit)"""
+_TB = tb_sql(0.3, -0.3, 10, "true")
 
 
 def events(spark, sf_dir):
-    return labels.triple_barrier(series.px(spark, sf_dir), labels.TripleBarrier(0.3, -0.3, 10), F.col("idx") % 5 == 0)
+    return labels.triple_barrier(series.px(spark, sf_dir), labels.TripleBarrier(0.3, -0.3, 10))
 
 
 @register("triple_barrier", f"WITH {_TB} SELECT key, entry, exit, label, {r6('return_pct', 'return_pct')}, holding FROM tb")
@@ -354,12 +417,26 @@ def fixed_horizon(spark, sf_dir):
     return rounded(labels.fixed_horizon(series.px(spark, sf_dir), 7, 0.1))
 
 
-@register("dynamic_barrier")
+@register(
+    "dynamic_barrier",
+    f"""WITH {PX}, z AS (SELECT key, max(idx) AS m FROM px GROUP BY key), lr AS (SELECT *, CASE WHEN idx > 0 THEN CASE WHEN price > 0 AND lag(price) OVER w > 0 THEN ln(price / lag(price) OVER w) ELSE 0.0 END END AS r FROM px WINDOW w AS (PARTITION BY key ORDER BY idx)),
+    v AS (SELECT key, idx, price, CASE count(r) OVER w WHEN 0 THEN 0.01 WHEN 1 THEN NULL ELSE stddev_samp(r) OVER w END AS v FROM lr WINDOW w AS (PARTITION BY key ORDER BY idx ROWS BETWEEN 18 PRECEDING AND CURRENT ROW)),
+    h AS (SELECT a.key, a.idx, min(b.idx) AS hit FROM v a JOIN px b ON a.key = b.key AND b.idx > a.idx AND b.idx <= a.idx + 10 AND (b.price / a.price - 1 >= v OR b.price / a.price - 1 <= -v) WHERE a.price > 0 GROUP BY 1, 2),
+    e AS (SELECT v.key, v.idx AS entry, coalesce(hit, least(v.idx + 10, m)) AS exit, hit IS NULL AS late, price AS p0, v FROM v JOIN z ON z.key = v.key LEFT JOIN h ON h.key = v.key AND h.idx = v.idx WHERE price > 0)
+    SELECT e.key, entry, exit, CASE WHEN late THEN 'Time' WHEN x.price / p0 - 1 >= v THEN 'Upper' ELSE 'Lower' END AS label, {r6('x.price / p0 - 1', 'return_pct')}, exit - entry AS holding FROM e JOIN px x ON x.key = e.key AND x.idx = e.exit""",
+)
 def dynamic_barrier(spark, sf_dir):
     return rounded(labels.dynamic_barrier(series.px(spark, sf_dir), 1.0, 20, 10))
 
 
-@register("trend_scanning")
+@register(
+    "trend_scanning",
+    f"""WITH {PX}, z AS (SELECT key, max(idx) AS m FROM px GROUP BY key), s AS (SELECT a.key, a.idx, a.price, CAST(h AS BIGINT) AS h, least(a.idx + h, m) AS stop FROM px a JOIN z ON z.key = a.key, range(3, 13) t(h) WHERE a.price > 0),
+    g AS (SELECT s.key, s.idx, s.price, h, stop, count(*) AS n, regr_sxx(b.price, b.idx) AS sxx, regr_syy(b.price - s.price, b.idx) AS syy, regr_sxy(b.price - s.price, b.idx) AS sxy FROM s JOIN px b ON b.key = s.key AND b.idx BETWEEN s.idx AND s.stop GROUP BY ALL),
+    t AS (SELECT *, CASE WHEN n < 3 OR syy - sxy * sxy / sxx <= 1e-9 * greatest(syy, 1e-300) THEN 0.0 ELSE sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) END AS t FROM g),
+    c AS (SELECT * EXCLUDE (b), b.stop AS exit, b.t AS t FROM (SELECT key, idx, price, max_by({{'stop': stop, 't': t}}, {{'a': round(abs(t), 9), 'h': -h}}) AS b FROM t GROUP BY 1, 2, 3))
+    SELECT c.key, c.idx AS entry, exit, CASE WHEN x.price / c.price - 1 >= 0 THEN 'Upper' ELSE 'Lower' END AS label, {r6('x.price / c.price - 1', 'return_pct', 4)}, exit - c.idx AS holding, {r6('t', 't_stat', 4)} FROM c JOIN px x ON x.key = c.key AND x.idx = c.exit""",
+)
 def trend_scanning(spark, sf_dir):
     return rounded(labels.trend_scanning(series.px(spark, sf_dir), 3, 12), 4)
 
@@ -382,19 +459,22 @@ def sample_weights(spark, sf_dir):
 
 @register(
     "purged_kfold",
-    f"""WITH {_TB}, f(fold, s, e) AS (VALUES (0, 0, 250), (1, 250, 500), (2, 500, 750), (3, 750, 1000)),
-    r AS (SELECT tb.key, fold, CASE WHEN entry >= s AND entry < e THEN 'test' WHEN entry < e AND exit > s THEN 'purged' WHEN entry >= e AND entry < e + 20 THEN 'embargoed' ELSE 'train' END AS role FROM tb, f)
+    f"""WITH {_TB}, f AS (SELECT key, fold, fold * ((m + 1) // 4) AS s, CASE WHEN fold = 3 THEN m + 1 ELSE (fold + 1) * ((m + 1) // 4) END AS e FROM z, (VALUES (0), (1), (2), (3)) v(fold)),
+    r AS (SELECT tb.key, fold, CASE WHEN entry >= s AND entry < e THEN 'test' WHEN entry < e AND exit > s THEN 'purged' WHEN entry >= e AND entry < e + 20 THEN 'embargoed' ELSE 'train' END AS role FROM tb JOIN f ON f.key = tb.key)
     SELECT key, fold, role, count(*) AS n FROM r GROUP BY 1, 2, 3""",
 )
 def purged_kfold(spark, sf_dir):
-    return labels.purged_kfold(events(spark, sf_dir), 1000, 4, 20).groupBy("key", "fold", "role").agg(F.count("*").alias("n"))
+    n = series.px(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"))
+    return labels.purged_kfold(events(spark, sf_dir), n, 4, 20).groupBy("key", "fold", "role").agg(F.count("*").alias("n"))
 
 
-@register("walk_forward", f"WITH {PX}, w AS (SELECT range AS split, range * 100 + 400 AS s, range * 100 + 500 AS e FROM range(6)) SELECT key, CAST(split AS INT) AS split, count(*) AS n, {r6('avg(price)', 'mean')} FROM px JOIN w ON idx >= s AND idx < e GROUP BY 1, 2")
+@register(
+    "walk_forward",
+    f"""WITH {PX}, n AS (SELECT key, count(*) AS n FROM px GROUP BY key), w AS (SELECT key, CAST(k AS INT) AS split, k * 100 + 400 AS s, k * 100 + 500 AS e FROM n, (SELECT unnest(range(1000000)) AS k) WHERE k * 100 + 500 <= n)
+    SELECT px.key, split, count(*) AS n, {r6('avg(price)', 'mean')} FROM px JOIN w ON w.key = px.key AND idx >= s AND idx < e GROUP BY 1, 2""",
+)
 def walk_forward(spark, sf_dir):
-    w = F.broadcast(labels.walk_forward(spark, 1000, 400, 100, 100))
-    d = series.px(spark, sf_dir).join(w, (F.col("idx") >= F.col("test_start")) & (F.col("idx") < F.col("test_end")))
-    return rounded(d.groupBy("key", "split").agg(F.count("*").alias("n"), F.avg("price").alias("mean")))
+    return rounded(labels.test_rows(series.px(spark, sf_dir), 400, 100, 100).groupBy("key", "split").agg(F.count("*").alias("n"), F.avg("price").alias("mean")))
 
 
 # --- options --------------------------------------------------------------------------------------------------------
@@ -512,24 +592,39 @@ def marginal_risk(spark, sf_dir):
     return rounded(portfolio.marginal_risk(p.select("asset").distinct().withColumn("weight", F.lit(0.2)), portfolio.covariance(p)), 9)
 
 
-@register("optimal_portfolios")
+_WEIGHTS = f"""{PANEL}, {sql_parts.wide()}, d AS (SELECT idx, key, a1 AS y, {', '.join(f'a1 - a{k} AS d{k}' for k in range(2, 6))} FROM wide), {sql_parts.least_squares('mv', 'd', 'y', ['d2', 'd3', 'd4', 'd5'])},
+x AS (SELECT idx, key, 1.0 AS y, {', '.join(f'a{k} + 0.01 AS e{k}' for k in range(1, 6))} FROM wide), {', '.join(sql_parts.partial_slope(f't{k}', 'x', 'y', [f'e{j}' for j in range(1, 6)], f'e{k}', constant=False) for k in range(1, 6))},
+w AS (SELECT 1 AS k, 1 - b_d2 - b_d3 - b_d4 - b_d5 AS v FROM mv {' '.join(f'UNION ALL SELECT {k}, b_d{k} FROM mv' for k in range(2, 6))}),
+t AS (SELECT k, b / sum(b) OVER () AS v FROM ({' UNION ALL '.join(f'SELECT {k} AS k, b FROM t{k}' for k in range(1, 6))})),
+am AS (SELECT k, asset, avg(r) AS m FROM named GROUP BY 1, 2), s AS (SELECT (avg(am.m) - sum(w.v * am.m)) / (sum(t.v * am.m) - sum(w.v * am.m)) AS s FROM w JOIN t ON t.k = w.k JOIN am ON am.k = w.k)"""
+
+
+@register(
+    "optimal_portfolios",
+    f"""WITH {_WEIGHTS} SELECT 'min_variance' AS portfolio, asset, {r6('v', 'weight')} FROM w JOIN am ON am.k = w.k UNION ALL SELECT 'tangency', asset, {r6('v', 'weight')} FROM t JOIN am ON am.k = t.k
+    UNION ALL SELECT 'frontier', asset, {r6('w.v + s * (t.v - w.v)', 'weight')} FROM w JOIN t ON t.k = w.k JOIN am ON am.k = w.k, s""",
+)
 def optimal_portfolios(spark, sf_dir):
+    """Weights of least variance and of the tangency are regression coefficients, and any frontier portfolio is a mix of two: so the SQL needs no inverse."""
     u = portfolio.Universe.of(series.panel(spark, sf_dir))
     out = {"min_variance": portfolio.min_variance(u.cov), "tangency": portfolio.tangency(u.mean, u.cov, -0.01), "frontier": portfolio.frontier_point(u.mean, u.cov, float(u.mean.mean()))}
     return rounded(spark.createDataFrame([(n, a, float(x)) for n, w in out.items() for a, x in zip(u.assets, w, strict=True)], "portfolio string, asset string, weight double"))
 
 
-@register("pca_scores")
+_PCA = f"{PANEL}, {sql_parts.wide()}, {sql_parts.components(3)}, centred AS (SELECT idx, asset, k, avg(r) OVER (PARTITION BY asset) AS m, r - avg(r) OVER (PARTITION BY asset) AS x FROM named), scored AS (SELECT idx, c, sum(x * v) AS score FROM centred JOIN vec ON vec.k = centred.k GROUP BY 1, 2)"
+
+
+@register("pca_scores", f"WITH RECURSIVE {_PCA} SELECT idx, CAST(c AS INT) AS component, {r6('score', 'score')} FROM scored")
 def pca_scores(spark, sf_dir):
     p = series.panel(spark, sf_dir)
     return rounded(portfolio.Pca.fit(p, 3).transform(p))
 
 
-@register("pca_reconstruction", f"WITH {PANEL} SELECT idx, asset, {r6('r', 'r')} FROM panel")
+@register("pca_reconstruction", f"WITH RECURSIVE {_PCA} SELECT scored.idx, asset, {r6('max(m) + sum(score * v)', 'r')} FROM scored JOIN vec ON vec.c = scored.c JOIN centred ON centred.idx = scored.idx AND centred.k = vec.k GROUP BY 1, 2")
 def pca_reconstruction(spark, sf_dir):
-    """All components give the returns back."""
+    """What three of five components tell of the returns."""
     p = series.panel(spark, sf_dir)
-    fit = portfolio.Pca.fit(p, 5)
+    fit = portfolio.Pca.fit(p, 3)
     return rounded(fit.reconstruct(fit.transform(p)))
 
 
@@ -539,14 +634,27 @@ def ols_market(spark, sf_dir):
     return rounded(fit.select("key", "n", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope"), "r_squared"))
 
 
-@register("three_factors")
+_FACTORS = f"{_MARKET}, f AS (SELECT asset AS key, idx, r, m, sin(idx) / 100 AS f2, cos(idx * 2) / 100 AS f3 FROM b)"
+
+
+@register(
+    "three_factors",
+    f"""WITH {_FACTORS}, {sql_parts.least_squares('q', 'f', 'r', ['m', 'f2', 'f3'])} SELECT key, {r6('a', 'alpha')}, {r6('b_m', 'market')}, {r6('b_f2', 'size')}, {r6('b_f3', 'value')}, {r6('sse / greatest(n - 4, 1)', 'residual_variance')}, {r6('1 - sse / sst', 'r_squared')} FROM q""",
+)
 def three_factors(spark, sf_dir):
     d = with_market(spark, sf_dir).withColumn("f2", F.sin(F.col("idx").cast("double")) / 100).withColumn("f3", F.cos(F.col("idx").cast("double") * 2) / 100)
     fit = models.ols(d, "r", ["m", "f2", "f3"])
     return rounded(fit.select("key", *[F.col("coefficients")[k].alias(n) for k, n in enumerate(("alpha", "market", "size", "value"))], (F.col("sse") / F.greatest(F.col("n") - 4, F.lit(1))).alias("residual_variance"), "r_squared"))
 
 
-@register("adf_test")
+_CHANGED = "d AS (SELECT key, idx, lag(price) OVER (PARTITION BY key ORDER BY idx) AS l, price - lag(price) OVER (PARTITION BY key ORDER BY idx) AS d FROM px)"
+
+
+@register(
+    "adf_test",
+    f"""WITH {PX}, {_CHANGED}, e AS (SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY key ORDER BY idx)), {sql_parts.partial_slope('q', 'e', 'd', ['l', 'd1', 'd2'], 'l')},
+    t AS (SELECT key, n, b / sqrt(sse / (n - 4) / tt) AS t FROM q) SELECT key, n, {r6('t', 'statistic', 5)}, t < -2.86 AS stationary, CAST(NULL AS VARCHAR) AS status FROM t""",
+)
 def adf_test(spark, sf_dir):
     return rounded(models.adf(series.px(spark, sf_dir), 2), 5)
 
@@ -556,7 +664,12 @@ def min_frac_diff(spark, sf_dir):
     return rounded(models.find_min_d(series.bars(spark, sf_dir).select("key", "idx", F.col("close").alias("price"))))
 
 
-@register("cusum_breaks")
+@register(
+    "cusum_breaks",
+    f"""WITH RECURSIVE {PX}, d AS (SELECT key, idx, price - avg(price) OVER (PARTITION BY key) AS x FROM px), c AS (SELECT key, idx, greatest(x - 5, 0.0) AS up, greatest(-x - 5, 0.0) AS down FROM d WHERE idx = 0
+    UNION ALL SELECT d.key, d.idx, greatest(CASE WHEN up > 500 OR down > 500 THEN 0.0 ELSE up END + x - 5, 0.0), greatest(CASE WHEN up > 500 OR down > 500 THEN 0.0 ELSE down END - x - 5, 0.0) FROM c JOIN d ON d.key = c.key AND d.idx = c.idx + 1)
+    SELECT key, idx, CASE WHEN up > 500 THEN 'up' ELSE 'down' END AS direction, CAST(0.95 AS DOUBLE) AS confidence FROM c WHERE up > 500 OR down > 500""",
+)
 def cusum_breaks(spark, sf_dir):
     d = series.px(spark, sf_dir)
     m = d.groupBy("key").agg(F.avg("price").alias("m"))
@@ -578,11 +691,14 @@ def garch_fit(spark, sf_dir):
     return models.garch(keyed_panel(spark, sf_dir)).select("key", "omega", "persistence", "log_likelihood", "status")
 
 
-@register("monte_carlo_call")
+_TERMINAL = f"{sql_parts.normals([7], 20_000)}, p AS (SELECT i, 100 * exp((0.05 - 0.2 * 0.2 / 2) * 1.0 + 0.2 * sqrt(1.0) * z) AS v FROM z)"
+
+
+@register("monte_carlo_call", f"WITH RECURSIVE {_TERMINAL}, g AS (SELECT greatest(v - 100, 0.0) * exp(-0.05) AS g FROM p) SELECT {r6('avg(g)', 'price')}, {r6('stddev_samp(g) / sqrt(count(*))', 'std_error')}, count(*) AS n FROM g")
 def monte_carlo_call(spark, sf_dir):
     return rounded(simulation.mc_price(spark, 100.0, 100.0, 0.05, 0.2, 1.0, 20_000, 7))
 
 
-@register("gbm_paths")
+@register("gbm_paths", f"WITH RECURSIVE {sql_parts.gbm(42, 100.0, 0.05, 0.2, 1.0, 12, 500)} SELECT path_id, step, {r6('value', 'value')} FROM g")
 def gbm_paths(spark, sf_dir):
-    return rounded(simulation.gbm_paths(spark, 100.0, 0.05, 0.2, 1.0, 12, 500, 42), 8)
+    return rounded(simulation.gbm_paths(spark, 100.0, 0.05, 0.2, 1.0, 12, 500, 42))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog import register
 from tidemark.operators import labels, models, returns, simulation, stats, strategies
 from tidemark.operators.returns import by
-from tidemark.plans import series
-from tidemark.plans.queries import _MARKET, keyed_panel, r6, rounded, with_market
+from tidemark.plans import series, sql_parts
+from tidemark.plans.queries import _CHANGED, _MARKET, _TERMINAL, _cdf, keyed_panel, r6, rounded, tb_sql, with_market
 from tidemark.plans.series import BARS, PANEL, PX, table
 
 
@@ -84,7 +84,19 @@ def pairs_trading(spark, sf_dir):
     return rounded(rounded(strategies.pairs_summary(strategies.pairs(spread(spark, sf_dir), 30, 1.5, 0.5))).select("key", "n_trades", "hit_rate", F.round("total_pnl", 4).alias("total_pnl"), F.round("sharpe", 4).alias("sharpe")))
 
 
-@register("meta_labels")
+_LOG_BARS = f"{BARS}, px AS (SELECT key, idx, ln(close) AS price FROM bars)"
+
+
+@register(
+    "meta_labels",
+    f"""WITH RECURSIVE {tb_sql(0.01, -0.01, 10, 'a.idx >= 20 AND a.idx <= z.m - 20', _LOG_BARS)},
+    lr AS (SELECT *, ln(price / lag(price) OVER w) AS r, avg(price) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f, avg(price) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS s, price - lag(price, 10) OVER w AS x1 FROM px WINDOW w AS (PARTITION BY key ORDER BY idx)),
+    x AS (SELECT lr.key, idx, coalesce(x1, 0.0) AS x1, coalesce(x2, 0.0) AS x2, CASE label WHEN 'Upper' THEN 1 WHEN 'Lower' THEN 0 ELSE CASE WHEN return_pct >= 0 THEN 1 ELSE 0 END END AS y
+      FROM (SELECT *, stddev_pop(r) OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS x2 FROM lr) lr JOIN tb ON tb.key = lr.key AND tb.entry = lr.idx WHERE f > s),
+    w(t, key, b0, b1, b2) AS (SELECT DISTINCT 0, key, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM x
+      UNION ALL SELECT t + 1, key, max(b0) - 0.5 * avg(p - y), max(b1) - 0.5 * avg((p - y) * x1), max(b2) - 0.5 * avg((p - y) * x2) FROM (SELECT t, w.key, b0, b1, b2, x1, x2, y, 1 / (1 + exp(-(2 * b0 + b1 * x1 + b2 * x2))) AS p FROM w JOIN x ON x.key = w.key WHERE t < 200) GROUP BY t, key)
+    SELECT x.key, idx, y AS label, {r6('1 / (1 + exp(-(2 * b0 + b1 * x1 + b2 * x2)))', 'probability', 5)}, 1 / (1 + exp(-(2 * b0 + b1 * x1 + b2 * x2))) > 0.5 AS kept FROM x JOIN w ON w.key = x.key AND t = 200""",
+)
 def meta_labels(spark, sf_dir):
     d = series.bars(spark, sf_dir).select("key", "idx", F.ln("close").alias("price"))
     return rounded(strategies.meta_labels(d, labels.TripleBarrier(0.01, -0.01, 10)), 5)
@@ -102,7 +114,14 @@ def scaled_kelly(spark, sf_dir):
     return rounded(d.select("key", "idx", "share", F.round("wealth", 4).alias("wealth")))
 
 
-@register("delta_hedge")
+@register(
+    "delta_hedge",
+    f"""WITH RECURSIVE {sql_parts.gbm(21, 100.0, 0.05, 0.2, 0.25, 63, 50)}, p AS (SELECT CAST(path_id AS VARCHAR) AS key, step AS idx, value AS s, (63 - step) / 252 AS t FROM g),
+    d AS (SELECT *, (ln(s / 100) + (0.05 + 0.2 * 0.2 / 2) * t) / (0.2 * sqrt(greatest(t, 1e-9))) AS d1 FROM p), v AS (SELECT *, CASE WHEN t > 1e-9 THEN {_cdf('d1')} WHEN s > 100 THEN 1.0 ELSE 0.0 END AS delta,
+    CASE WHEN t > 1e-9 THEN s * {_cdf('d1')} - 100 * exp(-0.05 * t) * {_cdf('(d1 - 0.2 * sqrt(t))')} ELSE greatest(s - 100, 0.0) END AS v FROM d),
+    c AS (SELECT *, (delta - lag(delta, 1, 0.0) OVER (PARTITION BY key ORDER BY idx)) * s AS c FROM v), w AS (SELECT *, sum(c) OVER (PARTITION BY key ORDER BY idx) AS cost, first_value(v) OVER (PARTITION BY key ORDER BY idx) AS v0 FROM c)
+    SELECT key, idx, {r6('delta', 'delta')}, {r6('cost', 'cost')}, {r6('v0 - v + delta * s - cost', 'pnl')} FROM w""",
+)
 def delta_hedge(spark, sf_dir):
     paths = simulation.gbm_paths(spark, 100.0, 0.05, 0.2, 0.25, 63, 50, 21)
     d = paths.select(F.col("path_id").cast("string").alias("key"), F.col("step").alias("idx"), F.col("value").alias("price"))
@@ -128,7 +147,15 @@ def pacf(spark, sf_dir):
     return rounded(models.pacf(series.px(spark, sf_dir), 2))
 
 
-@register("adf_by_aic")
+_BY_LAGS = ", ".join(sql_parts.partial_slope(f"q{k}", "e", "d", ["l", *(f"d{j}" for j in range(1, k + 1))], "l") for k in range(6))
+_AICS = " UNION ALL ".join(f"SELECT q{k}.key, {k} AS lags, m * ln(sse / q{k}.n) + 2.0 * ({k} + 2) AS aic, b / sqrt(sse / (q{k}.n - {k + 2}) / tt) AS t FROM q{k} JOIN n ON n.key = q{k}.key" for k in range(6))
+
+
+@register(
+    "adf_by_aic",
+    f"""WITH {PX}, {_CHANGED}, n AS (SELECT key, count(*) AS m FROM px GROUP BY key), e AS (SELECT *, {', '.join(f'lag(d, {k}) OVER w AS d{k}' for k in range(1, 6))} FROM d WINDOW w AS (PARTITION BY key ORDER BY idx)), {_BY_LAGS},
+    a AS ({_AICS}), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY aic, lags) AS k FROM a) SELECT key, lags, {r6('aic', 'aic', 5)}, {r6('t', 'statistic', 5)}, t < -2.86 AS stationary FROM r WHERE k = 1""",
+)
 def adf_by_aic(spark, sf_dir):
     return rounded(models.adf_by_aic(series.px(spark, sf_dir), 5), 5)
 
@@ -162,14 +189,22 @@ def rolling_sharpe(spark, sf_dir):
     return rounded(returns.rolling_sharpe(r.select("key", "idx", "r")).select("key", "idx", "sharpe"), 5)
 
 
-@register("smile_fit")
+@register(
+    "smile_fit",
+    f"""WITH s AS (SELECT p_brand AS key, 0.2 + p_size / 1000 AS iv, ln(p_retailprice / 1400) AS m, ln(p_retailprice / 1400) * ln(p_retailprice / 1400) AS m2 FROM part), {sql_parts.least_squares('q', 's', 'iv', ['m', 'm2'])}
+    SELECT key, n, {r6('a', 'level')}, {r6('b_m', 'skew')}, {r6('b_m2', 'curvature')}, CAST(NULL AS VARCHAR) AS status FROM q""",
+)
 def smile_fit(spark, sf_dir):
     d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_retailprice").alias("k"), (0.2 + F.col("p_size") / 1000).alias("iv"))
     fit = strategies.smile(d, 1400.0)
     return rounded(fit.select("key", "n", *[F.get("coefficients", F.lit(k)).alias(n) for k, n in enumerate(("level", "skew", "curvature"))], "status"))
 
 
-@register("control_variate_call")
+@register(
+    "control_variate_call",
+    f"""WITH RECURSIVE {_TERMINAL}, g AS (SELECT avg(greatest(v - 100, 0.0)) AS p, avg(v) AS s, covar_pop(greatest(v - 100, 0.0), v) AS c, var_pop(v) AS v, var_pop(greatest(v - 100, 0.0)) AS w, count(*) AS n FROM p)
+    SELECT {r6('exp(-0.05) * (p - c / v * (s - 100 * exp(0.05)))', 'price')}, {r6('exp(-0.05) * sqrt(greatest(w - c * c / v, 0.0) / n)', 'std_error')}, n FROM g""",
+)
 def control_variate_call(spark, sf_dir):
     return rounded(simulation.mc_call_control(spark, 100.0, 100.0, 0.05, 0.2, 1.0, 20_000, 7))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.microstructure import REPLAYED, Book, execute
+
 
 def tumbling_bars(stream: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """key, begin, open, high, low, close, volume of each window, once the watermark has passed it."""
@@ -26,14 +29,27 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("key", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n", "total")
 
 
+def order_book(stream: DataFrame, tick: int = 1) -> DataFrame:
+    """microstructure.replay of a stream of commands: each key's book is kept between batches; commands of a batch run in order of seq."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        book = pickle.loads(held.get[0]) if held.exists else Book(tick)
+        out = execute(book, key[0], pd.concat(list(batches)))
+        held.update((pickle.dumps(book),))
+        yield out
+
+    return stream.groupBy("key").applyInPandasWithState(run, REPLAYED, "book binary", "append", "NoTimeout")
+
+
 def _folded(stream: DataFrame, start: tuple, step, out: str, state: str) -> DataFrame:
-    """Folds each key's rows in order of time within a batch: step(state, x) gives the next state and an output or None."""
+    """Folds each key's rows in order of time (then seq, where there is one) within a batch: step(state, x) gives the next state and an output or None."""
+    order = ["ts", "seq" if "seq" in stream.columns else "value"]
     names = [c.split()[0] for c in out.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else start
         rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "value"]).itertuples(index=False):
+        for r in pd.concat(list(batches)).sort_values(order).itertuples(index=False):
             now, value = step(now, float(r.value))
             if value is not None:
                 rows.append((key[0], r.ts, *value))
