@@ -417,6 +417,58 @@ def test_language_mixtures_and_odd_texts(spark):
     assert language.identify(docs(spark, ["text"]), language.fit(d.limit(0))).first().lang_pred == "und"
 
 
+def plain_mixture(table, k, data):
+    """Windows' likelihoods, expectation-maximisation and the penalised choice of languages, number by number."""
+    symbol = [c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 0 for c in data]
+    windows = []
+    for at in range(0, len(data), language.WINDOW):
+        sums = [0.0] * k
+        for i in range(at, min(at + language.WINDOW, len(data))):
+            run = symbol[i] + (64 * symbol[i - 1] if i > 0 else 0) + (4096 * symbol[i - 2] if i > 1 else 0)
+            for q in range(k):
+                sums[q] += float(table[run, q])
+        windows.append(sums)
+    alive, best = list(range(k)), None
+    while alive:
+        p = {q: 1 / len(alive) for q in alive}
+        for _ in range(12):
+            new = dict.fromkeys(alive, 0.0)
+            for w in windows:
+                top = max(w)
+                mass = {q: p[q] * math.exp(max(w[q] - top, -60)) for q in alive}
+                for q in alive:
+                    new[q] += mass[q] / max(sum(mass.values()), 1e-37) / len(windows)
+            p = new if len(alive) > 1 else p
+        total = sum(max(w) + math.log(max(sum(p[q] * math.exp(max(w[q] - max(w), -60)) for q in alive), 1e-37)) for w in windows)
+        score = total - 2.0 * (len(alive) - 1) * math.log(len(windows) + 1)
+        if best is None or score > best[0]:
+            best = score, p
+        alive.remove(min(alive, key=lambda q: p[q]))
+    lead = max(best[1], key=lambda q: best[1][q])
+    return lead, best[1][lead]
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    rng = random.Random(18)
+    alphabets = ("abcdefgh ", "efghijkl ", "abijmnop ")
+    talk = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
+    counts = {f"l{k}": np.bincount(language._trigrams(*common.utf8(pa.array([talk(k, 20_000)]))), minlength=64**3) for k in range(3)}
+    made = language.Languages.fit(counts)
+    texts = [talk(0, 300), talk(0, 500) + talk(1, 400), talk(2, 40), "".join(talk(k, 200) for k in (0, 1, 2)), "", talk(1, 49)] * 2
+    lead, share = made.predict(*common.utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        want = plain_mixture(made.table, 3, t.encode()) if t else (-1, 0.0)
+        assert lead[i] == want[0] and abs(share[i] - want[1]) < 1e-3, i
+
+
+def test_language_of_no_and_repeated_rows(spark):
+    d = common.read(spark, DATA, "documents")
+    model = language.fit(d)
+    assert language.identify(d.limit(0), model).count() == 0
+    one = d.where("length(text) > 500").orderBy("doc_id").limit(1)
+    assert language.identify(one.unionByName(one), model).select("lang_pred", "score").distinct().count() == 1
+
+
 # --- 7 fingerprints -------------------------------------------------------------------------------------------------
 
 
@@ -607,7 +659,8 @@ def test_toxicity_on_held_out_labels(spark):
     odd = toxicity.score(docs(spark, ODD, score="clash"), model).collect()
     assert all(r.predicted == 0 and 0 <= r.score <= 1 for r in odd)
     alone = toxicity.score(d, toxicity.fit(d, labels.limit(0))).collect()  # the lexicon alone: it has three of the four words, and no plural of two
-    assert all(r.predicted == int(bool(re.search(r"(?i)\b(morons?|scum|trash)\b", r.text))) for r in alone)
+    hit = [int(bool(re.search(r"(?i)\b(morons?|scum|trash)\b", r.text))) for r in alone]
+    assert all(r.predicted <= h for r, h in zip(alone, hit)) and sum(r.predicted for r in alone) > 0.6 * sum(hit) > 100
     assert toxicity.fit(d.limit(0), labels.limit(0)).bias < 0 and toxicity.score(d.limit(0), model).count() == 0
     twice = toxicity.score(d.limit(1).unionByName(d.limit(1)), model).select("score").distinct()
     assert twice.count() == 1

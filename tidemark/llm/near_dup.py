@@ -182,23 +182,24 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _held_together(members: DataFrame) -> DataFrame:
-    """Pairs (x, y) of nodes that hold buckets together; members has band, node and n, the bucket's size.
+def _held_together(members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (x, y) of nodes that hold buckets together, and the tables that they are read from; members has band, node and n, the bucket's size.
 
     Every member meets the first and the last node of its share; the first and last nodes of a bucket's shares are the members of the
     next round, until a bucket is one share.
     """
-    out = None
+    out, tables = None, []
     while True:
         shared = members.withColumn("shares", F.when(F.col("n") <= FAN, F.lit(1)).otherwise(F.ceil(F.col("n") * 4 / F.lit(FAN))).cast("long"))
         shared = shared.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
         ends = common.written(shared.groupBy("band", "shares", "share").agg(F.min("node").alias("low"), F.max("node").alias("high")))
+        tables.append(ends)
         met = shared.join(ends.where("low <> high"), ["band", "shares", "share"])
         pairs = met.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
         out = pairs if out is None else out.unionByName(pairs)
         members = ends.where("shares > 1").select("band", (2 * F.col("shares")).alias("n"), F.explode(F.array_distinct(F.array("low", "high"))).alias("node"))
         if members.isEmpty():
-            return out
+            return out, tables
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,9 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = common.written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = common.written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        done = (e, least, large, low)
         e = common.written(small.where("u <> v").distinct())
+        common.discard(*done)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -249,7 +252,8 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
         b = held.select(F.col("node").alias("b"), F.col("copy").alias("copy_b"), F.col("sketch").alias("sketch_b"))
         return pairs.join(a, "a").join(b, "b").where(_close("sketch_a", "sketch_b", percent)).select("a", "b", "copy_a", "copy_b")
 
-    first = _held_together(members).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    together, done = _held_together(members)
+    first = together.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     first = common.written(sifted(first.distinct()))
     edges = common.written(_linked(first, texts, percent))
     roots = common.written(components(edges))
@@ -277,6 +281,7 @@ def _link(docs: DataFrame, percent: int) -> DataFrame:
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = common.written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     known = common.written(rooted.select("node", "root").join(least, "root").select("node", "component_id"))
+    common.discard(*done, nodes, buckets, members, first, open_buckets, open_members, rest, least)
     out = signed.select("doc_id", "copy", "n_shingles", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "copy", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
