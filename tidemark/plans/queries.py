@@ -386,11 +386,13 @@ def momentum(spark, sf_dir):
     d AS (SELECT *, max(equity) OVER (PARTITION BY key ORDER BY entry) AS peak FROM e), dd AS (SELECT key, arg_max(equity, entry) - 1 AS total_return, least(min((equity - peak) / peak), 0.0) AS max_drawdown FROM d GROUP BY key),
     f AS (SELECT tb.key, least(entry * 4 // (m + 1), 3) AS fold, CASE WHEN coalesce(stddev_samp(return_pct), 0) = 0 THEN 0.0 ELSE avg(return_pct) / stddev_samp(return_pct) END AS s FROM tb JOIN z ON z.key = tb.key GROUP BY 1, 2),
     v AS (SELECT key, avg(s) AS s FROM f GROUP BY key)
-    SELECT k.key, n_events, {r6('size', 'size')}, {r6('CASE WHEN coalesce(sd, 0) = 0 THEN 0.0 ELSE m / sd END', 'sharpe')}, {r6('total_return', 'total_return')}, {r6('max_drawdown', 'max_drawdown')}, {r6('v.s', 'mean_fold_sharpe')}
+    SELECT k.key, n_events, {r6('size', 'size')}, {r6('CASE WHEN coalesce(sd, 0) = 0 THEN 0.0 ELSE m / sd END', 'sharpe')}, {r6('ln(1 + total_return)', 'log_growth')}, {r6('max_drawdown', 'max_drawdown')}, {r6('v.s', 'mean_fold_sharpe')}
     FROM k JOIN dd ON dd.key = k.key JOIN v ON v.key = k.key""",
 )
 def event_backtest(spark, sf_dir):
-    return rounded(backtest.event_backtest(series.px(spark, sf_dir), labels.TripleBarrier(0.3, -0.3, 10)))
+    """The growth is given as a logarithm: these prices jump by factors."""
+    d = backtest.event_backtest(series.px(spark, sf_dir), labels.TripleBarrier(0.3, -0.3, 10))
+    return rounded(d.withColumn("total_return", F.log1p("total_return")).withColumnRenamed("total_return", "log_growth"))
 
 
 # --- labels ---------------------------------------------------------------------------------------------------------
