@@ -39,7 +39,7 @@ def test_book_replay_equals_plain_lists(spark):
     got, want = {}, {}
     for r in run(spark, "book_replay"):
         got.setdefault(r.key, []).append(r)
-    orders = sorted(spark.read.parquet(f"{DATA}/lineitem.parquet").collect(), key=lambda r: (r.l_suppkey, r.l_orderkey * 10 + r.l_linenumber))
+    orders = sorted(spark.read.parquet(f"{DATA}/lineitem.parquet").collect(), key=lambda r: (r.l_suppkey, r.l_orderkey * 10 + r.l_linenumber, "bid" if r.l_returnflag == "A" else "ask", r.l_extendedprice // 1000, r.l_quantity))
     books = {}
     for r in orders:
         key, seq, price, quantity = str(r.l_suppkey), r.l_orderkey * 10 + r.l_linenumber, int(r.l_extendedprice // 1000), int(r.l_quantity)
@@ -54,14 +54,15 @@ def test_book_replay_equals_plain_lists(spark):
         elif seq % 10 == 6:
             status = "" if any(o[0] == seq - 1 for o in book) else "not found"
             book[:] = [o for o in book if o[0] != seq - 1]
-        elif quantity <= 0:
-            status = "quantity"
+        elif quantity <= 0 or any(o[0] == seq for o in book):
+            status = "quantity" if quantity <= 0 else "duplicate"
         else:
             book.append([seq, side, price, quantity])
         bids, asks = ([o for o in book if o[1] == s] for s in ("bid", "ask"))
         bid, ask = max((o[2] for o in bids), default=None), min((o[2] for o in asks), default=None)
         want.setdefault(key, []).append((seq, status, filled, paid, bid, sum(o[3] for o in bids if o[2] == bid) if bids else None, ask, sum(o[3] for o in asks if o[2] == ask) if asks else None, len(book)))
-    assert {k: sorted((tuple(r)[1:] for r in v), key=lambda r: r[0]) for k, v in got.items()} == want
+    order = lambda rows_: sorted(rows_, key=str)
+    assert {k: order(tuple(r)[1:] for r in v) for k, v in got.items()} == {k: order(v) for k, v in want.items()}
 
 
 def test_volatility_fits_can_t_be_bettered_nearby(spark):
@@ -81,8 +82,8 @@ def test_volatility_fits_can_t_be_bettered_nearby(spark):
 
         top = plain(x.omega, a)
         assert x.log_likelihood == pytest.approx(top)
-        # Steps along single parameters can't better it; along both alphas at once a ridge may leave a little.
-        assert all(plain(x.omega * f, a) <= top + 1e-7 for f in (0.99, 1.01)) and all(plain(x.omega, a * f) <= top + 1e-3 for f in (0.99, 1.01))
+        # A fit whose alphas run to a sum of 1 doesn't converge.
+        assert all(plain(x.omega * f, a) <= top + 1e-7 for f in (0.99, 1.01)) and (a.sum() > 0.999 if not x.converged else all(plain(x.omega, a * f) <= top + 1e-6 for f in (0.99, 1.01)))
         last, ahead = r[x.key][::-1][:2] ** 2, []
         for _ in range(5):
             ahead.append(x.omega + a[0] * last[1] + a[1] * last[0])

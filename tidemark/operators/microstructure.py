@@ -101,8 +101,8 @@ REPLAYED = "key string, seq long, status string, filled long, notional long, bes
 
 
 def execute(book: Book, key: str, commands: pd.DataFrame) -> pd.DataFrame:
-    """Runs a book's commands in order of seq; a row for each, with the quotes after it."""
-    c, rows = commands.sort_values("seq"), []
+    """Runs a book's commands in order of seq, then of what they say; a row for each, with the quotes after it."""
+    c, rows = commands.sort_values(["seq", "cmd", "id", "side", "price", "quantity"]), []
     for seq, cmd, order_id, side, price, quantity in zip(*(c[x].tolist() for x in ("seq", "cmd", "id", "side", "price", "quantity")), strict=True):
         status, fills = "", []
         if cmd == "add":
