@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import options, rows
-from tidemark.operators import joins, labels, models, optimize, portfolio, returns, scoring, simulation, stats, strategies
+from tidemark.operators import interfaces, joins, labels, models, optimize, portfolio, returns, scoring, simulation, stats, strategies
 from tidemark.plans import series
 from tidemark.streaming import stateful
 
@@ -327,6 +327,25 @@ def test_counted_volatility_equals_a_loop(spark):
         assert r.y.clipped or r.y.iv == pytest.approx(r.sigma, abs=2e-3)
 
 
+def test_interfaces(spark):
+    d = spark.createDataFrame([("a", i, 0.1 + 2.0 * m - s + 0.5 * v + (i % 2) * 1e-3, m, s, v) for i, (m, s, v) in enumerate(np.random.default_rng(3).normal(size=(30, 3)).tolist())], "key string, idx long, r double, market double, size double, value double")
+    model = interfaces.FactorRegression()
+    with pytest.raises(ValueError):
+        model.exposures()
+    e = model.fit(d).exposures().first()
+    assert (e.market, e["size"], e.value) == (pytest.approx(2, abs=1e-3), pytest.approx(-1, abs=1e-3), pytest.approx(0.5, abs=1e-3))
+    for r in model.decompose(d).collect():
+        assert r.systematic + r.idiosyncratic == pytest.approx(r.r) and abs(r.idiosyncratic) < 2e-3
+    assert model.fit(d.limit(4)).exposures().first().market is None and model.fitted.first().status == "too few rows"
+    got = spark.range(1).select(interfaces.SqrtImpact(0.02).impact(F.lit(400.0), F.lit(10_000.0)), interfaces.LinearImpact(0.1).impact(F.lit(-400.0), F.lit(10_000.0))).first()
+    assert tuple(got) == (pytest.approx(0.004), pytest.approx(-0.004))
+    for p in (interfaces.Gbm(0.05, 0.2), interfaces.Poisson(3.0), interfaces.JumpDiffusion(0.05, 0.2, 3.0, -0.1)):
+        assert p.simulate(spark, 100.0, 1.0, 4, 3, 7).count() == 15 and p.terminal(spark, 100.0, 1.0, 3, 7).count() == 3
+    cov = spark.createDataFrame([("a", "a", 4.0), ("a", "b", 1.0), ("b", "a", 1.0), ("b", "b", 9.0)], "i string, j string, cov double")
+    assert portfolio.quadratic_form(spark.createDataFrame([("a", 0.5), ("b", 0.5)], "asset string, weight double"), cov).first().value == pytest.approx(3.75)
+    assert np.allclose(portfolio.inverse(np.array([[4.0, 1.0], [1.0, 9.0]])) @ np.array([[4.0, 1.0], [1.0, 9.0]]), np.eye(2))
+
+
 def test_rows_of_positions_and_sides(spark):
     d = spark.createDataFrame([(1, "bid"), (0, "ask"), (-1, None)], "position int, side string")
     got = d.select(rows.is_exposed(), rows.is_flat(), rows.opposite(), rows.side_name(), rows.predict(F.array(F.lit(1.0)), [2.0], -1.0)).collect()

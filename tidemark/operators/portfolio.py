@@ -90,6 +90,17 @@ def describe(w: np.ndarray, mean: np.ndarray, cov: np.ndarray, risk_free: float
     return {"mean": m, "variance": v, "volatility": v**0.5, "sharpe": (m - risk_free) / v**0.5 if v > 0 else 0.0}
 
 
+def inverse(a: np.ndarray) -> np.ndarray:
+    """By elimination, with its limit of singularity."""
+    return solve(a, np.eye(len(a)))
+
+
+def quadratic_form(weights: DataFrame, cov: DataFrame) -> DataFrame:
+    """One row, value: weights (asset, weight) on both sides of a covariance (i, j, cov), as joins."""
+    w = lambda c: weights.select(F.col("asset").alias(c), F.col("weight").alias(f"_{c}"))
+    return cov.join(w("i"), "i").join(w("j"), "j").agg(F.coalesce(F.sum(F.col("_i") * F.col("cov") * F.col("_j")), F.lit(0.0)).alias("value"))
+
+
 def marginal_risk(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """i, marginal: covariance times weights, as a join (weights: asset, weight)."""
     return cov.join(weights.select(F.col("asset").alias("j"), "weight"), "j").groupBy("i").agg(F.sum(F.col("cov") * F.col("weight")).alias("marginal"))

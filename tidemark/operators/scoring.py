@@ -10,6 +10,11 @@ from tidemark.functions.rows import ratio
 from tidemark.operators import stats
 
 
+def range_fit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the least and largest values of columns, as min_ and max_ and their names, for rows.normalize."""
+    return df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
+
+
 def zscore_fit(df: DataFrame, features: str = "features") -> DataFrame:
     """One row: means and population deviations of each place of the array, as arrays. No rows: empty arrays."""
     one = df.select(F.posexplode(features).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))

@@ -138,6 +138,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rate: float = 0.5, epochs: int =
     return w
 
 
+def logistic(df: DataFrame, features: list[str], label: str, rate: float = 0.5, epochs: int = 200) -> DataFrame:
+    """key, n, bias, weights of a logistic model for each key, by fit_logistic over the key's rows in one task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = fit_logistic(pdf[features].to_numpy(float), pdf[label].to_numpy(float), rate, epochs)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [len(pdf)], "bias": [w[0]], "weights": [w[1:].tolist()]})
+
+    return df.select("key", label, *features).groupBy("key").applyInPandas(run, "key string, n long, bias double, weights array<double>")
+
+
 def meta_labels(df: DataFrame, barrier: labels.TripleBarrier, fast: int = 5, slow: int = 20, rate: float = 0.5, epochs: int = 200) -> DataFrame:
     """key, idx, label (0 or 1), probability, kept of each entry, where the fast mean of price lay above the slow one on the row before.
 
@@ -285,9 +295,8 @@ def loan_scores(loans: DataFrame) -> DataFrame:
     """
     plain = [loan_to_income("loan_amount", "income"), F.col("interest_rate"), F.col("dti"), grade_to_score("grade")]
     d = loans.withColumns({f"_f{k}": f for k, f in enumerate(plain)})
-    ends = d.agg(*[f(f"_f{k}").alias(f"_{f.__name__}{k}") for k in range(4) for f in (F.min, F.max)])
-    d = d.crossJoin(F.broadcast(ends))  # one row
-    scaled = [normalize(f"_f{k}", f"_min{k}", f"_max{k}") for k in range(4)]
+    d = d.crossJoin(F.broadcast(scoring.range_fit(d, [f"_f{k}" for k in range(4)])))  # one row
+    scaled = [normalize(f"_f{k}", f"min__f{k}", f"max__f{k}") for k in range(4)]
     features = F.concat(F.array(*scaled), one_hot("home_ownership"))
     return d.select(*loans.columns, predict_proba(features, list(LOAN_WEIGHTS), LOAN_BIAS).alias("score"))
 

@@ -11,7 +11,7 @@ from tidemark.catalog import register
 from tidemark.functions import options, rows
 from tidemark.operators import backtest, joins, labels, microstructure, models, portfolio, returns, scoring, simulation, stats, strategies
 from tidemark.plans import series, sql_parts
-from tidemark.plans.queries import _CONF, _FACTORS, _FEATURES, _FLOW, _GRID, _MARKET, _PRF, _SMA, _cdf, _psr, chance_sharpe, flow, keyed_panel, option_grid, r6, rounded, sma_equity, tb_sql, with_market
+from tidemark.plans.queries import _CONF, _FACTORS, _FEATURES, _FLOW, _GRID, _MARKET, _PRF, _SMA, _WEIGHTS, _cdf, _psr, chance_sharpe, flow, keyed_panel, option_grid, r6, rounded, sma_equity, tb_sql, with_market
 from tidemark.plans.series import BARS, PANEL, PX, table
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -179,6 +179,21 @@ def fold_auc(spark, sf_dir):
     return rounded(scoring.fold_auc(applicants(spark)))
 
 
+_RATES = ", ".join(f"max(w{k}) - 0.5 * avg((p - y) * f{k}) AS w{k}" for k in range(3))
+
+
+@register(
+    "logistic_weights",
+    f"""WITH RECURSIVE {_APPLICANTS}, d AS (SELECT f0, f1, f2, CASE WHEN y THEN 1 ELSE 0 END AS y FROM x), lw(t, b, w0, w1, w2) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+    UNION ALL SELECT t + 1, max(b) - 0.5 * avg(p - y) AS b, {_RATES} FROM (SELECT *, 1 / (1 + exp(-(b + w0 * f0 + w1 * f1 + w2 * f2))) AS p FROM lw, d WHERE t < 100) GROUP BY t)
+    SELECT 'all' AS key, CAST(500 AS BIGINT) AS n, {r6('b', 'bias')}, {r6('w0', 'credit')}, {r6('w1', 'debt')}, {r6('w2', 'income')} FROM lw WHERE t = 100""",
+)
+def logistic_weights(spark, sf_dir):
+    d = applicants(spark).select(F.lit("all").alias("key"), F.col("defaulted").cast("int").alias("y"), *[F.col("features")[k].alias(f"f{k}") for k in range(3)])
+    fit = strategies.logistic(d, ["f0", "f1", "f2"], "y", epochs=100)
+    return rounded(fit.select("key", "n", "bias", *[F.col("weights")[k].alias(c) for k, c in enumerate(("credit", "debt", "income"))]))
+
+
 _GRID_OF_THRESHOLDS = [round(0.01 + 0.02 * k, 2) for k in range(50)]
 
 
@@ -529,6 +544,24 @@ def long_short(spark, sf_dir):
     return d.select("key", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("beta", 6), ("systematic", 9), ("idiosyncratic", 9), ("idiosyncratic_share", 6))])
 
 
+@register(
+    "risk_parity",
+    f"""WITH {_WEIGHTS}, iv AS (SELECT k, 1 / var_samp(r) / sum(1 / var_samp(r)) OVER () AS v FROM named GROUP BY k), pw AS (SELECT 'equal' AS portfolio, k, 0.2 AS v FROM am UNION ALL SELECT 'inverse_variance', k, v FROM iv UNION ALL SELECT 'min_variance', k, v FROM w),
+    ps AS (SELECT portfolio, idx, sum(v * r) AS r FROM pw JOIN named ON named.k = pw.k GROUP BY 1, 2) SELECT portfolio, {r6('stddev_samp(r) * sqrt(12)', 'volatility')} FROM ps GROUP BY 1""",
+)
+def risk_parity(spark, sf_dir):
+    """Annual volatility of equal weights, of inverse variances and of the least variance."""
+    p = series.panel(spark, sf_dir)
+    u, cov = portfolio.Universe.of(p), portfolio.covariance(p)
+    least = spark.createDataFrame([(a, float(w)) for a, w in zip(u.assets, portfolio.min_variance(u.cov), strict=True)], "asset string, weight double")
+    equal = p.select("asset").distinct().withColumn("weight", F.lit(0.2))
+    out = None
+    for name, w in {"equal": equal, "inverse_variance": portfolio.inverse_variance(p), "min_variance": least}.items():
+        one = portfolio.quadratic_form(w, cov).select(F.lit(name).alias("portfolio"), (F.sqrt("value") * (12**0.5)).alias("volatility"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 @register("long_only_weights")
 def long_only_weights(spark, sf_dir):
     u = portfolio.Universe.of(series.panel(spark, sf_dir))
