@@ -84,7 +84,8 @@ def threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float
     s, y, w = score[order], label[order], weight[order]
     right = np.r_[0, np.cumsum(w * (y == 0))] + (w * (y == 1)).sum() - np.r_[0, np.cumsum(w * (y == 1))]
     ends = np.r_[s[0] - 1, s, s[-1] + 1]
-    at = np.flatnonzero((right >= right.max() - 1e-9 * w.sum()) & (np.diff(ends) > 0))
+    between = np.diff(ends) > 0  # equal scores can't be cut
+    at = np.flatnonzero(between & (right >= right[between].max() - 1e-9 * w.sum()))
     wide = at[np.argmax(np.diff(ends)[at])]
     return float((ends[wide] + ends[wide + 1]) / 2)
 
