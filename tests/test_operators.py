@@ -78,6 +78,7 @@ def test_zscores_with_a_constant_feature(spark):
     d = spark.createDataFrame([([1.0, 5.0],), ([2.0, 5.0],), ([30.0, 5.0],)], "features array<double>")
     got = scoring.zscore_predict(d, scoring.zscore_fit(d), 1.0).collect()
     assert [r.anomaly for r in got] == [False, False, True] and got[2].triggers == [0]
+    assert scoring.zscore_predict(d, scoring.zscore_fit(d, size=2), 1.0, size=2).collect() == got
 
 
 def engine(prices, signals, cost, cash=10_000.0):

@@ -15,8 +15,14 @@ def range_fit(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
 
 
-def zscore_fit(df: DataFrame, features: str = "features") -> DataFrame:
-    """One row: means and population deviations of each place of the array, as arrays. No rows: empty arrays."""
+def zscore_fit(df: DataFrame, features: str = "features", size: int | None = None) -> DataFrame:
+    """One row: means and population deviations of each place of the array, as arrays. No rows: empty arrays, or nulls.
+
+    size: how long the arrays are; then one pass sums all places, without a row for each.
+    """
+    if size is not None:
+        x = [F.get(features, F.lit(k)) for k in range(size)]
+        return df.agg(F.array(*map(F.avg, x)).alias("means"), F.array(*map(F.stddev_pop, x)).alias("stds"))
     one = df.select(F.posexplode(features).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     return one.agg(F.sort_array(F.collect_list(F.struct("pos", "m", "s"))).alias("fit")).select(F.col("fit.m").alias("means"), F.col("fit.s").alias("stds"))
 
@@ -27,9 +33,21 @@ def zscores(features="features") -> Column:
     return F.transform(z, lambda e: F.abs(e["x"] - e["m"]) / F.nullif(e["s"], F.lit(0.0)))
 
 
-def zscore_predict(df: DataFrame, fit: DataFrame, threshold: float = 3.0, features: str = "features") -> DataFrame:
-    """Adds anomaly, whether any z-score is above threshold, and triggers, the places that are. The fit is one row, and broadcast."""
-    d = df.crossJoin(F.broadcast(fit)).withColumn("_z", zscores(features)).drop("means", "stds")
+def zscore_predict(df: DataFrame, fit: DataFrame, threshold: float = 3.0, features: str = "features", size: int | None = None) -> DataFrame:
+    """Adds anomaly, whether any z-score is above threshold, and triggers, the places that are. The fit is one row, and broadcast.
+
+    size: how long the arrays are; then the places are plain columns.
+    """
+    d = df.crossJoin(F.broadcast(fit))
+    if size is not None:
+        x, m, s = ([F.get(c, F.lit(k)) for k in range(size)] for c in (features, "means", "stds"))
+        above = [F.coalesce(F.abs(a - b) / F.nullif(c, F.lit(0.0)) > threshold, F.lit(False)) for a, b, c in zip(x, m, s, strict=True)]
+        hit = F.array_compact(F.array(*[F.when(y, k) for k, y in enumerate(above)]))
+        anomaly = above[0]
+        for y in above[1:]:
+            anomaly = anomaly | y
+        return d.withColumn("triggers", hit).withColumn("anomaly", anomaly).drop("means", "stds")
+    d = d.withColumn("_z", zscores(features)).drop("means", "stds")
     hit = F.filter(F.transform("_z", lambda z, i: F.when(z > threshold, i)), lambda i: i.isNotNull())
     return d.withColumn("triggers", hit).withColumn("anomaly", F.size("triggers") > 0).drop("_z")
 

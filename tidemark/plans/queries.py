@@ -238,7 +238,7 @@ _ZS = ", ".join(f"abs({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z{k}"
 
 @register("zscore_fit", " UNION ALL ".join(f"SELECT {k} AS place, {r6(f'avg({c})', 'mean', 4)}, {r6(f'stddev_pop({c})', 'std', 4)} FROM lineitem" for k, c in enumerate(_FEATURES)))
 def zscore_fit(spark, sf_dir):
-    fit = scoring.zscore_fit(series.features(spark, sf_dir))
+    fit = scoring.zscore_fit(series.features(spark, sf_dir), size=4)
     return rounded(fit.select(F.posexplode(F.arrays_zip("means", "stds")).alias("place", "x")).select("place", F.col("x.means").alias("mean"), F.col("x.stds").alias("std")), 4)
 
 
@@ -249,7 +249,7 @@ _PRF = "round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS prec
 @register("zscore_confusion", f"WITH z AS (SELECT l_returnflag = 'R' AS y, {_ZS} FROM lineitem), c AS (SELECT {_CONF} FROM (SELECT y, z0 > 2 OR z1 > 2 OR z2 > 2 OR z3 > 2 AS p FROM z)) SELECT *, {_PRF} FROM c")
 def zscore_confusion(spark, sf_dir):
     x = series.features(spark, sf_dir)
-    d = scoring.zscore_predict(x, scoring.zscore_fit(x), 2.0)
+    d = scoring.zscore_predict(x, scoring.zscore_fit(x, size=4), 2.0, size=4)
     return rounded(stats.precision_recall(d.agg(*stats.confusion("class", "anomaly"))))
 
 
