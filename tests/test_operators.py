@@ -120,7 +120,9 @@ def test_fixed_horizon_without_threshold_never_says_time(spark):
     assert [r.label for r in got] == ["Upper", "Lower", "Upper", "Upper"]
 
 
-def test_trend_scanning_equals_fits(spark):
+@pytest.mark.parametrize("columns", [40, 0])
+def test_trend_scanning_equals_fits(spark, monkeypatch, columns):
+    monkeypatch.setattr(labels, "MOST_COLUMNS", columns)
     random.seed(11)
     p = [100 + random.gauss(0, 1) + 0.2 * i for i in range(40)]
     got = {r.entry: r for r in labels.trend_scanning(px(spark, p), 3, 6).collect()}
@@ -137,6 +139,8 @@ def test_trend_scanning_equals_fits(spark):
         assert got[i].exit == best[1] and abs(got[i].t_stat - best[0]) < 1e-6
     flat = labels.trend_scanning(px(spark, [1, 2, 3, 4, 5, 6, 7, 8]), 3, 5, entry=F.col("idx") == 0).first()
     assert flat.t_stat == 0.0 and flat.exit == 3
+    ends = {r.entry: (r.exit, r.t_stat) for r in labels.trend_scanning(px(spark, [5, 1, 2, 4]), 3, 5).collect()}
+    assert ends[3] == (3, 0.0) and ends[2] == (3, 0.0) and ends[1][0] == 3 and ends[0][0] == 3
 
 
 def test_purged_folds(spark):

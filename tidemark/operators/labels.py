@@ -69,29 +69,69 @@ def trend_scanning(df: DataFrame, shortest: int, longest: int, min_return: float
     """
     if not 1 <= shortest <= longest:
         raise ValueError("shortest must be 1 at least, and longest not below it")
-    ahead = [F.lead(F.struct(F.col("price").alias("p"), F.col("idx").alias("i")), k).over(by()) for k in range(1, longest + 1)]
-    d = df.select("key", "idx", "price", F.array(F.struct(F.col("price").alias("p"), F.col("idx").alias("i")), *ahead).alias("_a")).where("price > 0")
-    d = (d if entry is None else d.where(entry)).withColumn("_a", F.filter("_a", lambda x: x.isNotNull()))
-    y = F.transform("_a", lambda x: x["p"] - F.col("price"))
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("k"), zero.alias("y"), zero.alias("yy"), zero.alias("ky"), F.array().cast("array<struct<t:double,h:int>>").alias("t"))
-
-    def step(s, v):
-        k, ty, tyy, tky = s["k"] + 1, s["y"] + v, s["yy"] + v * v, s["ky"] + s["k"] * v
-        sxx, cov, var = k * (k * k - 1) / 12, tky - (k - 1) / 2 * ty, tyy - ty * ty / k
-        sse = F.greatest(F.coalesce(var - F.try_divide(cov * cov, sxx), zero), zero)
-        se = F.sqrt(F.try_divide(F.try_divide(sse, k - 2), sxx))
-        t = F.when((k < 3) | se.isNull() | (sse <= 1e-9 * F.greatest(var, F.lit(1e-300))), 0.0).otherwise(F.try_divide(F.try_divide(cov, sxx), se))
-        return F.struct(k.alias("k"), ty.alias("y"), tyy.alias("yy"), tky.alias("ky"), F.concat(s["t"], F.array(F.struct(t.alias("t"), (k - 1).cast("int").alias("h")))).alias("t"))
-
-    told = F.aggregate(y, start, step, lambda s: s["t"])
-    # Horizons that the series cuts off all end on its last row; the shortest of them stands for them.
-    inside = F.filter(told, lambda x: (x["h"] >= shortest) | (x["h"] == F.size("_a") - 1))
-    best = F.array_max(F.transform(inside, lambda x: F.struct(F.abs(x["t"]).alias("size"), (-x["h"]).alias("h"), x["t"].alias("t"))))
-    d = d.withColumn("_b", best).withColumn("_e", F.element_at("_a", 1 - F.col("_b.h")))
-    r = F.col("_e.p") / F.col("price") - 1
+    lead = lambda c, k: F.lead(c, k).over(by())
+    later = range(1, longest + 1)
+    d = df.select("key", "idx", "price", *[lead("price", k).alias(f"_p{k}") for k in later], *[lead("idx", k).alias(f"_i{k}") for k in later], F.count("idx").over(by().rowsBetween(1, longest)).alias("_n")).where("price > 0")
+    d = d if entry is None else d.where(entry)
+    if longest <= MOST_COLUMNS:
+        d = _trend_by_columns(d, shortest, longest)
+    else:
+        d = d.withColumn("_b", _trend_by_arrays(shortest, longest)).withColumns({f"_{c}": F.col(f"_b.{c}") for c in "tip"})
+    r = F.col("_p") / F.col("price") - 1
     kind = F.when(r >= min_return, "Upper").when(r < -min_return, "Lower").otherwise("Time")
-    return d.select(*_event(kind, F.col("_e.i"), F.col("_e.p")), F.col("_b.t").alias("t_stat"))
+    return d.select(*_event(kind, F.col("_i"), F.col("_p")), F.col("_t").alias("t_stat"))
+
+
+#: Horizons up to which trends are plain columns, and not arrays.
+MOST_COLUMNS = 40
+
+
+def _t_stat(n: Column, ty: Column, tyy: Column, tky: Column) -> Column:
+    """The slope's t statistic over n prices from the sums of their gaps to the first one; 0 for fewer than 3, or no residual."""
+    sxx, cov, var = n * (n * n - 1) / 12, tky - (n - 1) / 2 * ty, tyy - ty * ty / n
+    sse = F.greatest(var - F.try_divide(cov * cov, sxx), F.lit(0.0))
+    se = F.sqrt(F.try_divide(F.try_divide(sse, n - 2), sxx))
+    return F.when((n < 3) | se.isNull() | (sse <= 1e-9 * F.greatest(var, F.lit(1e-300))), 0.0).otherwise(F.try_divide(F.try_divide(cov, sxx), se))
+
+
+def _trend_by_columns(d: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """d with _t, _i and _p of the best horizon. Gaps, their sums, moments and statistics are columns one after another, so that none is worked out twice."""
+    later, zero = range(1, longest + 1), F.lit(0.0)
+    d = d.withColumns({f"_y{k}": F.coalesce(F.col(f"_p{k}") - F.col("price"), zero) for k in later})
+    sums = {}
+    for k in later:
+        y = F.col(f"_y{k}")
+        for name, x in (("_s", y), ("_ss", y * y), ("_ks", k * y)):
+            sums[f"{name}{k}"] = x if k == 1 else sums[f"{name}{k - 1}"] + x
+    d = d.withColumns(sums)
+    sxx = {k: (k + 1.0) * ((k + 1.0) ** 2 - 1) / 12 for k in later}
+    d = d.withColumns({f"_c{k}": F.col(f"_ks{k}") - k / 2 * F.col(f"_s{k}") for k in later} | {f"_v{k}": F.col(f"_ss{k}") - F.col(f"_s{k}") * F.col(f"_s{k}") / (k + 1.0) for k in later})
+    d = d.withColumns({f"_e{k}": F.greatest(F.col(f"_v{k}") - F.col(f"_c{k}") * F.col(f"_c{k}") / sxx[k], zero) for k in later if k > 1})
+    slope = {k: F.col(f"_c{k}") / sxx[k] / F.sqrt(F.col(f"_e{k}") / (k - 1.0) / sxx[k]) for k in later if k > 1}
+    d = d.withColumns({f"_t{k}": F.when(F.col(f"_e{k}") <= 1e-9 * F.greatest(f"_v{k}", F.lit(1e-300)), 0.0).otherwise(slope[k]) if k > 1 else zero for k in later})
+    # The horizons within the series, or what there is of the shortest; then the end of the one with the largest statistic.
+    found = [F.when(F.col("_n") >= k if k >= shortest else F.col("_n") == k, F.struct(F.abs(f"_t{k}").alias("size"), F.lit(-k).alias("h"))) for k in later]
+    none = F.lit(None).cast("struct<size:double,h:int>")
+    d = d.withColumn("_h", -F.coalesce(F.greatest(*found, none)["h"], F.lit(0)))
+    pick = lambda own, name: F.element_at(F.array(own, *[F.col(f"{name}{k}") for k in later]), F.col("_h") + 1)
+    return d.withColumns({"_t": pick(zero, "_t"), "_i": pick(F.col("idx"), "_i"), "_p": pick(F.col("price"), "_p")})
+
+
+def _trend_by_arrays(shortest: int, longest: int) -> Column:
+    held = F.array(*[F.struct((F.col("price") if k == 0 else F.col(f"_p{k}")).alias("p"), (F.col("idx") if k == 0 else F.col(f"_i{k}")).alias("i")) for k in range(longest + 1)])
+    held = F.slice(held, F.lit(1), (F.col("_n") + 1).cast("int"))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("k"), zero.alias("y"), zero.alias("yy"), zero.alias("ky"), F.array().cast("array<struct<size:double,h:int,t:double,i:bigint,p:double>>").alias("t"))
+
+    def step(s, x):
+        v = x["p"] - F.col("price")
+        n, ty, tyy, tky = s["k"] + 1, s["y"] + v, s["yy"] + v * v, s["ky"] + s["k"] * v
+        t = _t_stat(n, ty, tyy, tky)
+        one = F.struct(F.abs(t).alias("size"), (1 - n).cast("int").alias("h"), t.alias("t"), x["i"].alias("i"), x["p"].alias("p"))
+        return F.struct(n.alias("k"), ty.alias("y"), tyy.alias("yy"), tky.alias("ky"), F.concat(s["t"], F.array(one)).alias("t"))
+
+    told = F.aggregate(held, start, step, lambda s: s["t"])
+    return F.array_max(F.filter(told, lambda x: (-x["h"] >= shortest) | (-x["h"] == F.col("_n"))))
 
 
 def to_binary(min_return: float = 0.0) -> Column:
