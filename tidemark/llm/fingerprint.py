@@ -25,6 +25,8 @@ SWEEPS = 4
 PARTS, PART_ROWS, BUCKET_ROWS = 32_768, 16_384, 64
 #: A part of more rows is cut into SUB smaller ones, up to LEVELS times.
 HEAVY, SUB, LEVELS = 4 * PART_ROWS, 1024, 4
+#: Bytes of a table of rows that is broadcast at most; a larger one is joined by a shuffle.
+MOST_BROADCAST = 32 << 20
 #: The texts that sketches are made of: a row's own, its edited one and the next row's; the pairs that are subtracted.
 SIDES, PAIRS = ("own", "edit", "next"), (("own", "edit"), ("own", "next"))
 
@@ -103,9 +105,11 @@ def differing(keys: DataFrame) -> DataFrame:
         good = tried.where("not failed").drop("failed")
         done = good if done is None else done.unionByName(good)
         failed = tried.where("failed").groupBy("row").agg(F.sum(F.when(F.col("pair") == 0, 1).otherwise(2)).cast("int").alias("want"))
-        if failed.isEmpty():
+        n = failed.count()
+        if not n:
             return done
-        left, cells, seed = keys.join(failed, "row"), cells * GROWTH, seed + 1
+        # Rows to retry are 24 bytes each: a small table of them spares a shuffle of all arrays.
+        left, cells, seed = keys.join(F.broadcast(failed) if 24 * n <= MOST_BROADCAST else failed, "row"), cells * GROWTH, seed + 1
 
 
 def prints(keys: DataFrame) -> DataFrame:
