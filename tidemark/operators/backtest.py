@@ -101,10 +101,15 @@ def event_backtest(px: DataFrame, barrier: labels.TripleBarrier, step: int = 5,
 
 
 def momentum(df: DataFrame, lookback: int = 20, hold: int = 21, n: int = 2, price: str = "price") -> DataFrame:
-    """key, idx, momentum, side: every hold-th row, the n keys with the largest past return are held (1), the n with the least sold (-1)."""
+    """key, idx, momentum, side: every hold-th row, the n keys with the largest past return are held (1), the n with the least sold (-1).
+
+    From a price of 0 the return is infinite, or NaN to another 0; NaN counts as the largest.
+    """
     from pyspark.sql import window as W
 
-    d = df.withColumn("momentum", F.col(price) / F.lag(price, lookback).over(by()) - 1).where((F.col("idx") % hold == 0) & F.col("momentum").isNotNull())
+    past = F.lag(price, lookback).over(by())
+    ratio = F.when(past == 0, F.col(price) * F.lit(float("inf"))).otherwise(F.try_divide(F.col(price), past))
+    d = df.withColumn("momentum", ratio - 1).where((F.col("idx") % hold == 0) & F.col("momentum").isNotNull())
     at = W.Window.partitionBy("idx")
     up, low = F.row_number().over(at.orderBy(F.col("momentum").desc(), "key")), F.row_number().over(at.orderBy("momentum", "key"))
     return d.withColumn("_u", up).withColumn("_l", low).withColumn("side", F.when(F.col("_l") <= n, -1).when(F.col("_u") <= n, 1).otherwise(0)).select("key", "idx", "momentum", "side")
