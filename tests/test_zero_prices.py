@@ -37,3 +37,8 @@ def test_momentum_from_a_price_of_0(spark, events):
     got, want = both(spark, events, "momentum")
     assert got == want
     assert ["k0", 21, math.inf, 1] in got and ["k0", 42, "nan", 1] in got
+
+
+def test_walk_forward_over_prices_of_0(spark, events):
+    got, want = both(spark, events, "walk_forward_backtest")
+    assert got == want and len(got) == 25

@@ -22,17 +22,22 @@ class TripleBarrier:
             raise ValueError("upper and horizon must be positive, lower negative")
 
 
+def _gain(later: Column) -> Column:
+    """The return from a row's price to a later one. Null from 0: what selects entries by price may run together with filters on their labels."""
+    return F.try_divide(later, F.col("price")) - 1
+
+
 def _event(kind: Column, exit_idx: Column, exit_price: Column) -> list[Column]:
-    return ["key", F.col("idx").alias("entry"), exit_idx.alias("exit"), kind.alias("label"), (exit_price / F.col("price") - 1).alias("return_pct"), (exit_idx - F.col("idx")).alias("holding")]
+    return ["key", F.col("idx").alias("entry"), exit_idx.alias("exit"), kind.alias("label"), _gain(exit_price).alias("return_pct"), (exit_idx - F.col("idx")).alias("holding")]
 
 
 def _scan(df: DataFrame, up: Column, low: Column, horizon: int, entry: Column) -> DataFrame:
     """The first later row within horizon whose return reaches up or low (up first), else the last such row."""
     ahead = F.collect_list(F.struct(F.col("idx").alias("i"), F.col("price").alias("p"))).over(by().rowsBetween(1, horizon))
     d = df.withColumn("_a", ahead).withColumn("_u", up).withColumn("_l", low).where(entry & (F.col("price") > 0))
-    gone = F.filter("_a", lambda x: (x["p"] / F.col("price") - 1 >= F.col("_u")) | (x["p"] / F.col("price") - 1 <= F.col("_l")))
+    gone = F.filter("_a", lambda x: (_gain(x["p"]) >= F.col("_u")) | (_gain(x["p"]) <= F.col("_l")))
     d = d.withColumn("_hit", F.get(gone, F.lit(0))).withColumn("_last", F.get("_a", F.size("_a") - 1))
-    kind = F.when(F.col("_hit").isNull(), "Time").when(F.col("_hit.p") / F.col("price") - 1 >= F.col("_u"), "Upper").otherwise("Lower")
+    kind = F.when(F.col("_hit").isNull(), "Time").when(_gain(F.col("_hit.p")) >= F.col("_u"), "Upper").otherwise("Lower")
     at = F.coalesce("_hit", "_last", F.struct(F.col("idx").alias("i"), F.col("price").alias("p")))
     return d.withColumn("_at", at).select(*_event(kind, F.col("_at.i"), F.col("_at.p")))
 
@@ -56,7 +61,7 @@ def dynamic_barrier(df: DataFrame, n_std: float = 2.0, window: int = 20, horizon
 def fixed_horizon(df: DataFrame, horizon: int, min_return: float = 0.0, entry: Column | None = None) -> DataFrame:
     last = W.Window.partitionBy("key").orderBy("idx").rowsBetween(0, horizon)
     d = df.withColumn("_i", F.last("idx").over(last)).withColumn("_p", F.last("price").over(last)).where("price > 0")
-    r = F.col("_p") / F.col("price") - 1
+    r = _gain(F.col("_p"))
     kind = F.when(r >= min_return, "Upper").when(r < -min_return, "Lower").otherwise("Time")
     return (d if entry is None else d.where(entry)).select(*_event(kind, F.col("_i"), F.col("_p")))
 
@@ -77,7 +82,7 @@ def trend_scanning(df: DataFrame, shortest: int, longest: int, min_return: float
         d = _trend_by_columns(d, shortest, longest)
     else:
         d = d.withColumn("_b", _trend_by_arrays(shortest, longest)).withColumns({f"_{c}": F.col(f"_b.{c}") for c in "tip"})
-    r = F.col("_p") / F.col("price") - 1
+    r = _gain(F.col("_p"))
     kind = F.when(r >= min_return, "Upper").when(r < -min_return, "Lower").otherwise("Time")
     return d.select(*_event(kind, F.col("_i"), F.col("_p")), F.col("_t").alias("t_stat"))
 
